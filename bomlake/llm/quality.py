@@ -71,37 +71,40 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def verdicts(docs: DataFrame, text: str = "text", max_lost: int = MAX_LOST) -> DataFrame:
-    """Adds struct `quality`: the contract's counts, base_failed, n_lost_words, kept and cleaned (the text without failing lines)."""
+def judged(text: Column, max_lost: int) -> Column:
+    """struct of the contract's counts, base_failed, n_lost_words, kept and cleaned (the text without failing lines)."""
 
     def measured(t):
-        def on_words(words):
-            def on_lines(lines):
-                full = F.filter(lines, lambda x: F.translate(x, WHITE, "") != "")
-                good = F.filter(lines, lambda x: ~line_fails(x))
-                return F.struct(
-                    F.size(words).cast("long").alias("n_words"),
-                    F.length(F.translate(t, WHITE, "")).cast("long").alias("word_chars"),
-                    (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-                    once(full, lambda f: F.size(f) - F.size(F.array_distinct(f))).cast("long").alias("n_dup_lines"),
-                    repeated_words(words).alias("n_repeat_words"),
-                    F.array_join(good, "\n").alias("cleaned"),
-                )
-
-            return once(lines_of(t), on_lines)
-
-        return once(words_of(t), on_words)
-
-    out = docs.withColumn("quality", once(F.coalesce(docs[text].cast("string"), F.lit("")), measured))
-    # kept in a second projection, over the fields of the first
-    failed = (F.col("quality.n_words") < MIN_WORDS) | (100 * F.col("quality.n_repeat_words") > MAX_REPEAT * F.col("quality.n_words"))
-    lost = F.col("quality.n_words") - F.size(words_of(F.col("quality.cleaned")))
-    out = out.withColumn("quality", F.col("quality").withField("base_failed", failed).withField("n_lost_words", lost.cast("long")))
-    return out.withColumn("quality", F.col("quality").withField("kept", ~F.col("quality.base_failed") & (100 * F.col("quality.n_lost_words") <= max_lost * F.col("quality.n_words"))))
+        counts = lambda words: lambda lines: F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(F.translate(t, WHITE, "")).cast("long").alias("word_chars"),
+            (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            once(F.filter(lines, lambda x: F.translate(x, WHITE, "") != ""), lambda f: F.size(f) - F.size(F.array_distinct(f))).cast("long").alias("n_dup_lines"),
+            repeated_words(words).alias("n_repeat_words"),
+            once(F.filter(lines, lambda x: ~line_fails(x)), lambda good: F.when(F.size(good) == F.size(lines), t).otherwise(F.array_join(good, "\n"))).alias("cleaned"),
+        )
+        return once(once(words_of(t), lambda words: once(lines_of(t), counts(words))), lambda m: with_losses(m, t))
+
+    def with_losses(m, t):
+        lost = F.when(F.length(m["cleaned"]) == F.length(t), 0).otherwise(m["n_words"] - F.size(words_of(m["cleaned"]))).cast("long")
+        failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT * m["n_words"])
+        own = [m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "cleaned")]
+        return once(F.struct(*own, failed.alias("base_failed"), lost.alias("n_lost_words")), verdict)
+
+    def verdict(m):
+        kept = ~m["base_failed"] & (100 * m["n_lost_words"] <= max_lost * m["n_words"])
+        return F.struct(*[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "cleaned", "base_failed", "n_lost_words")], kept.alias("kept"))
+
+    return once(F.coalesce(text.cast("string"), F.lit("")), measured)
+
+
+def verdicts(docs: DataFrame, text: str = "text", max_lost: int = MAX_LOST) -> DataFrame:
+    """Adds struct `quality`, see judged(). A generator makes it, so filters and fields above don't compute it again."""
+    return docs.select("*", F.explode_outer(F.array(judged(docs[text], max_lost))).alias("quality"))
 
 
 def clean(docs: DataFrame, text: str = "text", max_lost: int = MAX_LOST) -> DataFrame:
     """Documents that pass, with failing lines taken out of their texts."""
     columns = docs.columns
-    judged = verdicts(docs.withColumnsRenamed({"quality": "quality__own"}), text, max_lost).filter("quality.kept")
-    return judged.select(*[F.col("quality.cleaned").alias(c) if c == text else F.col("quality__own" if c == "quality" else c).alias(c) for c in columns])
+    kept = verdicts(docs.withColumnsRenamed({"quality": "quality__own"}), text, max_lost).filter("quality.kept")
+    return kept.select(*[F.col("quality.cleaned").alias(c) if c == text else F.col("quality__own" if c == "quality" else c).alias(c) for c in columns])

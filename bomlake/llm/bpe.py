@@ -32,7 +32,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters of a text that are read at a time, and that a run without a white space may have to be kept whole.
 BLOCK, WHOLE = 1 << 16, 512
 #: Words, and pieces of words, whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 NO_RANK = 1 << 30
 
 
@@ -329,7 +329,7 @@ class Decoder:
 
 
 def vocabulary(path: str) -> Vocabulary:
-    return worker_state(f"bpe:{path}", lambda: Vocabulary(path))
+    return worker_state("bpe", f"bpe:{path}", lambda: Vocabulary(path))
 
 
 def encode(text: str | None, v: Vocabulary, block: int = BLOCK):

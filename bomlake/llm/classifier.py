@@ -136,7 +136,7 @@ def scores(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id
     kind = docs.schema[key].dataType.simpleString()
 
     def work(batches):
-        words = worker_state(name, lambda: Words(sent.value))
+        words = worker_state("classifier", name, lambda: Words(sent.value))
         for batch in batches:
             out = []
             for value in batch.column(1):

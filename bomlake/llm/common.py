@@ -6,6 +6,7 @@ import sys
 import tempfile
 import types
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: bounds a worker's memory where texts are long.
-BATCH_ROWS = 1000
+BATCH_ROWS = 200
+#: The same where rows are a few numbers.
+NUMBER_ROWS = 20_000
 
 
 def prepare(spark: SparkSession) -> None:
@@ -22,18 +25,33 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def worker_state(name: str, make):
-    """An object that lives as long as the Python worker, made on first use."""
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows for what is computed inside."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        yield
+    finally:
+        prepare(spark)
+
+
+def worker_state(operator: str, name: str, make):
+    """An object of an operator's that lives as long as the Python worker, made on first use.
+
+    A worker that turns to another operator lets go of what the last one kept.
+    """
     home = sys.modules.setdefault("_bomlake_worker_state", types.ModuleType("_bomlake_worker_state"))
-    if not hasattr(home, name):
-        setattr(home, name, make())
-    return getattr(home, name)
+    if getattr(home, "operator", None) != operator:
+        home.operator, home.kept = operator, {}
+    if name not in home.kept:
+        home.kept[name] = make()
+    return home.kept[name]
 
 
 class WordHashes(dict):
     """word bytes -> 64-bit hash, emptied when it reaches `limit` words."""
 
-    limit = 400_000
+    limit = 250_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

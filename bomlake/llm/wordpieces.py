@@ -97,7 +97,7 @@ def counts(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id")
     kind = docs.schema[key].dataType.simpleString()
 
     def work(batches):
-        automaton = worker_state(f"pieces:{model}", lambda: Automaton(*vocabulary(model)))
+        automaton = worker_state("wordpieces", f"pieces:{model}", lambda: Automaton(*vocabulary(model)))
         for batch in batches:
             words, tokens, unknown = [], [], []
             for value in batch.column(1):

@@ -7,6 +7,7 @@ import tempfile
 import types
 import uuid
 from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,23 +49,58 @@ def worker_state(operator: str, name: str, make):
     return home.kept[name]
 
 
-class WordHashes(dict):
-    """word bytes -> 64-bit hash, emptied when it reaches `limit` words."""
+#: White space that ends a word.
+GAPS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: A random weight of each byte, and an odd base with its inverse modulo 2**64.
+WEIGHTS = np.random.Generator(np.random.PCG64(20240307)).integers(1, (1 << 64) - 1, 256, np.uint64)
+BASE = 0xC2B2AE3D27D4EB4F
+INVERSE = pow(BASE, -1, 1 << 64)
+#: Bytes that are hashed at a time; a longer word is hashed whole.
+SLICE = 1 << 18
 
-    limit = 250_000
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+@lru_cache(maxsize=1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of its inverse."""
+    return tuple(np.cumprod(np.array([1] + [x] * (n - 1), np.uint64), dtype=np.uint64) for x in (BASE, INVERSE))
 
-        if len(self) >= self.limit:
-            self.clear()
-        value = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    """64-bit numbers, each bit of which depends on all bits of `values`."""
+    for shift in (32, 29):
+        values = (values ^ (values >> np.uint64(shift))) * np.uint64(0x9E3779B97F4A7C15)
+    return values ^ (values >> np.uint64(32))
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of a text, and where the words start.
+
+    A word is a polynomial of its bytes, modulo 2**64, then mixed; all of a slice come from one running sum.
+    """
+    data = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(data) + 2, bool)
+    np.logical_not(GAPS[data], out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    out, lo = np.empty(len(starts), np.uint64), 0
+    while lo < len(starts):
+        first = starts[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, first + SLICE, "right")))
+        n = int(ends[hi - 1] - first)
+        up, down = powers(SLICE) if n <= SLICE else powers.__wrapped__(n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(WEIGHTS[data[first : first + n]] * up[:n], out=sums[1:])
+        at = starts[lo:hi] - first
+        out[lo:hi] = (sums[ends[lo:hi] - first] - sums[at]) * down[at]
+        lo = hi
+    return mixed(out), starts
+
+
+class WordHashes:
+    """word_hashes() of words that are already apart."""
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return word_hashes(b" ".join(words))[0]
 
 
 #: Odd multipliers, one for each place in a shingle.

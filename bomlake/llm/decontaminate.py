@@ -93,7 +93,7 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: tu
         sent, name = spark.sparkContext.broadcast(rows), f"items:{uuid.uuid4().hex}"
 
         def work(batches, sent=sent, name=name):
-            hashes, names = worker_state("decontaminate", "decontaminate", WordHashes), [i for i, _ in sent.value]
+            hashes, names = WordHashes(), [i for i, _ in sent.value]
             parts = worker_state("decontaminate", name, lambda: partitions(sent.value, width, threshold))
             widths = sorted({p.width for p in parts})
             for batch in batches:

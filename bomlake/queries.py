@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bomlake.functions import identifiers as I
 from bomlake.functions import paths as P
-from bomlake.operators import enrichment, images, inventory
+from bomlake.operators import builds, enrichment, exposition, images, inventory, merging, validators
 from bomlake.sources import adapters, documents
 
 QUERIES: dict = {}
@@ -322,3 +322,97 @@ def cyclonedx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def spdx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.spdx_lines(view(spark, sf_dir, "components"))
+
+
+#: Images made of orders: an order's lines are its history, those not returned its layers.
+HISTORY = "(SELECT l_orderkey, CAST(l_linenumber AS BIGINT) * 100000000 + l_partkey * 2 + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS idx, CASE l_partkey % 9 WHEN 0 THEN '/bin/sh -c #(nop) COPY file:x in /app' WHEN 1 THEN 'RUN /bin/sh -c make' WHEN 2 THEN '/bin/sh -c apt-get update' WHEN 3 THEN 'env A=1' WHEN 4 THEN 'buildah: COPY a b' WHEN 5 THEN 'containers-storage: ADD x y' WHEN 6 THEN 'jib-classes' WHEN 7 THEN '' ELSE 'RUNTIME x' END AS created_by, l_returnflag = 'R' AS empty_layer FROM lineitem WHERE l_orderkey % 3 <> 0)"
+IMAGE = "concat('image-', o_orderkey)"
+AUTHOR = "CASE WHEN o_orderkey % 11 = 1 THEN 'Kaniko' ELSE '' END"
+LABEL = "CASE o_orderkey % 7 WHEN 1 THEN 'moby.buildkit.x' WHEN 2 THEN 'jib.image.y' WHEN 4 THEN 'dev.ko.build' ELSE 'other' END"
+
+
+def built_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines.createOrReplaceTempView("bomlake_lines")
+    h = spark.sql(f"SELECT * FROM {HISTORY.replace('FROM lineitem', 'FROM bomlake_lines')}")
+    entry = F.struct("idx", F.struct("created_by", F.lit("").alias("author"), F.lit("").alias("comment"), "empty_layer").alias("h"))
+    # an order has a few lines, as an image has a few instructions
+    h = h.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["h"]).alias("history"), F.transform(F.array_sort(F.collect_list(F.when(~F.col("empty_layer"), F.col("idx")))), lambda i: F.concat(F.lit("sha256:"), i)).alias("layers"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.expr(IMAGE).alias("image"), F.expr(AUTHOR).alias("author"), F.expr(f"map({LABEL}, 'v')").alias("labels"), F.expr("cast(map() as map<string,string>)").alias("annotations"), F.expr("array('/ko-app/x')").alias("entrypoint"))
+    return orders.join(h, "o_orderkey", "left")
+
+
+SIGNED = f"(SELECT o_orderkey, {IMAGE} AS image, {AUTHOR} AS author, {LABEL} AS label, coalesce(n_history, 0) AS n_history, coalesce(n_layers, 0) AS n_layers, coalesce(n_jib, 0) AS n_jib, first_sign FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n_history, count(*) FILTER (WHERE NOT empty_layer) AS n_layers, count(*) FILTER (WHERE created_by = 'jib-classes') AS n_jib, arg_min(CASE WHEN starts_with(created_by, 'buildah:') THEN 'buildah' ELSE 'podman' END, idx) FILTER (WHERE starts_with(created_by, 'buildah:') OR starts_with(created_by, 'containers-storage:')) AS first_sign FROM {HISTORY} GROUP BY 1) ON l_orderkey = o_orderkey)"
+RUNTIMES = f"(SELECT o_orderkey, image, CASE WHEN label LIKE 'moby%' THEN 'buildkit' WHEN author = 'Kaniko' OR (n_history >= 5 AND n_layers <= 2) THEN 'kaniko' WHEN label LIKE 'jib%' OR n_jib >= 2 THEN 'jib' WHEN label = 'dev.ko.build' THEN 'ko' WHEN first_sign IS NOT NULL THEN first_sign ELSE 'docker' END AS runtime FROM {SIGNED})"
+STRIPPED = "CASE WHEN runtime IN ('podman', 'buildah') THEN trim(regexp_replace(created_by, '^(containers-storage:|buildah:)', '')) ELSE created_by END"
+WORD = "CASE WHEN {0} LIKE '%#(nop) COPY%' OR {0} LIKE 'COPY %' THEN 'COPY' WHEN {0} LIKE 'ADD %' THEN 'ADD' WHEN {0} LIKE 'env %' THEN 'ENV' WHEN {0} LIKE 'RUN %' OR {0} LIKE '/bin/sh -c%' THEN 'RUN' ELSE 'UNKNOWN' END"
+ALIGNED = f"(SELECT image, runtime, layer, created_by, {WORD.format('created_by')} AS instruction FROM (SELECT image, runtime, row_number() OVER (PARTITION BY o_orderkey ORDER BY idx) - 1 AS layer, {STRIPPED} AS created_by FROM {HISTORY} JOIN {RUNTIMES} ON l_orderkey = o_orderkey WHERE NOT empty_layer))"
+
+
+@query(f"SELECT image, runtime FROM {RUNTIMES}")
+def build_runtimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return builds.detected(built_images(spark, sf_dir)).select("image", "runtime")
+
+
+@query(f"SELECT image, runtime, layer, created_by, instruction FROM {ALIGNED}")
+def layer_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return builds.aligned(builds.detected(built_images(spark, sf_dir))).drop("digest")
+
+
+@query(f"SELECT image, CASE WHEN o_orderkey % 13 = 0 THEN 'high' WHEN n IS NULL THEN 'none' WHEN runtime = 'kaniko' THEN 'low' WHEN whole THEN 'medium' ELSE 'low' END AS confidence FROM {RUNTIMES} LEFT JOIN (SELECT image, count(*) AS n, bool_and(created_by <> '') AS whole FROM {ALIGNED} GROUP BY 1) USING (image)")
+def attribution_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images_ = builds.detected(built_images(spark, sf_dir))
+    return builds.trust(images_, builds.aligned(images_), images_.filter("o_orderkey % 13 = 0"))
+
+
+#: Documents made of suppliers; the first seven hold the components, the others are empty.
+BOMS = "(SELECT concat('bom-', s_suppkey) AS sbom_id, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'x' END AS author, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '2000-01-01' END AS created FROM supplier)"
+HELD = f"(SELECT concat('bom-', ord % 7 + 1) AS sbom_id, ord, CASE WHEN ord % 50 = 0 THEN 'part-7' ELSE bom_ref END AS bom_ref, CASE WHEN ord % 23 = 0 THEN 'odd' ELSE ctype END AS ctype, CASE WHEN ord % 29 = 0 THEN '' ELSE name END AS name, purl, CASE WHEN ord % 4 = 0 THEN 0 ELSE 1 END AS n_licences, CASE WHEN ord % 7 = 2 AND ord % 5 = 0 THEN 'nvd-api' ELSE '' END AS cpe_source, '' AS disclosure, concat('/', ord) AS place FROM {C})"
+COUNTED = f"(SELECT d.*, coalesce(n, 0) AS n, coalesce(handled, 0) AS handled, CASE WHEN sbom_id = 'bom-1' THEN 1 ELSE 0 END AS edges FROM {BOMS} d LEFT JOIN (SELECT sbom_id, count(*) AS n, count(*) FILTER (WHERE cpe_source <> '') AS handled FROM {HELD} GROUP BY 1) USING (sbom_id))"
+ROWS = "SELECT sbom_id, '{0}' AS validator, '{1}' AS rule_id, {2} AS severity, {3} AS bom_ref FROM {4} WHERE {5}"
+DOC_TESTS = [("ntia", "NTIA-METADATA-AUTHOR", 3, "author = ''"), ("ntia", "NTIA-METADATA-TIMESTAMP", 3, "created = ''"), ("ntia", "NTIA-RELATIONSHIPS", 2, "n >= 10 AND edges = 0"), ("eu-cra", "EU-CRA-ART13-VULN-HANDLING", 2, "handled = 0"), ("cyclonedx", "CDX-EMPTY-COMPONENTS", 3, "n = 0"), ("spdx", "SPDX-EMPTY-PACKAGES", 3, "n = 0")]
+ROW_TESTS = [("eu-cra", "EU-CRA-ART13-LICENSE", 1, "ctype IN ('framework', 'application') AND regexp_matches(purl, '^pkg:(maven|helm|pypi|npm)/') AND n_licences = 0"), ("cyclonedx", "CDX-COMPONENT-NAME-MISSING", 4, "name = ''"), ("cyclonedx", "CDX-COMPONENT-TYPE-INVALID", 3, "ctype = 'odd'"), ("cyclonedx", "CDX-BOMREF-DUPLICATE", 3, "nth > 1"), ("spdx", "SPDX-PACKAGE-NAME-MISSING", 4, "name = ''"), ("spdx", "SPDX-DOWNLOAD-LOCATION-NOASSERTION", 1, "purl = ''"), ("spdx", "SPDX-LICENSE-NOASSERTION", 1, "n_licences = 0")]
+NUMBERED = f"(SELECT *, row_number() OVER (PARTITION BY sbom_id, bom_ref ORDER BY ord) AS nth FROM {HELD})"
+
+
+@query(" UNION ALL ".join([ROWS.format(v, r, s, "''", COUNTED, t) for v, r, s, t in DOC_TESTS] + [ROWS.format(v, r, s, "bom_ref", NUMBERED, t) for v, r, s, t in ROW_TESTS]))
+def validation_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/supplier.parquet").createOrReplaceTempView("bomlake_suppliers")
+    view(spark, sf_dir, "components").createOrReplaceTempView("bomlake_components")
+    held = spark.sql(f"SELECT * FROM {HELD.replace(C, 'bomlake_components')}")
+    boms = spark.sql(f"SELECT * FROM {BOMS.replace('FROM supplier', 'FROM bomlake_suppliers')}")
+    counted = validators.totals(boms, held, boms.filter("sbom_id = 'bom-1'").select("sbom_id"))
+    return validators.ntia_documents(counted).unionByName(validators.eu_cra(counted, held)).unionByName(validators.cyclonedx(counted, held)).unionByName(validators.spdx(counted, held))
+
+
+MEMBERS = f"(SELECT {KEY} AS key, row_number() OVER (PARTITION BY {KEY} ORDER BY CASE WHEN purl <> '' THEN 100 ELSE 0 END DESC, ord) AS rank, ord % 5 AS layer, supplier, ctype FROM {C})"
+VALUES = f"(SELECT key, rank, 'supplier' AS name, supplier AS value FROM {MEMBERS} UNION ALL SELECT key, rank, 'type', ctype FROM {MEMBERS})"
+KEPT = f"(SELECT key, name, arg_min(value, rank) AS kept FROM {VALUES} GROUP BY 1, 2)"
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = view(spark, sf_dir, "components")
+    rank = F.struct(F.when(F.col("purl") != "", 0).otherwise(1).alias("score"), "ord")
+    return c.select(inventory.identity(c).alias("key"), rank.alias("rank"), (F.col("ord") % 5).alias("layer"), F.create_map(F.lit("supplier"), "supplier", F.lit("type"), "ctype").alias("props"), F.split("name", "-").alias("words"))
+
+
+@query(f"SELECT key, name, kept AS value FROM {KEPT} UNION ALL SELECT key, concat('conflict:', name), arg_max(value, rank) FROM {VALUES} JOIN {KEPT} USING (key, name) WHERE value <> kept GROUP BY key, name")
+def merged_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merging.properties(members(spark, sf_dir))
+
+
+@query(f"SELECT key, own AS layer, arg_max(layer, rank) FILTER (WHERE layer <> own) AS also_in_layer, count(*) - 1 AS merged FROM {MEMBERS} JOIN (SELECT key, arg_min(layer, rank) AS own FROM {MEMBERS} GROUP BY 1) USING (key) GROUP BY 1, 2")
+def merged_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merging.other_layer(members(spark, sf_dir))
+
+
+@query(f"SELECT key, item, rank.ord AS ord, pos FROM (SELECT *, row_number() OVER (PARTITION BY key, lower(item) ORDER BY rank, pos) AS nth FROM (SELECT key, rank, unnest(words) AS item, unnest(range(len(words))) AS pos FROM (SELECT {KEY} AS key, {{'score': CASE WHEN purl <> '' THEN 0 ELSE 1 END, 'ord': ord}} AS rank, string_split(name, '-') AS words FROM {C})) WHERE item <> '') WHERE nth = 1")
+def merged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merging.union(members(spark, sf_dir), "words", F.lower("item")).select("key", "item", "rank.ord", "pos")
+
+
+@query("SELECT label, unnest(range(len(lines))) AS pos, unnest(lines) AS line FROM (SELECT label, [" + ", ".join([f"concat('v_bucket{{label=\"', label, '\",le=\"{b:g}\"}} ', count(*) FILTER (WHERE value <= {b}))" for b in BOUNDS] + ["concat('v_bucket{label=\"', label, '\",le=\"+Inf\"} ', count(*))", "concat('v_sum{label=\"', label, '\"} ', CAST(sum(CAST(floor(value) AS BIGINT)) AS VARCHAR))", "concat('v_count{label=\"', label, '\"} ', count(*))"]) + f"] AS lines FROM {M} GROUP BY 1)")
+def metrics_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = view(spark, sf_dir, "metrics")
+    whole = m.groupBy("label").agg(F.sum(F.floor("value")).cast("double").alias("total"))
+    return exposition.histogram(images.buckets(m, BOUNDS).join(whole, "label"), "v", "label", BOUNDS)

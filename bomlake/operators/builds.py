@@ -103,3 +103,25 @@ def trust(images: DataFrame, layers: DataFrame, attested: DataFrame) -> DataFram
     sure = attested.select("image").distinct().withColumn("sure", F.lit(True))
     rows = images.select("image", "runtime").join(known, "image", "left").join(sure, "image", "left")
     return rows.select("image", F.when(F.col("sure"), "high").when(F.col("n").isNull(), "none").when(F.col("runtime") == "kaniko", "low").when(F.col("whole"), "medium").otherwise("low").alias("confidence"))
+
+
+#: Provenance statements that are understood (fixed values).
+PREDICATES = ("https://slsa.dev/provenance/v0.2", "https://slsa.dev/provenance/v1")
+STATEMENT = "_type string, predicateType string, predicate struct<buildType:string,builder:struct<id:string>,metadata:struct<buildStartedOn:string,buildFinishedOn:string>,materials:array<struct<uri:string,digest:map<string,string>>>>"
+
+
+def attestations(manifests: DataFrame, images: DataFrame) -> DataFrame:
+    """(index, pos, digest, annotations), (image, digest) -> image, digest of the first attestation that names it."""
+    refers = manifests.filter(F.try_element_at("annotations", F.lit(ATTESTATION[0])) == ATTESTATION[1]).select("pos", F.col("digest").alias("found"), F.try_element_at("annotations", F.lit("vnd.docker.reference.digest")).alias("digest"))
+    return images.join(refers, "digest").groupBy("image").agg(F.min_by("found", "pos").alias("digest"))
+
+
+def provenance(statements: DataFrame) -> DataFrame:
+    """(image, text) -> image, predicate, build type, builder with its version, times, materials; other texts give nothing.
+
+    Of a predicate that isn't understood only its type is given.
+    """
+    s = statements.select("image", F.explode(F.array(F.from_json("text", STATEMENT))).alias("s")).filter("s._type <> '' and s.predicateType <> ''")
+    known = F.col("s.predicateType").isin(*PREDICATES)
+    field = lambda path: F.when(known, F.coalesce(F.col(f"s.predicate.{path}"), F.lit(""))).otherwise("")
+    return s.select("image", F.col("s.predicateType").alias("predicate"), field("buildType").alias("build_type"), field("builder.id").alias("builder"), F.regexp_extract(field("builder.id"), "@([^@]+)$", 1).alias("builder_version"), field("metadata.buildStartedOn").alias("started"), field("metadata.buildFinishedOn").alias("finished"), F.when(known, F.col("s.predicate.materials")).alias("materials"))

@@ -60,7 +60,7 @@ def candidates(components: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Dictionary hits (by type, namespace and name) and guesses, the highest confidence kept for each CPE."""
     # a generator parses once; as a plain column each use below would parse again
     parsed = components.filter("purl <> ''").select("*", F.explode_outer(F.array(I.parse_purl(F.col("purl")))).alias("p")).filter("p is not null")
-    hits = parsed.join(dictionary, (F.lower("p.type") == dictionary["d_type"]) & (F.lower("p.namespace") == dictionary["d_ns"]) & (F.lower("p.name") == dictionary["d_name"])).select("bom_ref", "p", F.col("d_vendor").alias("vendor"), F.col("d_product").alias("product"), F.lit("dictionary").alias("source"), F.lit(0.90).cast("decimal(3,2)").alias("confidence"))
+    hits = parsed.join(dictionary, (F.lower("p.type") == dictionary["d_type"]) & (F.lower("p.namespace") == dictionary["d_ns"]) & (F.lower("p.name") == dictionary["d_name"])).select("bom_ref", "p", F.col("d_vendor").alias("vendor"), F.col("d_product").alias("product"), F.lit("dictionary").alias("source"), F.lit(0.95).cast("decimal(3,2)").alias("confidence"))
     guessed = parsed.withColumn("g", I.guess_cpe(F.col("p"))).select("bom_ref", "p", "g.vendor", "g.product", F.lit("heuristic").alias("source"), F.lit(0.70).cast("decimal(3,2)").alias("confidence"))
     both = hits.unionByName(guessed).withColumn("cpe", I.build_cpe(F.lit("a"), F.col("vendor"), F.col("product"), F.col("p.version")))
     return both.groupBy("bom_ref", "cpe").agg(F.max("confidence").alias("confidence"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("source"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bomlake.functions import identifiers as I
 from bomlake.functions import paths as P
-from bomlake.operators import builds, enrichment, exposition, images, inventory, merging, validators
+from bomlake.operators import builds, enrichment, exposition, images, inventory, merging, search, validators
 from bomlake.sources import adapters, documents
 
 QUERIES: dict = {}
@@ -71,7 +71,7 @@ def cpe_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DICTIONARY = f"(SELECT DISTINCT eco AS d_type, lower(ns) AS d_ns, lower(name) AS d_name, 'acme' AS d_vendor, lower(name) AS d_product FROM {C} WHERE ord % 5 = 0)"
-CANDIDATES = f"(SELECT bom_ref, cpe, max(confidence) AS confidence, string_agg(DISTINCT source, '+' ORDER BY source) AS source FROM (SELECT bom_ref, {cpe('d_vendor', 'd_product')} AS cpe, CAST(0.90 AS DECIMAL(3,2)) AS confidence, 'dictionary' AS source FROM {PARTS} JOIN {DICTIONARY} ON type = d_type AND lower(namespace) = d_ns AND lower(pname) = d_name UNION ALL SELECT bom_ref, {cpe(VENDOR, 'pname')}, CAST(0.70 AS DECIMAL(3,2)), 'heuristic' FROM {PARTS}) GROUP BY 1, 2)"
+CANDIDATES = f"(SELECT bom_ref, cpe, max(confidence) AS confidence, string_agg(DISTINCT source, '+' ORDER BY source) AS source FROM (SELECT bom_ref, {cpe('d_vendor', 'd_product')} AS cpe, CAST(0.95 AS DECIMAL(3,2)) AS confidence, 'dictionary' AS source FROM {PARTS} JOIN {DICTIONARY} ON type = d_type AND lower(namespace) = d_ns AND lower(pname) = d_name UNION ALL SELECT bom_ref, {cpe(VENDOR, 'pname')}, CAST(0.70 AS DECIMAL(3,2)), 'heuristic' FROM {PARTS}) GROUP BY 1, 2)"
 
 
 @query(f"SELECT *, CASE WHEN row_number() OVER (PARTITION BY bom_ref ORDER BY confidence DESC, source, cpe) = 1 AND confidence >= 0.70 THEN 'primary' WHEN confidence >= 0.50 THEN 'alternative' ELSE 'rejected' END AS status FROM {CANDIDATES}")
@@ -416,3 +416,16 @@ def metrics_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = view(spark, sf_dir, "metrics")
     whole = m.groupBy("label").agg(F.sum(F.floor("value")).cast("double").alias("total"))
     return exposition.histogram(images.buckets(m, BOUNDS).join(whole, "label"), "v", "label", BOUNDS)
+
+
+SEARCHED = f"(SELECT DISTINCT {cpe('d_vendor', 'd_product')} AS cpe, lower(d_vendor) AS vendor, lower(d_product) AS product, CASE WHEN pversion = '' THEN '*' ELSE pversion END AS rel FROM (SELECT CASE WHEN ord % 2 = 0 THEN ns ELSE name END AS d_vendor, name AS d_product, version AS pversion FROM {C} WHERE ord % 5 = 0 AND ns <> '' AND ns NOT LIKE '%/%'))"
+WORDS = "list_filter(regexp_split_to_array({0}, '[^a-z0-9]+'), lambda w: w <> '')"
+TOTAL = "CAST(least(CASE WHEN vendor = ns OR vendor = nm THEN 0.50 WHEN translate(vendor, '-.', '__') = translate(ns, '-.', '__') OR translate(vendor, '-.', '__') = translate(nm, '-.', '__') THEN 0.40 WHEN ns <> '' AND (contains(vendor, ns) OR contains(ns, vendor)) OR contains(vendor, nm) OR contains(nm, vendor) THEN 0.10 ELSE 0.00 END + CASE WHEN product = nm THEN 0.40 WHEN translate(product, '-.', '__') = translate(nm, '-.', '__') THEN 0.30 WHEN ns <> '' AND product = regexp_extract(ns, '([^/.]*)$', 1) THEN 0.20 WHEN contains(product, nm) OR contains(nm, product) THEN 0.10 ELSE 0.00 END + CASE WHEN pversion = '' THEN 0.05 WHEN rel = pversion THEN 0.20 WHEN rel = '*' THEN 0.10 ELSE 0.00 END, 1.00) AS DECIMAL(3,2))"
+
+
+@query(f"SELECT bom_ref, cpe, score, CASE WHEN score < 0.30 THEN 'weak' ELSE '' END AS rejected FROM (SELECT bom_ref, cpe, {TOTAL} AS score FROM (SELECT bom_ref, lower(namespace) AS ns, lower(pname) AS nm, pversion FROM {PARTS}) c JOIN {SEARCHED} n ON len(list_filter({WORDS.format('nm')}, lambda w: NOT list_contains({WORDS.format('concat(vendor, chr(95), product)')}, w))) = 0 WHERE pversion = '' OR rel = '*' OR rel = pversion)")
+def cpe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = view(spark, sf_dir, "components")
+    some = c.filter("ord % 5 = 0 and ns <> '' and ns not like '%/%'")
+    names = some.select(I.build_cpe(F.lit("a"), F.when(F.col("ord") % 2 == 0, F.col("ns")).otherwise(F.col("name")), F.col("name"), F.col("version")).alias("cpe"))
+    return search.searched(c, names)

@@ -9,8 +9,8 @@ import tarfile
 import zipfile
 import zlib
 
-from bomlake.functions import binaries
-from bomlake.operators import builds, exposition, images, merging, validators
+from bomlake.functions import binaries, manifests
+from bomlake.operators import builds, exposition, images, merging, search, validators
 from bomlake.sources import archives, documents
 from pyspark.sql import functions as F
 
@@ -197,3 +197,40 @@ def test_exposition(spark):
     pair = exposition.labels({"b": F.lit('q"\\'), "a": F.lit(None).cast("string")})
     assert spark.range(1).select(pair.alias("p")).head().p == '{a="",b="q\\\\\\"\\\\\\\\"}'
     assert exposition.header("m", "counter", "a\nb") == ["# HELP m a\\nb", "# TYPE m counter"]
+
+
+def test_manifests(spark):
+    cases = {
+        "a/package.json": ('{"name": "@s/n", "version": "1"}', ("a", "npm", "@s/n", "1", "pkg:npm/@s/n@1")),
+        "b/Cargo.toml": ('[dependencies]\nname = "no"\n[package]\nversion = "2"\nname = \'c\'\n[lib]\nname = "l"\n', ("b", "cargo", "c", "2", "pkg:cargo/c@2")),
+        "go.mod": ("// x\nmodule x.org/m\n", ("", "golang", "x.org/m", "", "pkg:golang/x.org/m@unknown")),
+        "p/pom.xml": ('<project xmlns="http://maven.apache.org/POM/4.0.0"><parent><groupId>g</groupId><version>3</version></parent><artifactId>a</artifactId></project>', ("p", "maven", "g:a", "3", "pkg:maven/g/a@3")),
+        "y/pyproject.toml": ('[tool.poetry]\nname = "y"\n', ("y", "pypi", "y", "", "pkg:pypi/y")),
+        "s/z-1.dist-info/METADATA": ("Name: z\nVersion: 1\n\nName: no\n", ("s", "pypi", "z", "1", "pkg:pypi/z@1")),
+        "composer.json": ('{"name": "v/p"}', ("", "composer", "v/p", "", "pkg:composer/v/p")),
+        "h/Chart.yaml": ('apiVersion: v2\nname: "h"\nversion: 0.1.0 # x\n', ("h", "helm", "h", "0.1.0", "pkg:helm/h@0.1.0")),
+        "r/x.gemspec": ("Gem::Specification.new do |s|\n  s.name = 'r'\n  s.version = Gem::Version.new(\"5\")\n", ("r", "gem", "r", "5", "pkg:gem/r@5")),
+    }
+    nothing = {"c/composer.json": '{"name": "plain"}', "package.json": "{cut", "q/pom.xml": "<project>", "README": "x", "METADATA": "Name: x\n", "n/go.mod": None, "e/Cargo.toml": ""}
+    rows = [(k, v[0]) for k, v in cases.items()] + list(nothing.items())
+    found = manifests.roots(spark.createDataFrame(rows, "path string, text string")).collect()
+    assert {r.path: (r.root, r.kind, r.name, r.version, r.purl) for r in found} == {k: v[1] for k, v in cases.items()}
+
+
+def test_search(spark):
+    names = ["cpe:2.3:a:acme:lib:1.0:*:*:*:*:*:*:*", "cpe:2.3:a:lib:lib:*:*:*:*:*:*:*:*", "cpe:2.3:h:lib:lib:*:*:*:*:*:*:*:*", "cpe:2.3:a:other:lib:2.0:*:*:*:*:*:*:*", "cpe:2.3:a:other:lib_x:-:*:*:*:*:*:*:*", "bad:lib"]
+    c = spark.createDataFrame([("a", "pkg:npm/acme/lib@1.0"), ("b", "pkg:npm/none@1"), ("c", "")], "bom_ref string, purl string")
+    found = search.searched(c, spark.createDataFrame([(n,) for n in names], "cpe string")).collect()
+    assert {(r.bom_ref, r.cpe.split(":", 2)[2][:11], str(r.score), r.rejected) for r in found} == {("a", "a:acme:lib:", "1.00", ""), ("a", "a:lib:lib:*", "1.00", ""), ("a", "h:lib:lib:*", "0.05", "hardware"), ("a", "a:other:lib", "0.20", "weak")}
+
+
+def test_provenance(spark):
+    text = {"_type": "t", "predicateType": builds.PREDICATES[0], "predicate": {"buildType": "b", "builder": {"id": "https://x/y@v1.2"}, "materials": [{"uri": "u", "digest": {"sha256": "d"}}]}}
+    rows = spark.createDataFrame([("i", json.dumps(text)), ("j", json.dumps({**text, "predicateType": "other"})), ("k", "{}"), ("l", "cut{"), ("m", None)], "image string, text string")
+    got = {r.image: (r.predicate, r.build_type, r.builder_version, r.started, r.materials and r.materials[0].uri) for r in builds.provenance(rows).collect()}
+    assert got == {"i": (builds.PREDICATES[0], "b", "v1.2", "", "u"), "j": ("other", "", "", "", None)}
+    kind = "pos int, digest string, annotations map<string,string>"
+    note = {"vnd.docker.reference.type": "attestation-manifest", "vnd.docker.reference.digest": "sha256:1"}
+    manifests_ = spark.createDataFrame([(0, "a", {}), (2, "c", note), (1, "b", note), (3, "d", None)], kind)
+    images_ = spark.createDataFrame([("i", "sha256:1"), ("j", "sha256:2")], "image string, digest string")
+    assert [tuple(r) for r in builds.attestations(manifests_, images_).collect()] == [("i", "b")]

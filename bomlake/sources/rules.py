@@ -65,7 +65,7 @@ def severity_overrides(text: str) -> list[tuple]:
     """(rule, type or '', ecosystem or '', rank), in order, as inventory.with_policy() takes them after its own."""
     out = []
     for i, o in enumerate((parsed(text).get("compliance") or {}).get("severity_overrides") or []):
-        severity = str(o.get("severity") or "info").strip().lower()
+        severity = o.get("severity") or "info"
         if not o.get("rule_id") or severity not in SEVERITIES:
             raise ValueError(f"override {i} has no rule or an unknown severity: {o!r}")
         out.append((o["rule_id"], o.get("component_type") or "", o.get("ecosystem") or "", SEVERITIES[severity]))

@@ -24,10 +24,10 @@ def test_path_rules(spark):
 
 
 def test_severity_overrides():
-    text = "compliance: {severity_overrides: [{rule_id: R, severity: High, ecosystem: npm}, {rule_id: S, component_type: file, severity: ignored}, {rule_id: T}]}"
+    text = "compliance: {severity_overrides: [{rule_id: R, severity: high, ecosystem: npm}, {rule_id: S, component_type: file, severity: ignored}, {rule_id: T}]}"
     assert rules.severity_overrides(text) == [("R", "", "npm", 3), ("S", "file", "", -1), ("T", "", "", 0)]
     assert rules.severity_overrides("compliance: {}") == []
-    for bad in (text.replace("High", "odd"), text.replace("rule_id: R, ", "")):
+    for bad in (text.replace("high", "High"), text.replace("rule_id: R, ", "")):
         with pytest.raises(ValueError):
             rules.severity_overrides(bad)
 

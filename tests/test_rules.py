@@ -52,3 +52,31 @@ def test_folders(spark, tmp_path):
     put("fingerprint/sha256/cd.json", "cut")
     with pytest.raises(Exception, match="not a fingerprint"):
         folders.fingerprints(spark, str(tmp_path)).collect()
+
+
+def test_registries(spark):
+    import base64
+    import json
+
+    from bomlake.sources import registries
+
+    def rows(*payloads):
+        return spark.createDataFrame([(str(i), p if isinstance(p, str) else json.dumps(p)) for i, p in enumerate(payloads)] + [("n", None)], "purl_key string, text string")
+
+    npm = registries.npm(rows(
+        {"description": "d", "license": "MIT", "author": "A B <a@b> (http://x)", "repository": {"url": "git+https://h/r.git"}, "bugs": "http://b", "dist": {"shasum": "00", "integrity": "sha512-" + base64.b64encode(b"ab").decode()}},
+        {"license": {"type": "(MIT OR ISC)"}, "author": {"name": "C"}, "repository": "https://h/r.git#x", "bugs": {"url": "u"}},
+        {"licenses": [{"type": "BSD"}, {"type": "UNLICENSED"}], "maintainers": [{"name": "M"}], "dist": {"integrity": "md5-xx"}},
+        "cut", "[]",
+    )).collect()
+    got = {r.purl_key: (r.author, r.supplier, r.repository, r.bugs, [tuple(x) for x in r.licences], [tuple(x) for x in r.hashes]) for r in npm}
+    assert got == {
+        "0": ("A B", "A B", "https://h/r", "http://b", [("MIT", "MIT")], [("sha1", "00"), ("sha512", "6162")]),
+        "1": ("C", "C", "https://h/r.git#x", "u", [("", "MIT OR ISC")], []),
+        "2": ("", "M", "", "", [("BSD", "BSD")], []),
+    }
+    pypi = registries.pypi(rows(
+        {"info": {"summary": "s", "license_expression": "MIT", "license": "no", "author": "A", "home_page": "", "project_url": "p", "project_urls": {"Source": "r.git", "Issues": "i", "Docs": "d"}}, "urls": [{"digests": {"SHA256": "1", "md5": ""}}, {"digests": {"sha256": "2", "md5": "3"}}]},
+        {"info": {"description": "t", "classifiers": ["x", "License :: OSI Approved :: ISC License (ISCL)"], "maintainer": "M", "project_urls": None}},
+    )).collect()
+    assert {r.purl_key: (r.description, r.author, r.homepage, r.repository, r.bugs, r.docs, [tuple(x) for x in r.licences], [tuple(x) for x in r.hashes]) for r in pypi} == {"0": ("s", "A", "p", "r", "i", "d", [("MIT", "MIT")], [("sha256", "1"), ("md5", "3")]), "1": ("t", "M", "", "", "", "", [("ISC", "ISC")], [])}

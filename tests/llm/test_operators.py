@@ -142,6 +142,43 @@ def test_close_simhashes_are_all_found(spark):
         assert [int.from_bytes(group.get(k, k), "big") for k, _ in data] == want
 
 
+def test_most_lines_of_high_edit_similarity_are_linked(spark):
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9))) for _ in range(3000)]
+    texts = []
+    for n in (20, 30):
+        for _ in range(60):
+            line = [r.choice(words) for _ in range(n)]
+            other = line.copy()
+            other[r.randrange(n)] = r.choice(words)
+            texts += [" ".join(line), " ".join(other)]
+    alike = {j for j in range(len(texts)) for i in range(j) if lines.similar(texts[i], texts[j], 85)}
+    found = {x.doc_id for x in lines.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() if x.n_dropped}
+    assert len(alike) >= 110 and found <= alike
+    assert len(found) >= 0.8 * len(alike)
+
+
+def test_trees_of_many_close_simhashes_are_whole():
+    r = random.Random(9)
+    base = r.getrandbits(64)
+    family = {base ^ sum(1 << b for b in r.sample(range(64), 6)) for _ in range(1500)}
+    sims = np.array(sorted(family | {r.getrandbits(64) for _ in range(50)}), np.uint64)
+    want = common.spanning(len(sims), lambda i, rest: np.bitwise_count(sims[rest] ^ sims[i]) <= lines.DISTANCE)
+    masks, same = lines.blocks_for(len(sims))
+    place, root = {int(x): i for i, x in enumerate(sims)}, list(range(len(sims)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for first in range(lines.DISTANCE + 1):
+        shared = sims & np.uint64(masks[first])
+        for value in np.unique(shared):
+            for a, b in zip(*lines.close_pairs(sims[shared == value], first, masks, same)):
+                i, j = find(place[int(a)]), find(place[int(b)])
+                root[max(i, j)] = min(i, j)
+    assert [find(i) for i in range(len(sims))] == want.tolist()
+
+
 def test_edit_distance():
     r = random.Random(2)
     for _ in range(800):

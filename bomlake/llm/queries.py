@@ -30,7 +30,7 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wordpieces.counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return wordpieces.counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), spelled=True)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

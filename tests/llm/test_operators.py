@@ -265,6 +265,33 @@ def test_word_pieces(odd, empty, odd_rows, documents):
     assert [small.count(w) for w in ("abcd", "abcde", "abce", "abcb", "xa", "abx")] == [1, 2, 3, 3, 0, 0]
 
 
+def test_words_are_spelled_from_the_whole_model(spark, odd_rows, documents, small):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    ids = range(sp.get_piece_size())
+    octets = {int(sp.id_to_piece(i)[3:-1], 16) for i in ids if sp.is_byte(i)}
+    pieces = {sp.id_to_piece(i) for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+
+    def greedy(word):
+        word, at, n = "\u2581" + word, 0, 0
+        while at < len(word):
+            to = next((j for j in range(min(len(word), at + 40), at, -1) if word[at:j] in pieces), 0)
+            spelt = b"" if to else word[at].encode("utf-8", "surrogatepass")
+            if not octets.issuperset(spelt):
+                return 0
+            at, n = to or at + 1, n + (1 if to else len(spelt))
+        return n
+
+    automaton = wordpieces.Automaton(*wordpieces.spelling(path))
+    words = {w for _, t in [*odd_rows, *pairs(documents)] for w in (t or "").split()} | {"2024", "4111111111111111", "\u00f1and\u00fa", "\u00e7a", "\u4e2d\u6587\u7684\u4e00\u884c", "\U0001d4b3x", "a\u2581b", "\u2581"}
+    assert {w: automaton.count(w) for w in words} == {w: greedy(w) for w in words}
+    assert automaton.count("2024") == 5
+    r = queries.op4_token_counts(spark, small).agg(queries.F.sum("n_unknown")).first()
+    assert r[0] == 0
+
+
 # 5
 
 

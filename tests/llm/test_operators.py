@@ -158,6 +158,12 @@ def test_most_lines_of_high_edit_similarity_are_linked(spark):
     assert len(found) >= 0.8 * len(alike)
 
 
+def test_short_lines_are_deduplicated(spark):
+    texts = ["Home\n\u4e2d\u6587\u7684\u4e00\u884c\n\nRead more\n...", "home!\n\u4e2d\u6587\u7684\u4e00\u884c\n\nRead less\n...", "read  more\nabout us"]
+    got = {x.doc_id: x.dropped for x in lines.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "", 1: "0,1", 2: "0"}  # lines without a word stay
+
+
 def test_trees_of_many_close_simhashes_are_whole():
     r = random.Random(9)
     base = r.getrandbits(64)

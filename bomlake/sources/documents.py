@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Formats by what a document starts with or has at its top level; documents beyond the limit are refused.
 MAX_BYTES = 256 << 20
+#: Levels that are unrolled without a look whether any are left.
 DEPTH = 8
 
 
@@ -34,13 +37,14 @@ def cyclonedx_components(documents: DataFrame) -> DataFrame:
     """Components of every depth with parent and order; nesting is unrolled level by level."""
     level = documents.filter("format = 'cyclonedx-json'").select("sbom_id", F.get_json_object("text", "$.components").alias("json"), F.lit(None).cast("string").alias("parent"), F.lit("").alias("place"))
     out = None
-    for depth in range(DEPTH):
+    for depth in count():
+        if depth >= DEPTH and level.isEmpty():
+            return out
         rows = level.select("sbom_id", "parent", "place", F.posexplode(F.from_json("json", f"array<{COMPONENT}>")).alias("pos", "c"))
         rows = rows.withColumn("place", F.concat("place", F.format_string("/%08d", "pos")))
         part = rows.select("sbom_id", "parent", "place", F.lit(depth).alias("depth"), F.col("c.bom-ref").alias("bom_ref"), F.coalesce("c.type", F.lit("unknown")).alias("ctype"), *[F.coalesce(f"c.{x}", F.lit("")).alias(y) for x, y in (("group", "grp"), ("name", "name"), ("version", "version"), ("purl", "purl"), ("cpe", "cpe"), ("supplier.name", "supplier"))])
         out = part if out is None else out.unionByName(part)
         level = rows.filter("c.components is not null").select("sbom_id", F.col("c.components").alias("json"), F.col("c.bom-ref").alias("parent"), "place")
-    return out
 
 
 def cyclonedx_edges(documents: DataFrame) -> DataFrame:
@@ -62,22 +66,32 @@ def xml_kind(depth: int) -> str:
     return f"struct<component:array<struct<`_bom-ref`:string,_type:string,group:string,name:string,version:string,purl:string,cpe:string,supplier:struct<name:string>{below}>>>"
 
 
-def cyclonedx_xml(documents: DataFrame) -> DataFrame:
-    """sbom_id and the parsed document: components, dependencies."""
-    kind = f"components {xml_kind(DEPTH - 1)}, dependencies struct<dependency:array<struct<_ref:string,dependency:array<struct<_ref:string>>>>>"
+def xml_depth(documents: DataFrame) -> int:
+    """Levels of components in the deepest XML document, or more."""
+    bare = F.regexp_replace("text", r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>", "")
+    tags = F.regexp_extract_all(bare, F.lit(r"<(/?(?:[\w.-]+:)?components(?=[\s>]))(?![^>]*/>)"), F.lit(1))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    step = lambda s, t: F.when(t.startswith("/"), F.struct((s["now"] - 1).alias("now"), s["most"].alias("most"))).otherwise(F.struct((s["now"] + 1).alias("now"), F.greatest(s["now"] + 1, s["most"]).alias("most")))
+    return documents.filter("format = 'cyclonedx-xml'").agg(F.max(F.aggregate(tags, start, step)["most"])).first()[0] or 0
+
+
+def cyclonedx_xml(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """sbom_id and the parsed document: components of `depth` levels, dependencies."""
+    kind = f"components {xml_kind(depth - 1)}, dependencies struct<dependency:array<struct<_ref:string,dependency:array<struct<_ref:string>>>>>"
     rows = documents.filter("format = 'cyclonedx-xml'")
     return rows.select("sbom_id", F.from_xml(F.regexp_replace("text", "^\\ufeff", ""), kind, {"ignoreNamespace": "true"}).alias("d"))
 
 
 def cyclonedx_xml_components(documents: DataFrame) -> DataFrame:
     """The same rows as cyclonedx_components()."""
-    level = cyclonedx_xml(documents).select("sbom_id", F.col("d.components.component").alias("own"), F.lit(None).cast("string").alias("parent"), F.lit("").alias("place"))
+    levels = max(1, xml_depth(documents))
+    level = cyclonedx_xml(documents, levels).select("sbom_id", F.col("d.components.component").alias("own"), F.lit(None).cast("string").alias("parent"), F.lit("").alias("place"))
     out = None
-    for depth in range(DEPTH):
+    for depth in range(levels):
         rows = level.select("sbom_id", "parent", "place", F.posexplode("own").alias("pos", "c")).withColumn("place", F.concat("place", F.format_string("/%08d", "pos")))
         part = rows.select("sbom_id", "parent", "place", F.lit(depth).alias("depth"), F.col("c._bom-ref").alias("bom_ref"), F.coalesce("c._type", F.lit("unknown")).alias("ctype"), *[F.coalesce(f"c.{x}", F.lit("")).alias(y) for x, y in (("group", "grp"), ("name", "name"), ("version", "version"), ("purl", "purl"), ("cpe", "cpe"), ("supplier.name", "supplier"))])
         out = part if out is None else out.unionByName(part)
-        if depth < DEPTH - 1:
+        if depth < levels - 1:
             level = rows.select("sbom_id", F.col("c.components.component").alias("own"), F.col("c._bom-ref").alias("parent"), "place")
     return out
 

@@ -234,3 +234,17 @@ def test_provenance(spark):
     manifests_ = spark.createDataFrame([(0, "a", {}), (2, "c", note), (1, "b", note), (3, "d", None)], kind)
     images_ = spark.createDataFrame([("i", "sha256:1"), ("j", "sha256:2")], "image string, digest string")
     assert [tuple(r) for r in builds.attestations(manifests_, images_).collect()] == [("i", "b")]
+
+
+def test_components_of_every_depth(spark):
+    from bomlake.sources import documents
+
+    inner, xml = "", ""
+    for k in reversed(range(12)):
+        inner = f'{{"bom-ref":"c{k}","type":"library","name":"n{k}"' + (f',"components":[{inner}]' if inner else "") + "}"
+        xml = f'<component bom-ref="c{k}" type="library"><name>n{k}</name>' + (f"<components>{xml}</components>" if xml else "<components/>") + "</component>"
+    texts = [("j", "cyclonedx-json", f'{{"bomFormat":"CycloneDX","components":[{inner}]}}'), ("x", "cyclonedx-xml", f'<bom xmlns="http://cyclonedx.org/schema/bom/1.5"><!-- </components> --><components>{xml}</components></bom>')]
+    docs = spark.createDataFrame(texts, "sbom_id string, format string, text string")
+    want = [(k, f"c{k}", f"c{k - 1}" if k else None) for k in range(12)]
+    for read in (documents.cyclonedx_components, documents.cyclonedx_xml_components):
+        assert sorted((r.depth, r.bom_ref, r.parent) for r in read(docs).collect()) == want

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
 import uuid
 from contextlib import contextmanager
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +28,33 @@ def prepare(spark: SparkSession) -> None:
 
 @contextmanager
 def batches_of(spark: SparkSession, rows: int):
-    """Arrow batches of so many rows for what is computed inside."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Arrow batches of so many rows for what is computed inside; the session's own setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
     try:
         yield
     finally:
-        prepare(spark)
+        spark.conf.set(name, before)
+
+
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that `df` doesn't have."""
+    taken, name = {c.lower() for c in df.columns}, stem
+    while name in taken:
+        name += "_"
+    return name
+
+
+def row_key(docs: DataFrame, *columns: str) -> Column:
+    """128 bits that tell rows of different columns apart; equal rows are equal."""
+    values = [docs[c] for c in columns]
+    return F.struct(F.xxhash64(*values).alias("h"), F.xxhash64(F.lit(7), *[F.coalesce(F.length(v.cast("string")), F.lit(-1)) for v in values], *reversed(values)).alias("g"))
+
+
+def worker_home() -> types.ModuleType:
+    """Where this Python process keeps things between tasks. Functions travel by value, so their globals don't last."""
+    return sys.modules.setdefault("_bomlake_worker_state", types.ModuleType("_bomlake_worker_state"))
 
 
 def worker_state(operator: str, name: str, make):
@@ -41,7 +62,7 @@ def worker_state(operator: str, name: str, make):
 
     A worker that turns to another operator lets go of what the last one kept.
     """
-    home = sys.modules.setdefault("_bomlake_worker_state", types.ModuleType("_bomlake_worker_state"))
+    home = worker_home()
     if getattr(home, "operator", None) != operator:
         home.operator, home.kept = operator, {}
     if name not in home.kept:
@@ -59,10 +80,15 @@ INVERSE = pow(BASE, -1, 1 << 64)
 SLICE = 1 << 18
 
 
-@lru_cache(maxsize=1)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of BASE and of its inverse."""
-    return tuple(np.cumprod(np.array([1] + [x] * (n - 1), np.uint64), dtype=np.uint64) for x in (BASE, INVERSE))
+    """The first n powers of BASE and of its inverse, or more; those of a slice are kept."""
+    home, size = worker_home(), max(n, SLICE)
+    kept = getattr(home, "powers", None)
+    if kept is None or size > SLICE:
+        kept = tuple(np.cumprod(np.array([1] + [x] * (size - 1), np.uint64), dtype=np.uint64) for x in (BASE, INVERSE))
+        if size == SLICE:
+            home.powers = kept
+    return kept
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -87,7 +113,7 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         first = starts[lo]
         hi = max(lo + 1, int(np.searchsorted(ends, first + SLICE, "right")))
         n = int(ends[hi - 1] - first)
-        up, down = powers(SLICE) if n <= SLICE else powers.__wrapped__(n)
+        up, down = powers(n)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(WEIGHTS[data[first : first + n]] * up[:n], out=sums[1:])
         at = starts[lo:hi] - first
@@ -120,11 +146,17 @@ def shingle_hashes(word_hashes: np.ndarray, width: int) -> np.ndarray:
     return out * np.uint64(PLACES[-1])
 
 
+#: Bytes that a writer of intermediate tables gathers before it writes them.
+BLOCK_BYTES = 16 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of its own only where that is unset."""
+    """The folder that spark.checkpoint.dir names; on one machine, a folder of its own where that is unset."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="bomlake-"))
         path = sc.getCheckpointDir()
     return path
@@ -133,7 +165,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, spark: SparkSession) -> DataFrame:
     """Writes `df` as a table in the shared folder and reads it back, so lost executors cost no lineage."""
     path = f"{shared_dir(spark)}/bomlake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.bomlake_path = path
     return out

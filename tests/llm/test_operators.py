@@ -63,34 +63,36 @@ def test_bpe_query(odd, empty, odd_rows):
 # 2
 
 
-def brute_lines(docs, least=lines.LEAST):
-    """(id, text) -> {(id, text): dropped lines}"""
+def line_classes(docs, least=lines.LEAST):
+    """(id, text) -> {normal form: [((id, text), line)]}, in order."""
     found = {}
     for i, t in sorted(set(docs), key=lambda d: (d[0] is not None, d[0] or 0)):
-        row = (i, t)
         for k, line in enumerate((t or "").split("\n")):
             w = lines.normal_words(line)
             if len(w) >= least:
-                found.setdefault(b" ".join(w), []).append((row, k))
-    forms = list(found)
-    hashes = common.WordHashes()
-    sims = [int(lines.simhashes(hashes.of(f.split()), np.array([0]))[0]) for f in forms]
-    texts = [f.decode() for f in forms]
+                found.setdefault(b" ".join(w), []).append(((i, t), k))
+    return found
 
-    def linked(i, j):
-        a, b = texts[i], texts[j]
-        return (sims[i] ^ sims[j]).bit_count() <= lines.DISTANCE and brute.levenshtein(a, b) * 100 <= (100 - lines.PERCENT) * max(len(a), len(b))
 
-    return found, brute.components(len(forms), linked), forms
+def fingerprinted(forms):
+    joined = b" ".join(forms)
+    hashes, at = common.word_hashes(joined)
+    return lines.fingerprints(hashes, np.diff(np.append(at, len(joined) + 1)) - 1, np.cumsum([0, *(len(f.split()) for f in forms[:-1])]))
 
 
 @pytest.mark.parametrize("source", ["documents", "odd"])
 def test_line_dedup(source, request):
+    """Groups by the rule as stated: a shared block and close SimHashes make loose groups, edit similarity the rest."""
     docs = request.getfixturevalue(source)
     if source == "documents":
         docs = docs.filter("doc_id < 70")
     docs = docs.withColumn("text", queries.F.expr("left(text, 3000)"))
-    found, group, forms = brute_lines(pairs(docs))
+    found = line_classes(pairs(docs))
+    forms = list(found)
+    texts = [f.decode() for f in forms]
+    sims, blocks = fingerprinted(forms)
+    loose = brute.components(len(forms), lambda i, j: bool((blocks[i] == blocks[j]).any()) and int(sims[i] ^ sims[j]).bit_count() <= lines.DISTANCE)
+    group = brute.components(len(forms), lambda i, j: loose[i] == loose[j] and brute.levenshtein(texts[i], texts[j]) * 100 <= (100 - lines.PERCENT) * max(len(texts[i]), len(texts[j])))
     got = {(r.doc_id, r.text): [int(x) for x in r.dropped.split(",") if x] for r in lines.report(docs, least=lines.LEAST).join(docs.select("doc_id", "text").distinct(), "doc_id").collect() if r.doc_id is not None}
     by_group = {}
     for f, g in zip(forms, group):
@@ -106,6 +108,38 @@ def test_line_dedup(source, request):
             assert first not in dropped
 
 
+def test_recall_of_similar_lines(spark, sf):
+    """Against edit similarity alone, no SimHash: whole texts of a few hundred documents."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").filter("doc_id < 160")
+    found = line_classes(pairs(docs))
+    texts = [f.decode() for f in found]
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    sizes = np.array([len(texts[i]) for i in order])
+    letters = lines.letter_counts([texts[i] for i in order]).astype(np.int64)
+    label = list(range(len(texts)))
+
+    def root(i):
+        return i if label[i] == i else root(label[i])
+
+    for k, i in enumerate(order):
+        to = int(np.searchsorted(sizes, sizes[k] / 0.85 + 1, "right"))
+        more = letters[k + 1 : to] - letters[k]
+        apart = np.maximum(np.where(more > 0, more, 0).sum(axis=1), -np.where(more < 0, more, 0).sum(axis=1))
+        for m in np.flatnonzero(100 * apart <= 15 * sizes[k + 1 : to]).tolist():
+            j = order[k + 1 + m]
+            if root(i) != root(j) and lines.similar(texts[i], texts[j], 85):
+                label[max(root(i), root(j))] = min(root(i), root(j))
+    places = {}
+    for i, rows_ in enumerate(found.values()):
+        places.setdefault(root(i), []).extend((row[0], k) for row, k in rows_)
+    want = {p for group in places.values() for p in sorted(group)[1:]}
+    got = {(r.doc_id, int(k)) for r in lines.report(docs).collect() for k in r.dropped.split(",") if k}
+    exact = {p for group in found.values() for p in sorted((row[0], k) for row, k in group)[1:]}
+    assert len(want - exact) > 10
+    assert len(got & want) >= 0.9 * len(want) and len((got & want) - exact) >= 0.9 * len(want - exact)
+    assert len(got - want) <= 0.02 * len(want)  # another first of the same group
+
+
 def test_line_dedup_texts(odd, empty, odd_rows):
     out = lines.clean(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
@@ -121,25 +155,61 @@ def test_fuzzy_lines(spark):
     other = line.copy()
     other[70] = "different"
     texts = [" ".join(line), " ".join(other), " ".join(r.choice(words) for _ in range(150))]
-    hashes = common.WordHashes()
-    a, b = (int(lines.simhashes(hashes.of(lines.normal_words(t)), np.array([0]))[0]) for t in texts[:2])
     got = {x.doc_id: x.n_dropped for x in lines.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert got == {0: 0, 1: int((a ^ b).bit_count() <= lines.DISTANCE), 2: 0}
+    assert got == {0: 0, 1: 1, 2: 0}
 
 
-def test_close_simhashes_are_all_found(spark):
+def test_fingerprints_against_a_plain_version():
+    """Blocks and SimHashes word by word; long lines, repeated words, widened blocks."""
     r = random.Random(4)
-    sims = [r.getrandbits(64) for _ in range(150)]
-    for s in sims[:100]:
-        for _ in range(r.randrange(3)):
-            s ^= 1 << r.randrange(64)
-        sims.append(s)
-    data = [(i.to_bytes(2, "big"), s - (1 << 64) if s >= 1 << 63 else s) for i, s in enumerate(sims)]
-    df = spark.createDataFrame(data, "form binary, simhash long")
-    want = brute.components(len(sims), lambda i, j: (sims[i] ^ sims[j]).bit_count() <= lines.DISTANCE)
-    for n in (len(sims), 1 << 30):  # other numbers of blocks, the same result
-        group = {bytes(x.node): bytes(x.component) for x in common.connected_components(lines.close_edges(df, n), spark).collect()}
-        assert [int.from_bytes(group.get(k, k), "big") for k, _ in data] == want
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 40))).encode() for _ in range(3000)]
+    forms = [b" ".join(r.choice(words[:m]) for _ in range(n)) for n, m in [(1, 9), (2, 9), (5, 9), (40, 9), (40, 3000), (3000, 3000), (9000, 3000)] * 3]
+    sims, blocks = fingerprinted(forms)
+    low = lines.WORD_BITS + lines.LENGTH_BITS
+    for f, sim, own in zip(forms, sims, blocks):
+        parts = [{} for _ in range(lines.PARTS)]
+        for w in f.split():
+            h = int(common.WordHashes().of([w])[0]) >> (64 - lines.WORD_BITS)
+            feature = int(common.mixed(np.array([h << lines.LENGTH_BITS | min(len(w), 31)], np.uint64))[0])
+            parts[h >> (lines.WORD_BITS - 3)][feature] = min(len(w), 31)
+
+        def majority(features):
+            bits = [sum(x.to_bytes(8, "little")[b // 8] >> (7 - b % 8) & 1 for x in features) > len(features) // 2 for b in range(64)]
+            return int.from_bytes(np.packbits(bits).tobytes(), "little")
+
+        assert int(sim) == majority([x for p in parts for x in p]) and low == 47
+        for k in range(lines.PARTS):
+            seen, weight = [], 0
+            for p in (*parts[k:], *parts[:k]):
+                seen += p
+                weight += sum(p.values())
+                if weight >= lines.WEIGHT:
+                    break
+            assert int(own[k]) == majority(seen) & 0xFFFFFFFF
+
+
+def test_close_pairs_of_buckets():
+    """Small and large buckets, and families: the same trees as by plain comparison."""
+    r = random.Random(9)
+    base = r.getrandbits(64)
+    family = sorted({base ^ sum(1 << b for b in r.sample(range(64), 6)) for _ in range(1500)})
+    sims = [r.getrandbits(64) for _ in range(300)] + family + [s ^ 5 for s in family[:200]] + [r.getrandbits(64) for _ in range(40)]
+    keys = [7] * 300 + [9] * len(family) + [9] * 200 + [k // 2 for k in range(100, 140)]
+    order = np.argsort(keys, kind="stable")
+    keys, sims = np.array(keys)[order], np.array(sims, np.uint64)[order]
+    i, j = lines.close_pairs(keys, sims)
+    root = list(range(len(keys)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, b in zip(i.tolist(), j.tolist()):
+        assert keys[a] == keys[b] and int(sims[a] ^ sims[b]).bit_count() <= lines.DISTANCE
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = common.spanning(len(keys), lambda x, rest: (keys[rest] == keys[x]) & (np.bitwise_count(sims[rest] ^ sims[x]) <= lines.DISTANCE))
+    assert [find(x) for x in range(len(keys))] == want.tolist()
+    assert len(i) <= 8 * len(keys)
 
 
 def test_most_lines_of_high_edit_similarity_are_linked(spark):
@@ -155,7 +225,7 @@ def test_most_lines_of_high_edit_similarity_are_linked(spark):
     alike = {j for j in range(len(texts)) for i in range(j) if lines.similar(texts[i], texts[j], 85)}
     found = {x.doc_id for x in lines.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() if x.n_dropped}
     assert len(alike) >= 110 and found <= alike
-    assert len(found) >= 0.8 * len(alike)
+    assert len(found) >= 0.95 * len(alike)
 
 
 def test_short_lines_are_deduplicated(spark):
@@ -164,27 +234,6 @@ def test_short_lines_are_deduplicated(spark):
     assert got == {0: "", 1: "0,1", 2: "0"}  # lines without a word stay
 
 
-def test_trees_of_many_close_simhashes_are_whole():
-    r = random.Random(9)
-    base = r.getrandbits(64)
-    family = {base ^ sum(1 << b for b in r.sample(range(64), 6)) for _ in range(1500)}
-    sims = np.array(sorted(family | {r.getrandbits(64) for _ in range(50)}), np.uint64)
-    want = common.spanning(len(sims), lambda i, rest: np.bitwise_count(sims[rest] ^ sims[i]) <= lines.DISTANCE)
-    masks, same = lines.blocks_for(len(sims))
-    place, root = {int(x): i for i, x in enumerate(sims)}, list(range(len(sims)))
-
-    def find(i):
-        return i if root[i] == i else find(root[i])
-
-    for first in range(lines.DISTANCE + 1):
-        shared = sims & np.uint64(masks[first])
-        for value in np.unique(shared):
-            for a, b in zip(*lines.close_pairs(sims[shared == value], first, masks, same)):
-                i, j = find(place[int(a)]), find(place[int(b)])
-                root[max(i, j)] = min(i, j)
-    assert [find(i) for i in range(len(sims))] == want.tolist()
-
-
 def test_edit_distance():
     r = random.Random(2)
     for _ in range(800):

@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import WordHashes, prepare, shingle_hashes, worker_state
+from .common import WordHashes, prepare, row_key, shingle_hashes, unused, worker_state
 
 WIDTH, THRESHOLD = 5, (4, 5)
 #: Characters of items that are sent to the tasks at a time.
@@ -78,16 +79,17 @@ def partitions(items: list[tuple[int, str]], width: int, threshold: tuple[int, i
     return [Partition(own, rows, threshold) for (own, _), rows in sorted(by.items())]
 
 
-def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
-    """Every pair (doc, item) with shared >= threshold * item's shingles: key, item_key, n_item, n_shared."""
+def found(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
+    """matches() and a key of the document's row."""
     spark = docs.sparkSession
     prepare(spark)
-    query = items.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).filter("t is not null")
+    query = items.select(items[item_key].alias("i"), items[item_text].cast("string").alias("t")).filter("t is not null")
     chars = query.agg(F.sum(F.length("t"))).first()[0] or 0
     slices = math.ceil(chars / SLICE_CHARS) or 1
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, `{item_key}` bigint, n_item bigint, n_shared bigint"
-    source, out = docs.select(docs[key], docs[text].cast("string").alias("t")), None
+    kind, item_kind = (df.schema[c].dataType for df, c in ((docs, key), (items, item_key)))
+    schema = f"`{key}` {kind.simpleString()}, `{item_key}` {item_kind.simpleString()}, n_item bigint, n_shared bigint, row struct<h:bigint,g:bigint>"
+    item_type = to_arrow_type(item_kind)
+    source, out = docs.select(docs[key], docs[text].cast("string").alias("t"), row_key(docs, key, text).alias("row")), None
     for s in range(slices):
         rows = [(r.i, r.t) for r in query.filter(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == s).collect()]  # at most about SLICE_CHARS
         sent, name = spark.sparkContext.broadcast(rows), f"items:{uuid.uuid4().hex}"
@@ -106,14 +108,20 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: tu
                             if sets[p.width] is not None:
                                 for i, n in p.search(sets[p.width]):
                                     row.append(k), item.append(names[p.items[i][0]]), size.append(len(p.items[i][1])), shared.append(n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (item, size, shared))], names=[key, item_key, "n_item", "n_shared"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(item, item_type), *(pa.array(x, pa.int64()) for x in (size, shared)), batch.column(2).take(pa.array(row, pa.int64()))], names=[key, item_key, "n_item", "n_shared", "row"])
 
         part = source.mapInArrow(work, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """Documents that contain no item."""
-    found = matches(docs, items, **options).select(F.col("doc_id").alias("contaminated")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["contaminated"]), "left_anti")
+def matches(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """Every pair (doc, item) with shared >= threshold * item's shingles: key, item_key, n_item, n_shared."""
+    return found(docs, items, **options).drop("row")
+
+
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """Documents that contain no item. Rows go, not ids."""
+    own = unused(docs, "row")
+    gone = found(docs, items, text=text, key=key, **options).select(F.col("row").alias(own)).distinct()
+    return docs.withColumn(own, row_key(docs, key, text)).join(gone, own, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import bomlake
 from bomlake.llm import bpe, classifier, common, decontaminate, lines, near, pii, quality, queries, sharding, urls, wordpieces
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -92,7 +93,7 @@ def test_line_dedup(source, request):
     texts = [f.decode() for f in forms]
     sims, blocks = fingerprinted(forms)
     loose = brute.components(len(forms), lambda i, j: bool((blocks[i] == blocks[j]).any()) and int(sims[i] ^ sims[j]).bit_count() <= lines.DISTANCE)
-    group = brute.components(len(forms), lambda i, j: loose[i] == loose[j] and brute.levenshtein(texts[i], texts[j]) * 100 <= (100 - lines.PERCENT) * max(len(texts[i]), len(texts[j])))
+    group = brute.components(len(forms), lambda i, j: loose[i] == loose[j] and int(sims[i] ^ sims[j]).bit_count() <= lines.DISTANCE and brute.levenshtein(texts[i], texts[j]) * 100 <= (100 - lines.PERCENT) * max(len(texts[i]), len(texts[j])))
     got = {(r.doc_id, r.text): [int(x) for x in r.dropped.split(",") if x] for r in lines.report(docs, least=lines.LEAST).join(docs.select("doc_id", "text").distinct(), "doc_id").collect() if r.doc_id is not None}
     by_group = {}
     for f, g in zip(forms, group):
@@ -293,6 +294,40 @@ def test_connected_components(spark):
     assert common.connected_components(spark.createDataFrame([], "a long, b long"), spark).count() == 0
 
 
+def test_clean_drops_rows_and_not_ids(spark):
+    """Rows that share an id are judged by their own texts; other key names and types."""
+    t, other = "one two three four five six seven eight nine", "another text altogether with ten words in it or so"
+    data = [("b", t, 0), ("e", t, 1), ("e", other, 2), (None, t, 3), ("a", None, 4), ("f", other, 5), ("a", "", 6), ("b", t, 7)]
+    docs = spark.createDataFrame(data, "id string, body string, row long")
+    assert sorted(r["row"] for r in near.clean(docs, text="body", key="id").collect()) == [0, 2, 4, 6, 7]
+    items = spark.createDataFrame([("a1", other), ("a2", None)], "name string, text string")
+    left = decontaminate.clean(docs, items, text="body", key="id", item_key="name")
+    assert left.columns == docs.columns and sorted(r["row"] for r in left.collect()) == [0, 1, 3, 4, 6, 7]
+    assert {(r.id, r.name) for r in decontaminate.matches(docs, items, text="body", key="id", item_key="name").collect()} == {("e", "a1"), ("f", "a1")}
+    clashing = spark.createDataFrame([(1, "a line of text\nb", 1, 2), (2, "a line of text", 3, 4)], "doc_id long, text string, dropped long, row long")
+    assert sorted(tuple(r) for r in lines.clean(clashing).collect()) == [(1, "a line of text\nb", 1, 2), (2, "", 3, 4)]
+
+
+def test_executors_without_the_repository(tmp_path, small):
+    """Functions travel by value: workers that can't import the package run every operator that needs Python."""
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(bomlake.__file__))!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+import bomlake.llm.queries as q
+for name in ("op1_bpe", "op2_line_dedup", "op3_near_dedup", "op4_token_counts", "op10_decontamination"):
+    print(name, q.QUERIES[name](spark, {small!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONPATH": os.pathsep.join(p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and not os.path.isdir(f"{p}/bomlake"))}
+    ran = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert ran.returncode == 0 and ran.stdout.count("op") == 5, ran.stderr[-3000:]
+
+
 # 4
 
 

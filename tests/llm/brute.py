@@ -94,6 +94,29 @@ def quality(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed
 
 
+def failing_lines(text, signs="#*$%&|<>", decoration="#*$%&|<>~^_="):
+    """Numbers of the lines that the rules fail, word by word."""
+    lines = (text or "").split("\n")
+    out, menu = set(), []
+    for k, line in enumerate(lines):
+        words = WORD.findall(line)
+        n = len(words)
+        doubled = lambda w: any(a in decoration and b in decoration for a, b in zip(w, w[1:]))
+        decorated = sum(w[-1] in signs or doubled(w) for w in words)
+        shouted = sum(("!!" in w or not re.search("[a-z]", w)) and bool(re.search("[A-Z]{2}|!!", w)) for w in words)
+        bars = sum(not re.sub(r"::|[|>\u00bb\u00b7/]", "", w) for w in words)
+        if n >= 4 and (100 * decorated > 30 * n or 100 * shouted > 60 * n or 100 * bars > 20 * n):
+            out.add(k)
+        phrases = ("cookie", "copyright", "all rights reserved", "terms of use", "terms of service", "privacy policy", "lorem ipsum", "javascript", "click here", "read more", "subscribe", "sign up", "log in", "login")
+        if n <= 12 and any(p in line.lower() for p in phrases):
+            out.add(k)
+        menu.append(1 <= n <= 3 and len(line) <= 40 and not line.rstrip("\t\n\x0b\x0c\r ").endswith(tuple(".!?;:,\"')]\u2026\u3002\uff01\uff1f\u00bb\u201d")))
+    for k in range(len(lines) - 2):
+        if all(menu[k : k + 3]):
+            out |= {k, k + 1, k + 2}
+    return out
+
+
 def crc(text):
     return zlib.crc32((text or "").encode())
 

@@ -17,6 +17,10 @@ def rows(df):
     return Counter(tuple(r) for r in df.collect())
 
 
+def spark_of(df):
+    return df.sparkSession
+
+
 def pairs(df):
     return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
 
@@ -465,11 +469,20 @@ def test_url_rules_are_mined(spark):
 
 def test_quality(odd, empty, odd_rows, documents):
     for docs, data in ((odd, odd_rows), (documents, pairs(documents))):
-        got = quality.verdicts(docs.select("doc_id", "text")).select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")])
-        assert rows(got) == Counter((i, *brute.quality(t)) for i, t in data)
+        got = quality.verdicts(docs.select("doc_id", "text")).select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost_words", "kept")])
+        want = Counter()
+        for i, t in data:
+            base, failing, lines_ = brute.quality(t), brute.failing_lines(t), (t or "").split("\n")
+            lost = sum(len(brute.WORD.findall(lines_[k])) for k in failing)
+            want[i, *base, lost, not base[-1] and 100 * lost <= quality.MAX_LOST * base[0]] += 1
+        assert rows(got) == want
     assert quality.verdicts(empty).count() == 0
     out = quality.clean(odd)
     assert out.columns == odd.columns and {r.quality for r in out.collect()} == {"own"}
+    r = random.Random(12)  # windows that repeat, overlap and adjoin
+    texts = [" ".join(r.choice("abc") for _ in range(r.randrange(60))) for _ in range(300)]
+    got = quality.verdicts(spark_of(odd).createDataFrame([(t,) for t in texts], "text string")).select("text", "quality.n_repeat_words").collect()
+    assert [x.n_repeat_words for x in got] == [brute.quality(x.text)[4] for x in got]
 
 
 def test_line_rules(spark):
@@ -477,6 +490,11 @@ def test_line_rules(spark):
     cases = [(good, False), ("WIN!! A!! PRIZE!! NOW!!", True), ("home | news | sport | contact | help", True), ("buy### now*** cheap$$$ pills&&&", True), ("Read more", True), ("", False), ("   ", False), ("HTML and CSS are fine here too", False)]
     df = spark.createDataFrame([(t,) for t, _ in cases], "text string")
     assert [r[0] for r in df.select(quality.line_fails(df["text"])).collect()] == [f for _, f in cases]
+    assert [bool(brute.failing_lines(t)) for t, _ in cases] == [f for _, f in cases]
+    menus = ["Home\nAbout us\nContact", "Home\nAbout us", "Home\n\nAbout us\nNews", "Yes.\nNo!\nWell, then;", "a\nb\nc\nd e f g\nh\ni\nj\nk"]
+    df = spark.createDataFrame([(t,) for t in menus], "text string")
+    want = [[x for k, x in enumerate(t.split("\n")) if k not in brute.failing_lines(t)] for t in menus]
+    assert [r[0] for r in df.select(quality.good_lines(quality.lines_of(df["text"]), quality.BOILERPLATE)).collect()] == want
     text = "\n".join([" ".join(f"word{i}," for i in range(40)), "Read more", "home | news | sport | contact | help"])
     (row,) = quality.clean(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert row.text == text.split("\n")[0]

@@ -64,6 +64,30 @@ def composing() -> frozenset[str]:
     return frozenset(seconds | {chr(c) for c in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]})
 
 
+#: Neither letter, number nor white space.
+STAND_IN = "\ue000"
+
+
+def newer_characters() -> frozenset[str]:
+    """Letters and numbers of this Python's Unicode version that the tokenizers library, whose version is older, doesn't know as such."""
+    import regex
+    from tokenizers import Regex, pre_tokenizers
+
+    every = "".join(chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000)
+    out: list[str] = []
+    for kind in (r"\p{L}", r"\p{N}"):
+        own, rest = "".join(regex.findall(kind, every)), pre_tokenizers.Split(Regex(f"{kind}+"), "removed")
+        for i in range(0, len(own), 1024):
+            out += [x for x, _ in rest.pre_tokenize_str(own[i : i + 1024])]
+    return frozenset("".join(out))
+
+
+def normalizer():
+    from tokenizers import normalizers
+
+    return worker_state("bpe", "normalizer", lambda: normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]))
+
+
 class Vocabulary:
     """A tokenizer file: ids, merge ranks and the lookahead that follows from them."""
 
@@ -91,6 +115,8 @@ class Vocabulary:
         self.spaces = regex.compile(f"[{SPACES}]+")
         self.letter_run = regex.compile(r"\p{L}*")
         self.other_run = regex.compile(PIECES.rsplit("|", 1)[1].replace(r"\s", SPACES)[:-1] + "*")
+        self.newer = newer_characters()
+        self.stand_ins = dict.fromkeys(map(ord, self.newer), STAND_IN)
         self.composing: frozenset[str] | None = None
         self.known: dict[str, bytes] = {}
         self.pieced: dict[str, list[int]] = {}
@@ -98,11 +124,19 @@ class Vocabulary:
     def joins_previous(self, c: str) -> bool:
         if self.composing is None:
             self.composing = composing()
-        return unicodedata.combining(c) > 0 or c in self.composing
+        return unicodedata.category(c) in ("Mn", "Mc", "Cn") or unicodedata.combining(c) > 0 or c in self.composing
 
     def normal(self, text: str) -> str:
-        """NFC and lower case, each character for itself."""
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        """NFC and lower case, each character for itself, by the tokenizers library's own tables where these matter."""
+        return text.lower() if text.isascii() else normalizer().normalize_str(text)
+
+    def classed(self, text: str) -> str:
+        """The text with a stand-in for each character that is no letter or number to the tokenizers library."""
+        return text if text.isascii() or self.newer.isdisjoint(text) else text.translate(self.stand_ins)
+
+    def split(self, text: str) -> list[str]:
+        classed = self.classed(text)
+        return self.pieces.findall(text) if classed is text else [text[m.start() : m.end()] for m in self.pieces.finditer(classed)]
 
     def symbols(self, piece: str) -> list[str]:
         letters = self.letters
@@ -214,7 +248,7 @@ class Encoder:
         else:
             v, ids, at = self.v, [], 0
             for m in [*v.special.finditer(chunk), None]:
-                for piece in v.pieces.findall(v.normal(chunk[at : m.start() if m else len(chunk)])):
+                for piece in v.split(v.normal(chunk[at : m.start() if m else len(chunk)])):
                     ids += v.pieced[piece] if piece in v.pieced else self._piece(piece)
                 if m:
                     ids.append(v.specials[m.group()])
@@ -276,8 +310,9 @@ class Encoder:
     def _pieces(self, text: str, closed: bool) -> list[int]:
         v, out, at = self.v, [], 0
         self.rest = ""
+        classed = v.classed(text)
         if self.open:
-            at = (v.letter_run if self.open == "L" else v.other_run).match(text).end()
+            at = (v.letter_run if self.open == "L" else v.other_run).match(classed).end()
             out += self.word.feed(v.symbols(text[:at]))
             if at < len(text) or closed:
                 out += self.word.finish()
@@ -285,18 +320,14 @@ class Encoder:
         if self.open:
             return out
         stop = len(text) if closed else len(text) - 3  # a contraction has three characters at most
-        for m in v.pieces.finditer(text, at):
+        for m in v.pieces.finditer(classed, at):
             if m.start() >= stop:
                 break
             at = m.end()
-            out += self.word.feed(v.symbols(m.group()))
-            if at == len(text) and not closed and not v.pieces.fullmatch(m.group()[0]) is None and not m.group()[0].isnumeric() and not m.group().startswith("'"):
-                self.open = "L" if v.letter_run.match(m.group()).end() else "O"
-            elif at == len(text) and not closed and not m.group()[0].isnumeric():
-                self.open = "O" if v.other_run.match(m.group()).end() == len(m.group()) else ""
-                if not self.open:
-                    out += self.word.finish()
-            else:
+            out += self.word.feed(v.symbols(text[m.start() : at]))
+            if at == len(text) and not closed:  # numbers and contractions are whole, runs may go on
+                self.open = "L" if v.letter_run.fullmatch(m.group()) else "O" if v.other_run.fullmatch(m.group()) else ""
+            if not self.open:
                 out += self.word.finish()
         self.rest = "" if closed else text[at:]
         return out

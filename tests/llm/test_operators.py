@@ -47,6 +47,19 @@ def test_bpe_matches_the_library(odd_rows, documents):
         assert "".join(decoder.feed(bpe.packed(ids[i : i + 5])) for i in range(0, len(ids), 5)) + decoder.finish() == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_matches_the_library_on_every_code_point():
+    """Every scalar value between letters, alone, before a number and after a mark; runs without white space, in parts."""
+    library = Tokenizer.from_file(PATH)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{c}b {c} {c}1 e\u0301{c}" for c in every[i : i + 400]) for i in range(0, len(every), 400)]
+    assert [encoded(t, 1 << 16) for t in texts] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    r = random.Random(4)
+    marks = [c for c in every if bpe.unicodedata.combining(c)]
+    dense = ["".join(r.choice(every) + (r.choice(marks) if r.random() < 0.2 else "") for _ in range(6000)) for _ in range(12)]
+    dense += ["\u4e00\u4e8c\u4e09" * 3000, "\u0558\u1c89" * 3000, "\u2167\u00bd" * 3000]
+    assert [encoded(t, 777) for t in dense] == [x.ids for x in library.encode_batch(dense, add_special_tokens=False)]
+
+
 def test_bpe_memory_is_bounded():
     v = bpe.vocabulary(PATH)
     word = bpe.WordTransducer(v)

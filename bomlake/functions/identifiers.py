@@ -43,13 +43,13 @@ def ecosystem(purl: Column) -> Column:
 
 
 def purl_key(purl: Column) -> Column:
-    """Without qualifiers and subpath, in lower case."""
-    return F.lower(F.regexp_replace(purl, r"[?#].*$", ""))
+    """Without qualifiers and what follows them, in lower case; a subpath without qualifiers stays."""
+    return F.lower(F.when(F.instr(purl, "?") > 1, F.substring_index(purl, "?", 1)).otherwise(purl))
 
 
 def purl_coordinates(purl: Column) -> Column:
     """Without version, too."""
-    return F.split_part(purl_key(purl), F.lit("@"), F.lit(1))
+    return F.split_part(F.lower(F.regexp_replace(purl, r"[?#].*$", "")), F.lit("@"), F.lit(1))
 
 
 def guess_cpe(p: Column) -> Column:

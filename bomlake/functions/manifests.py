@@ -53,8 +53,22 @@ def from_chart(text: Column) -> Column:
     return stated("helm", *[F.regexp_extract(text, rf"""(?m)^{k}:[ \t]*['"]?([^'"#\s]+)""", 1) for k in ("name", "version")])
 
 
+def assigned(text: Column, attribute: str) -> Column:
+    """The first quoted text on the line that sets an attribute; a call around it doesn't matter."""
+    lines = F.filter(F.split(text, "\r?\n"), lambda x: F.split_part(F.trim(F.split_part(x, F.lit("="), F.lit(1))), F.lit("."), F.lit(-1)) == attribute)
+    value = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
+    return F.split_part(F.translate(F.substr(value, F.locate("=", value) + F.lit(1)), "'", '"'), F.lit('"'), F.lit(2))
+
+
 def from_gemspec(text: Column) -> Column:
-    return stated("gem", F.regexp_extract(text, rf"(?m)^\s*\w+\.name\s*=\s*{QUOTED}", 1), F.regexp_extract(text, rf"(?m)^\s*\w+\.version\s*=\s*(?:Gem::Version\.new\()?{QUOTED}", 1))
+    return stated("gem", assigned(text, "name"), assigned(text, "version"))
+
+
+def from_go_mod(text: Column) -> Column:
+    """The path that follows the word `module` at the start of a line."""
+    words = F.transform(F.split(text, "\r?\n"), lambda x: F.split(x, r"\s+"))
+    stated_ = F.filter(words, lambda w: (w[0] == "module") & (F.size(w) > 1))
+    return stated("golang", F.coalesce(F.get(F.get(stated_, F.lit(0)), F.lit(1)), F.lit("")), F.lit(""))
 
 
 def identity(path: Column, text: Column) -> Column:
@@ -64,7 +78,7 @@ def identity(path: Column, text: Column) -> Column:
         F.when(base == "package.json", from_json("npm", text))
         .when(base == "composer.json", from_json("composer", text))
         .when(base == "Cargo.toml", stated("cargo", toml(text, "package", "name"), toml(text, "package", "version")))
-        .when(base == "go.mod", stated("golang", F.regexp_extract(text, r"(?m)^module\s+(\S+)", 1), F.lit("")))
+        .when(base == "go.mod", from_go_mod(text))
         .when(base == "pom.xml", from_pom(text))
         .when(base == "pyproject.toml", from_pyproject(text))
         .when((base == "METADATA") & P.parent(path).endswith(".dist-info"), from_metadata(text))

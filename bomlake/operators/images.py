@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,11 +86,34 @@ def documentation(path: Column) -> Column:
     return F.lower(P.basename(path)).isin(*DOC_NAMES) | P.extension(path).isin(*DOC_SUFFIXES)
 
 
+#: What a directory's direct children tell of a source tree (fixed values): names in lower case but for build files.
+CHILDREN = {
+    "makefile": r"^(Makefile|makefile|GNUmakefile)$", "configure": r"^configure(\.ac|\.in)?$", "cmake": r"^CMakeLists\.txt$",
+    "readme": r"(?i)^readme", "license": r"(?i)^(licen[sc]e|copying$|copying\.lib$)", "src": r"(?i)^src$", "include": r"(?i)^include$", "tests": r"(?i)^(tests?|spec)$",
+}
+#: Scores (fixed values): signals that must all be there, and points.
+DENSITY = [(("makefile", "configure"), 5), (("cmake",), 4), (("versioned",), 5), (("src", "include"), 3), (("tests",), 2), (("license", "readme"), 2), (("over_100",), 1), (("over_1000",), 2)]
+#: A directory's own name that ends in a version.
+VERSIONED = r"^(.+)[-_]v?([0-9]+(?:\.[0-9A-Za-z]+)+)$"
+
+
 def directories(files: DataFrame) -> DataFrame:
-    """(path, size) -> for every directory: files and bytes below it, distinct direct children."""
+    """(path, size) -> for every directory: files and bytes below it, distinct direct children, and what these tell.
+
+    Null paths and files at the root have no directory; an empty table gives no rows.
+    """
     parts = F.split("path", "/")
-    below = files.select("path", "size", F.explode(F.sequence(F.lit(1), F.size(parts) - 1)).alias("n"), parts.alias("parts")).select("path", "size", F.array_join(F.slice("parts", 1, F.col("n")), "/").alias("dir"), F.get("parts", F.col("n")).alias("child"))
-    return below.groupBy("dir").agg(F.count("*").alias("n_files"), F.sum("size").alias("bytes"), F.count_distinct("child").alias("children"))
+    below = files.select("path", "size", F.explode(F.sequence(F.lit(1), F.size(parts) - 1)).alias("n"), parts.alias("parts")).filter("n > 0").select("path", "size", F.array_join(F.slice("parts", 1, F.col("n")), "/").alias("dir"), F.get("parts", F.col("n")).alias("child"))
+    told = [F.bool_or(F.col("child").rlike(pattern)).alias(name) for name, pattern in CHILDREN.items()]
+    return below.groupBy("dir").agg(F.count("*").alias("n_files"), F.sum("size").alias("bytes"), F.count_distinct("child").alias("children"), *told)
+
+
+def density(dirs: DataFrame) -> DataFrame:
+    """Adds the score of each directory, and name and version that its own name states ('' without)."""
+    own = P.basename(F.col("dir"))
+    scored = dirs.withColumns({"name": F.regexp_extract(own, VERSIONED, 1), "version": F.regexp_extract(own, VERSIONED, 2)})
+    signs = {"versioned": F.col("version") != "", "over_100": F.col("n_files") > 100, "over_1000": F.col("n_files") > 1000, **{c: F.col(c) for c in CHILDREN}}
+    return scored.withColumn("score", reduce(lambda a, b: a + b, [F.when(reduce(lambda x, y: x & y, [signs[n] for n in names]), points).otherwise(0) for names, points in DENSITY]))
 
 
 def dense(dirs: DataFrame, least: int = 7) -> DataFrame:
@@ -96,15 +121,14 @@ def dense(dirs: DataFrame, least: int = 7) -> DataFrame:
 
     Taking a directory blocks the rest of its top directory, so one minimum a top directory is the whole rule.
     """
-    score = F.when(F.col("n_files") > 1000, 2).when(F.col("n_files") > 100, 1).otherwise(0) + F.when(F.col("children") >= 50, 5).otherwise(0) + F.when(F.col("dir").rlike("[0-9]"), 5).otherwise(0) + F.when(F.col("bytes") > 100_000, 2).otherwise(0)
-    scored = dirs.withColumn("score", score).filter((F.col("children") >= 3) & (F.col("score") >= least))
+    scored = density(dirs).filter((F.col("children") >= 3) & (F.col("score") >= least))
     return scored.groupBy(F.split_part(F.col("dir"), F.lit("/"), F.lit(1)).alias("top")).agg(F.min(F.struct("dir", "score", "n_files")).alias("m")).select("top", "m.dir", "m.score", "m.n_files")
 
 
 def contained(files: DataFrame, roots: DataFrame) -> DataFrame:
     """(path), (root) -> the deepest root that a path lies under."""
     up = files.select("path", F.explode(P.ancestors(F.col("path"))).alias("root"))
-    return up.join(F.broadcast(roots) if roots.isEmpty() else roots, "root").groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
+    return up.join(roots, "root").groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
 
 
 def lookup(files: DataFrame, catalogue: DataFrame) -> DataFrame:

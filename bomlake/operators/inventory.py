@@ -11,9 +11,24 @@ from bomlake.plans.tables import cut
 
 
 def identity(c: DataFrame) -> Column:
-    """package URL, else type:name:version, else the row itself: such rows never merge."""
-    named = F.when(F.col("name") != "", F.concat_ws(":", F.col("ctype"), "name", "version"))
-    return F.when(F.col("purl") != "", I.purl_key(F.col("purl"))).otherwise(F.coalesce(named, F.concat(F.lit("row:"), F.col("ord"))))
+    """The most precise of package URL, CPE name, SHA-256 and type with name and version; else the row itself.
+
+    Nulls count as empty texts; a table without a column for one of them has none. Rows without any never merge.
+    """
+    has = lambda x: c[x] if x in c.columns else F.lit("")
+    known = [
+        F.when(c["purl"] != "", F.concat(F.lit("purl:"), I.purl_key(c["purl"]))),
+        F.when(F.trim(has("cpe")) != "", F.concat(F.lit("cpe:"), F.lower(F.trim(has("cpe"))))),
+        F.when(has("sha256") != "", F.concat(F.lit("sha256:"), F.lower(has("sha256")))),
+        F.when((c["name"] != "") & (c["version"] != ""), F.concat(F.lit("nvt:"), F.lower(F.concat_ws(":", c["ctype"], c["name"], c["version"])))),
+    ]
+    return F.coalesce(*known, F.concat(F.lit("row:"), c["ord"]))
+
+
+def strength(c: DataFrame) -> Column:
+    """How much a component tells (fixed values): a package URL, a CPE name, each place it was found at."""
+    has = lambda x, none: F.coalesce(c[x], none) if x in c.columns else none
+    return F.when(c["purl"] != "", 100).otherwise(0) + F.when(has("cpe", F.lit("")) != "", 10).otherwise(0) + has("n_locations", F.lit(0)).cast("int")
 
 
 def deduplicated(components: DataFrame) -> DataFrame:
@@ -21,8 +36,7 @@ def deduplicated(components: DataFrame) -> DataFrame:
 
     The primary is chosen by aggregation, not by a window, so a group is reduced before the shuffle.
     """
-    score = F.when(F.col("purl") != "", 100).otherwise(0)
-    rank = F.struct(score.alias("score"), (-F.col("ord")).alias("before"))
+    rank = F.struct(strength(components).alias("score"), (-F.col("ord")).alias("before"))
     kept = F.struct(*[c for c in components.columns])
     return (
         components.withColumn("key", identity(components))
@@ -49,13 +63,6 @@ def lifted(nested: DataFrame) -> DataFrame:
     return nested.groupBy("key").agg(F.min_by("parent", "ord").alias("embedded_in"), F.count_distinct("parent").alias("edges"))
 
 
-def attribute_score(wanted: Column, found: Column, exact: float, normalised: float, part: float) -> Column:
-    """Decimal shares for an exact, normalised or partial match."""
-    plain = lambda c: F.translate(c, "-.", "__")
-    d = lambda x: F.lit(x).cast("decimal(3,2)")
-    return F.when(wanted == found, d(exact)).when(plain(wanted) == plain(found), d(normalised)).when(found.contains(wanted) | wanted.contains(found), d(part)).otherwise(d(0.0))
-
-
 def candidates(components: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Dictionary hits (by type, namespace and name) and guesses, the highest confidence kept for each CPE."""
     # a generator parses once; as a plain column each use below would parse again
@@ -113,13 +120,18 @@ def repeated_refs(refs: DataFrame, key: str = "dst") -> DataFrame:
     return refs.groupBy(key).agg((F.count("*") - 1).alias("repeats")).filter("repeats > 0")
 
 
-def levels(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(name, dep) of a DAG -> (name, level): 0 without dependencies, else one more than the highest dependency."""
+def levels(edges: DataFrame) -> DataFrame:
+    """(name, dep) of a DAG -> (name, level): 0 without dependencies, else one more than the highest dependency.
+
+    A round a level, however many there are; a cycle raises an error, an empty table has no rows.
+    """
     known = cut(edges.select(F.col("dep").alias("name")).distinct().join(edges.select("name").distinct(), "name", "left_anti").withColumn("level", F.lit(0)))
-    for _ in range(most):
+    while True:
         ready = edges.join(known.withColumnRenamed("name", "dep"), "dep", "left").groupBy("name").agg(F.count_if(F.col("level").isNull()).alias("open"), (F.max("level") + 1).alias("level")).filter("open = 0").select("name", "level")
         ready = cut(ready.join(known, "name", "left_anti"))
         if ready.isEmpty():
-            return known
+            break
         known = cut(known.unionByName(ready))
-    raise ValueError("the dependencies have a cycle or are too deep")
+    if not edges.join(known, "name", "left_anti").isEmpty():
+        raise ValueError("the dependencies have a cycle")
+    return known

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bomlake.functions import identifiers as I
 from bomlake.functions import paths as P
-from bomlake.operators import builds, enrichment, exposition, images, inventory, merging, search, validators
+from bomlake.operators import builds, enrichment, exposition, images, inventory, merging, sarif, search, validators
 from bomlake.sources import adapters, documents
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 C, E, L, FILES, PATHS, M = (adapters.sql(v) for v in ("components", "edges", "layer_entries", "files", "paths", "metrics"))
-KEY = r"CASE WHEN purl <> '' THEN lower(regexp_replace(purl, '[?#].*$', '')) WHEN name <> '' THEN concat_ws(':', ctype, name, version) ELSE concat('row:', ord) END"
+KEY = "CASE WHEN purl <> '' THEN concat('purl:', lower(CASE WHEN strpos(purl, '?') > 1 THEN left(purl, strpos(purl, '?') - 1) ELSE purl END)) WHEN trim(cpe) <> '' THEN concat('cpe:', lower(trim(cpe))) WHEN sha256 <> '' THEN concat('sha256:', lower(sha256)) WHEN name <> '' AND version <> '' THEN concat('nvt:', lower(ctype), ':', lower(name), ':', lower(version)) ELSE concat('row:', ord) END"
+STRENGTH = "(CASE WHEN purl <> '' THEN 100 ELSE 0 END + CASE WHEN cpe <> '' THEN 10 ELSE 0 END + n_locations)"
 NOW = "2000-01-01"
 BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 50.0, 100.0]
 
@@ -33,7 +37,7 @@ def view(spark, sf_dir, name):
     return adapters.view(spark, sf_dir, name)
 
 
-RANKED = f"(SELECT *, row_number() OVER (PARTITION BY key ORDER BY CASE WHEN purl <> '' THEN 100 ELSE 0 END DESC, ord) AS nth, min(ord) OVER (PARTITION BY key) AS place, count(*) OVER (PARTITION BY key) AS members FROM (SELECT *, {KEY} AS key FROM {C}))"
+RANKED = f"(SELECT *, row_number() OVER (PARTITION BY key ORDER BY {STRENGTH} DESC, ord) AS nth, min(ord) OVER (PARTITION BY key) AS place, count(*) OVER (PARTITION BY key) AS members FROM (SELECT *, {KEY} AS key FROM {C}))"
 
 
 @query(f"SELECT key, bom_ref, ctype, name, version, place, members, coalesce(suppliers, '') AS suppliers FROM {RANKED} LEFT JOIN (SELECT {KEY} AS k, string_agg(DISTINCT supplier, ',' ORDER BY supplier) FILTER (WHERE supplier <> '') AS suppliers FROM {C} GROUP BY 1) ON k = key WHERE nth = 1")
@@ -70,24 +74,24 @@ def cpe_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("bom_ref", "cpe", I.cpe_valid(F.col("cpe")).alias("valid"))
 
 
-DICTIONARY = f"(SELECT DISTINCT eco AS d_type, lower(ns) AS d_ns, lower(name) AS d_name, 'acme' AS d_vendor, lower(name) AS d_product FROM {C} WHERE ord % 5 = 0)"
+DICTIONARY = f"(SELECT DISTINCT eco AS d_type, lower(ns) AS d_ns, lower(name) AS d_name, 'acme' AS d_vendor, lower(name) AS d_product FROM {C})"
 CANDIDATES = f"(SELECT bom_ref, cpe, max(confidence) AS confidence, string_agg(DISTINCT source, '+' ORDER BY source) AS source FROM (SELECT bom_ref, {cpe('d_vendor', 'd_product')} AS cpe, CAST(0.95 AS DECIMAL(3,2)) AS confidence, 'dictionary' AS source FROM {PARTS} JOIN {DICTIONARY} ON type = d_type AND lower(namespace) = d_ns AND lower(pname) = d_name UNION ALL SELECT bom_ref, {cpe(VENDOR, 'pname')}, CAST(0.70 AS DECIMAL(3,2)), 'heuristic' FROM {PARTS}) GROUP BY 1, 2)"
 
 
 @query(f"SELECT *, CASE WHEN row_number() OVER (PARTITION BY bom_ref ORDER BY confidence DESC, source, cpe) = 1 AND confidence >= 0.70 THEN 'primary' WHEN confidence >= 0.50 THEN 'alternative' ELSE 'rejected' END AS status FROM {CANDIDATES}")
 def cpe_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = view(spark, sf_dir, "components")
-    dictionary = c.filter("ord % 5 = 0").select(F.col("eco").alias("d_type"), F.lower("ns").alias("d_ns"), F.lower("name").alias("d_name"), F.lit("acme").alias("d_vendor"), F.lower("name").alias("d_product")).distinct()
+    dictionary = c.select(F.col("eco").alias("d_type"), F.lower("ns").alias("d_ns"), F.lower("name").alias("d_name"), F.lit("acme").alias("d_vendor"), F.lower("name").alias("d_product")).distinct()
     return inventory.classified(inventory.candidates(c, dictionary))
 
 
-SCORE = "CASE WHEN w = f THEN {0} WHEN translate(w, '-.', '__') = translate(f, '-.', '__') THEN {1} WHEN contains(f, w) OR contains(w, f) THEN {2} ELSE 0.00 END"
+SCORE = "CASE WHEN w = f THEN {0} WHEN translate(w, '-.', '__') = translate(f, '-.', '__') THEN {1} WHEN w <> '' AND f <> '' AND (contains(f, w) OR contains(w, f)) THEN {2} ELSE 0.00 END"
 
 
 @query(f"SELECT bom_ref, CAST({SCORE.format('0.50', '0.40', '0.10')} AS DECIMAL(3,2)) AS vendor_score FROM (SELECT bom_ref, lower(supplier) AS w, lower({VENDOR}) AS f FROM {PARTS})")
 def cpe_vendor_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = view(spark, sf_dir, "components").filter("purl <> ''").withColumn("g", I.guess_cpe(I.parse_purl(F.col("purl"))))
-    return c.select("bom_ref", inventory.attribute_score(F.lower("supplier"), F.col("g.vendor"), 0.50, 0.40, 0.10).alias("vendor_score"))
+    return c.select("bom_ref", search.vendor_share(F.lower("g.vendor"), F.lit(""), F.lower("supplier")).cast("decimal(3,2)").alias("vendor_score"))
 
 
 LIVE = f"(SELECT path, layer, seq FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY layer DESC, seq DESC, op DESC) AS nth FROM {L}) WHERE nth = 1 AND op = 'add')"
@@ -132,10 +136,17 @@ def base_path_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 LAYERS = f"(SELECT layer AS idx, md5(concat('layer', layer, ':', count(*))) AS digest FROM {L} GROUP BY layer)"
 
 
-@query(f"SELECT bool_and(digest = digest) AS is_prefix, count(*) AS base_layers FROM {LAYERS} WHERE idx < 4")
+#: Bases against the whole image: its first layers, these with one changed, more layers than it has, none.
+BASES = f"(SELECT 'same' AS base, idx, digest FROM {LAYERS} WHERE idx < 4 UNION ALL SELECT 'changed', idx, CASE WHEN idx = 2 THEN 'x' ELSE digest END FROM {LAYERS} WHERE idx < 4 UNION ALL SELECT 'longer', idx, digest FROM {LAYERS} UNION ALL SELECT 'longer', 99, 'y')"
+
+
+@query(f"SELECT base, count(*) FILTER (WHERE l.digest IS NULL OR l.digest <> b.digest) = 0 AS is_prefix, count(*) AS base_layers FROM {BASES} b LEFT JOIN {LAYERS} l USING (idx) GROUP BY 1 UNION ALL SELECT 'empty', false, 0")
 def base_layer_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    layers = view(spark, sf_dir, "layer_entries").groupBy(F.col("layer").alias("idx")).agg(F.count("*").alias("n")).select("idx", F.md5(F.concat(F.lit("layer"), "idx", F.lit(":"), "n")).alias("digest"))
-    return images.layer_prefix(layers, layers.filter("idx < 4"))
+    layers = view(spark, sf_dir, "layer_entries").groupBy(F.col("layer").alias("idx")).agg(F.count("*").alias("n")).select(F.col("idx").cast("int").alias("idx"), F.md5(F.concat(F.lit("layer"), "idx", F.lit(":"), "n")).alias("digest"))
+    first = layers.filter("idx < 4")
+    changed = first.withColumn("digest", F.when(F.col("idx") == 2, "x").otherwise(F.col("digest")))
+    bases = {"same": first, "changed": changed, "longer": layers.unionByName(spark.range(1).selectExpr("99 AS idx", "'y' AS digest")), "empty": first.filter("false")}
+    return reduce(DataFrame.unionByName, [images.layer_prefix(layers, b).select(F.lit(name).alias("base"), "is_prefix", "base_layers") for name, b in bases.items()])
 
 
 def rules_sql(path: str) -> str:
@@ -165,12 +176,23 @@ DIRS = f"(SELECT dir, count(*) AS n_files, sum(size) AS bytes, count(DISTINCT ch
 
 @query(f"SELECT dir, n_files, bytes, children FROM {DIRS}")
 def directory_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return images.directories(view(spark, sf_dir, "files"))
+    return images.directories(view(spark, sf_dir, "files")).select("dir", "n_files", "bytes", "children")
+
+
+TREES = adapters.sql("trees")
+SEEN = f"(SELECT dir, count(*) AS n_files, count(DISTINCT child) AS children, list(DISTINCT child) AS names, list(DISTINCT lower(child)) AS low FROM (SELECT array_to_string(p[1:n], '/') AS dir, p[n + 1] AS child FROM (SELECT p, unnest(range(1, len(p))) AS n FROM (SELECT string_split(path, '/') AS p FROM {TREES}))) GROUP BY 1)"
+POINTS = "CASE WHEN list_has_any(names, ['Makefile', 'makefile', 'GNUmakefile']) AND list_has_any(names, ['configure', 'configure.ac', 'configure.in']) THEN 5 ELSE 0 END + CASE WHEN list_contains(names, 'CMakeLists.txt') THEN 4 ELSE 0 END + CASE WHEN version <> '' THEN 5 ELSE 0 END + CASE WHEN list_contains(low, 'src') AND list_contains(low, 'include') THEN 3 ELSE 0 END + CASE WHEN list_has_any(low, ['test', 'tests', 'spec']) THEN 2 ELSE 0 END + CASE WHEN len(list_filter(low, lambda x: starts_with(x, 'license') OR starts_with(x, 'licence') OR x IN ('copying', 'copying.lib'))) > 0 AND len(list_filter(low, lambda x: starts_with(x, 'readme'))) > 0 THEN 2 ELSE 0 END + CASE WHEN n_files > 1000 THEN 3 WHEN n_files > 100 THEN 1 ELSE 0 END"
+SCORED = f"(SELECT dir, n_files, children, version, {POINTS} AS score FROM (SELECT *, regexp_extract(split_part(dir, '/', -1), '[-_]v?([0-9]+[.][0-9A-Za-z.]+)$', 1) AS version FROM {SEEN}))"
 
 
-@query(f"SELECT split_part(dir, '/', 1) AS top, arg_min(dir, dir) AS dir, arg_min(score, dir) AS score, arg_min(n_files, dir) AS n_files FROM (SELECT *, CASE WHEN n_files > 1000 THEN 2 WHEN n_files > 100 THEN 1 ELSE 0 END + CASE WHEN children >= 50 THEN 5 ELSE 0 END + CASE WHEN regexp_matches(dir, '[0-9]') THEN 5 ELSE 0 END + CASE WHEN bytes > 100000 THEN 2 ELSE 0 END AS score FROM {DIRS}) WHERE children >= 3 AND score >= 7 GROUP BY 1")
+@query(f"SELECT dir, n_files, children, version, score FROM {SCORED}")
+def density_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.density(images.directories(view(spark, sf_dir, "trees"))).select("dir", "n_files", "children", "version", "score")
+
+
+@query(f"SELECT split_part(dir, '/', 1) AS top, arg_min(dir, dir) AS dir, arg_min(score, dir) AS score, arg_min(n_files, dir) AS n_files FROM {SCORED} WHERE children >= 3 AND score >= 7 GROUP BY 1")
 def dense_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return images.dense(images.directories(view(spark, sf_dir, "files")))
+    return images.dense(images.directories(view(spark, sf_dir, "trees")))
 
 
 @query(f"SELECT path, arg_max(dir, length(dir)) AS root FROM (SELECT DISTINCT path FROM {FILES}) JOIN {DIRS} ON starts_with(path, concat(dir, '/')) WHERE children >= 3 GROUP BY 1")
@@ -180,11 +202,11 @@ def cluster_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.contained(files.select("path").distinct(), roots)
 
 
-@query(f"SELECT f.path, f.h, m.match FROM (SELECT * FROM {FILES} WHERE ord % 10 <> 0) f JOIN (SELECT h, arg_min(concat('file-', ord), ord) AS match FROM {FILES} WHERE ord % 10 = 0 GROUP BY 1) m USING (h)")
+@query(f"SELECT f.path, f.h, m.match FROM {FILES} f JOIN (SELECT h, arg_min(concat('file-', ord), ord) AS match FROM {FILES} GROUP BY 1) m USING (h)")
 def fingerprint_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = view(spark, sf_dir, "files")
-    known = files.filter("ord % 10 = 0").select("h", "ord", F.concat(F.lit("file-"), "ord").alias("name"))
-    return images.lookup(files.filter("ord % 10 <> 0").select("path", "h"), known)
+    known = files.select("h", "ord", F.concat(F.lit("file-"), "ord").alias("name"))
+    return images.lookup(files.select("path", "h"), known)
 
 
 CYCLES = "(SELECT c_mktsegment AS product, CAST(year(o_orderdate) AS VARCHAR) AS cyc, min(o_orderkey) AS pos, CAST(date_trunc('year', min(o_orderdate)) AS DATE) AS rel FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"
@@ -200,13 +222,13 @@ def lifecycle_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrichment.matched_cycles(users, cycles, F.lit(NOW).cast("date"))
 
 
-META = f"(SELECT lower(regexp_replace(purl, '[?#].*$', '')) AS purl_key, concat('meta ', name) AS supplier, 'MIT' AS licence, ord FROM {C} WHERE ord % 4 = 1 AND purl <> '')"
+META = f"(SELECT lower(CASE WHEN strpos(purl, '?') > 1 THEN left(purl, strpos(purl, '?') - 1) ELSE purl END) AS purl_key, concat('meta ', name) AS supplier, 'MIT' AS licence, ord FROM {C} WHERE purl <> '')"
 
 
-@query(f"SELECT bom_ref, CASE WHEN c.supplier <> '' THEN c.supplier ELSE coalesce(m.s, '') END AS supplier, coalesce(m.l, '') AS licence, c.supplier = '' AND coalesce(m.s, '') <> '' AS filled FROM {C} c LEFT JOIN (SELECT purl_key, arg_min(supplier, ord) AS s, arg_min(licence, ord) AS l FROM {META} GROUP BY 1) m ON c.purl <> '' AND lower(regexp_replace(c.purl, '[?#].*$', '')) = purl_key")
+@query(f"SELECT bom_ref, CASE WHEN c.supplier <> '' THEN c.supplier ELSE coalesce(m.s, '') END AS supplier, coalesce(m.l, '') AS licence, c.supplier = '' AND coalesce(m.s, '') <> '' AS filled FROM {C} c LEFT JOIN (SELECT purl_key, arg_min(supplier, ord) AS s, arg_min(licence, ord) AS l FROM {META} GROUP BY 1) m ON c.purl <> '' AND lower(CASE WHEN strpos(c.purl, '?') > 1 THEN left(c.purl, strpos(c.purl, '?') - 1) ELSE c.purl END) = purl_key")
 def registry_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = view(spark, sf_dir, "components")
-    meta = c.filter("ord % 4 = 1 and purl <> ''").select(I.purl_key(F.col("purl")).alias("purl_key"), F.concat(F.lit("meta "), "name").alias("supplier"), F.lit("MIT").alias("licence"), "ord")
+    meta = c.filter("purl <> ''").select(I.purl_key(F.col("purl")).alias("purl_key"), F.concat(F.lit("meta "), "name").alias("supplier"), F.lit("MIT").alias("licence"), "ord")
     return enrichment.filled(c, meta)
 
 
@@ -278,11 +300,15 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.agg(F.count("*").alias("total"), F.count_if(F.col("purl") != "").alias("with_purl"), F.count_if(F.col("ctype") == "file").alias("files"), share.alias("percent"))
 
 
-@query(f"SELECT bom_ref, rule, message FROM (SELECT bom_ref, '001' AS rule, concat('untracked file ', name) AS message FROM {C} WHERE ctype = 'file' UNION ALL SELECT bom_ref, '002', concat('no package URL: ', name) FROM {C} WHERE purl = '' UNION ALL SELECT bom_ref, '003', concat('no version: ', name) FROM {C} WHERE version = '')")
+#: Components as enrichment leaves them.
+STAMPED = f"(SELECT *, CASE WHEN ord % 9 = 0 THEN 'unknown' ELSE 'app' END AS origin, CASE WHEN ord % 13 = 0 THEN 'untracked-scan' ELSE 'package' END AS method, CASE WHEN ord % 14 = 0 THEN 'binary' ELSE '' END AS category, CASE ord % 5 WHEN 0 THEN 'low' WHEN 1 THEN '0.65' WHEN 2 THEN '0.70' WHEN 3 THEN 'odd' ELSE '' END AS confidence FROM {C})"
+LABELLED = f"(SELECT *, concat(chr(34), CASE WHEN name <> '' AND version <> '' THEN concat(name, '@', version) WHEN name <> '' THEN name WHEN purl <> '' THEN purl ELSE bom_ref END, chr(34)) AS own, CASE WHEN ord % 4 > 0 THEN concat('opt/', name) ELSE bom_ref END AS locations FROM {STAMPED})"
+
+
+@query(f"SELECT bom_ref, '001' AS rule, 'warning' AS level, concat('Untracked ', CASE WHEN category <> '' THEN category ELSE 'component' END, ' ', own, CASE WHEN ord % 4 > 0 THEN concat(' found at /opt/', name) ELSE '' END, '.') AS message, locations FROM {LABELLED} WHERE method = 'untracked-scan' OR category <> '' UNION ALL SELECT bom_ref, '002', 'note', concat('Component ', own, ' has Origin=unknown.'), locations FROM {LABELLED} WHERE origin = 'unknown' UNION ALL SELECT bom_ref, '003', 'note', concat('Component ', own, ' (PURL ', chr(34), purl, chr(34), ') has no CPE.'), locations FROM {LABELLED} WHERE purl <> '' AND cpe = '' UNION ALL SELECT bom_ref, '004', 'note', concat('Component ', own, ' has a low-confidence CPE (heuristic).'), locations FROM {LABELLED} WHERE confidence IN ('low', '0.65')")
 def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = lambda test, rule, text: F.when(test, F.struct(F.lit(rule).alias("rule"), F.concat(F.lit(text), "name").alias("message")))
-    found = F.filter(F.array(row(F.col("ctype") == "file", "001", "untracked file "), row(F.col("purl") == "", "002", "no package URL: "), row(F.col("version") == "", "003", "no version: ")), lambda r: r.isNotNull())
-    return view(spark, sf_dir, "components").select("bom_ref", F.explode(found).alias("r")).select("bom_ref", "r.rule", "r.message")
+    c = view(spark, sf_dir, "components").selectExpr("*", *[x.strip() for x in re.findall(r"CASE .*? END AS \w+", STAMPED.split(" FROM ")[0])])
+    return sarif.results(c.withColumn("places", F.when(F.col("n_locations") > 0, F.array(F.concat(F.lit("/opt/"), "name"))))).select("bom_ref", "rule", "level", "message", "locations")
 
 
 LE = ", ".join(f"count(*) FILTER (WHERE value <= {b}) AS le_{i}" for i, b in enumerate(BOUNDS))
@@ -385,14 +411,14 @@ def validation_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validators.ntia_documents(counted).unionByName(validators.eu_cra(counted, held)).unionByName(validators.cyclonedx(counted, held)).unionByName(validators.spdx(counted, held))
 
 
-MEMBERS = f"(SELECT {KEY} AS key, row_number() OVER (PARTITION BY {KEY} ORDER BY CASE WHEN purl <> '' THEN 100 ELSE 0 END DESC, ord) AS rank, ord % 5 AS layer, supplier, ctype FROM {C})"
+MEMBERS = f"(SELECT {KEY} AS key, row_number() OVER (PARTITION BY {KEY} ORDER BY {STRENGTH} DESC, ord) AS rank, ord % 5 AS layer, supplier, ctype FROM {C})"
 VALUES = f"(SELECT key, rank, 'supplier' AS name, supplier AS value FROM {MEMBERS} UNION ALL SELECT key, rank, 'type', ctype FROM {MEMBERS})"
 KEPT = f"(SELECT key, name, arg_min(value, rank) AS kept FROM {VALUES} GROUP BY 1, 2)"
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = view(spark, sf_dir, "components")
-    rank = F.struct(F.when(F.col("purl") != "", 0).otherwise(1).alias("score"), "ord")
+    rank = F.struct((-inventory.strength(c)).alias("score"), "ord")
     return c.select(inventory.identity(c).alias("key"), rank.alias("rank"), (F.col("ord") % 5).alias("layer"), F.create_map(F.lit("supplier"), "supplier", F.lit("type"), "ctype").alias("props"), F.split("name", "-").alias("words"))
 
 
@@ -406,7 +432,7 @@ def merged_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.other_layer(members(spark, sf_dir))
 
 
-@query(f"SELECT key, item, rank.ord AS ord, pos FROM (SELECT *, row_number() OVER (PARTITION BY key, lower(item) ORDER BY rank, pos) AS nth FROM (SELECT key, rank, unnest(words) AS item, unnest(range(len(words))) AS pos FROM (SELECT {KEY} AS key, {{'score': CASE WHEN purl <> '' THEN 0 ELSE 1 END, 'ord': ord}} AS rank, string_split(name, '-') AS words FROM {C})) WHERE item <> '') WHERE nth = 1")
+@query(f"SELECT key, item, rank.ord AS ord, pos FROM (SELECT *, row_number() OVER (PARTITION BY key, lower(item) ORDER BY rank, pos) AS nth FROM (SELECT key, rank, unnest(words) AS item, unnest(range(len(words))) AS pos FROM (SELECT {KEY} AS key, {{'score': -{STRENGTH}, 'ord': ord}} AS rank, string_split(name, '-') AS words FROM {C})) WHERE item <> '') WHERE nth = 1")
 def merged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.union(members(spark, sf_dir), "words", F.lower("item")).select("key", "item", "rank.ord", "pos")
 
@@ -418,7 +444,7 @@ def metrics_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exposition.histogram(images.buckets(m, BOUNDS).join(whole, "label"), "v", "label", BOUNDS)
 
 
-SEARCHED = f"(SELECT DISTINCT {cpe('d_vendor', 'd_product')} AS cpe, lower(d_vendor) AS vendor, lower(d_product) AS product, CASE WHEN pversion = '' THEN '*' ELSE pversion END AS rel FROM (SELECT CASE WHEN ord % 2 = 0 THEN ns ELSE name END AS d_vendor, name AS d_product, version AS pversion FROM {C} WHERE ord % 5 = 0 AND ns <> '' AND ns NOT LIKE '%/%'))"
+SEARCHED = f"(SELECT DISTINCT {cpe('d_vendor', 'd_product')} AS cpe, lower(d_vendor) AS vendor, lower(d_product) AS product, CASE WHEN pversion = '' THEN '*' ELSE pversion END AS rel FROM (SELECT CASE WHEN ord % 2 = 0 THEN ns ELSE name END AS d_vendor, name AS d_product, version AS pversion FROM {C} WHERE ns <> '' AND ns NOT LIKE '%/%'))"
 WORDS = "list_filter(regexp_split_to_array({0}, '[^a-z0-9]+'), lambda w: w <> '')"
 TOTAL = "CAST(least(CASE WHEN vendor = ns OR vendor = nm THEN 0.50 WHEN translate(vendor, '-.', '__') = translate(ns, '-.', '__') OR translate(vendor, '-.', '__') = translate(nm, '-.', '__') THEN 0.40 WHEN ns <> '' AND (contains(vendor, ns) OR contains(ns, vendor)) OR contains(vendor, nm) OR contains(nm, vendor) THEN 0.10 ELSE 0.00 END + CASE WHEN product = nm THEN 0.40 WHEN translate(product, '-.', '__') = translate(nm, '-.', '__') THEN 0.30 WHEN ns <> '' AND product = regexp_extract(ns, '([^/.]*)$', 1) THEN 0.20 WHEN contains(product, nm) OR contains(nm, product) THEN 0.10 ELSE 0.00 END + CASE WHEN pversion = '' THEN 0.05 WHEN rel = pversion THEN 0.20 WHEN rel = '*' THEN 0.10 ELSE 0.00 END, 1.00) AS DECIMAL(3,2))"
 
@@ -426,6 +452,6 @@ TOTAL = "CAST(least(CASE WHEN vendor = ns OR vendor = nm THEN 0.50 WHEN translat
 @query(f"SELECT bom_ref, cpe, score, CASE WHEN score < 0.30 THEN 'weak' ELSE '' END AS rejected FROM (SELECT bom_ref, cpe, {TOTAL} AS score FROM (SELECT bom_ref, lower(namespace) AS ns, lower(pname) AS nm, pversion FROM {PARTS}) c JOIN {SEARCHED} n ON len(list_filter({WORDS.format('nm')}, lambda w: NOT list_contains({WORDS.format('concat(vendor, chr(95), product)')}, w))) = 0 WHERE pversion = '' OR rel = '*' OR rel = pversion)")
 def cpe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = view(spark, sf_dir, "components")
-    some = c.filter("ord % 5 = 0 and ns <> '' and ns not like '%/%'")
+    some = c.filter("ns <> '' and ns not like '%/%'")
     names = some.select(I.build_cpe(F.lit("a"), F.when(F.col("ord") % 2 == 0, F.col("ns")).otherwise(F.col("name")), F.col("name"), F.col("version")).alias("cpe"))
     return search.searched(c, names)

@@ -15,6 +15,12 @@ VIEWS = {
         ["p_partkey AS ord", "concat('part-', p_partkey) AS bom_ref", f"{TYPE} AS ctype", f"{ECOSYSTEM} AS eco", f"{BRAND} AS brand", "replace(p_name, ' ', '-') AS name", "CASE WHEN p_partkey % 17 = 0 THEN '' ELSE concat(p_size % 5, '.', p_partkey % 3, '.0') END AS version", "CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END AS supplier"],
         ["ord", "bom_ref", "ctype", "eco", "CASE eco WHEN 'maven' THEN concat('org.', brand) WHEN 'golang' THEN concat('github.com/', brand) WHEN 'deb' THEN 'debian' WHEN 'apk' THEN 'alpine' ELSE '' END AS ns", "name", "version", "supplier"],
         ["ord", "bom_ref", "ctype", "eco", "ns", "name", "version", "supplier", "CASE WHEN ord % 11 = 0 THEN '' ELSE concat('pkg:', eco, '/', CASE WHEN ns = '' THEN '' ELSE concat(ns, '/') END, name, CASE WHEN version = '' THEN '' ELSE concat('@', version) END, CASE WHEN ord % 2 = 0 THEN '?arch=amd64' ELSE '' END) END AS purl"],
+        ["ord", "bom_ref", "ctype", "eco", "ns", "name", "version", "supplier", "purl", "CASE WHEN ord % 11 = 0 AND ord % 4 = 0 THEN concat(CASE WHEN ord % 8 = 0 THEN ' CPE:2.3:a:Acme:p' ELSE 'cpe:2.3:a:acme:p' END, ord % 40, ':1.0') WHEN ord % 6 = 0 THEN concat('cpe:2.3:a:acme:q', ord, ':1.0') ELSE '' END AS cpe", "CASE WHEN ord % 4 = 1 THEN concat(CASE WHEN ord % 8 = 1 THEN 'AB' ELSE 'ab' END, ord % 30) ELSE '' END AS sha256", "ord % 4 AS n_locations"],
+    ),
+    "trees": (
+        "lineitem",
+        ["l_orderkey % 60 AS k", "l_partkey AS p", "l_partkey % (2 + l_orderkey % 14) AS kind", "l_quantity AS size"],
+        ["concat('opt', k % 20, '/', CASE WHEN k % 3 = 0 THEN concat('tool', k, CASE WHEN k % 2 = 0 THEN '-1.' ELSE '_v2.' END, k % 7) ELSE concat('app', k) END, '/', CASE kind WHEN 1 THEN 'Makefile' WHEN 2 THEN 'configure.ac' WHEN 3 THEN 'README.md' WHEN 4 THEN concat('Src/f', p % 40, '.c') WHEN 5 THEN concat('include/h', p % 40, '.h') WHEN 6 THEN 'LICENCE' WHEN 7 THEN concat('tests/t', p % 9) WHEN 8 THEN 'CMakeLists.txt' ELSE concat('x', p % (1 + k * 3)) END) AS path", "size"],
     ),
     "edges": ("lineitem", ["concat('order-', l_orderkey) AS src", "concat('part-', l_partkey) AS dst", "CASE WHEN l_linenumber % 5 = 0 THEN 'contains' ELSE 'depends-on' END AS rel", "l_orderkey * 10 + l_linenumber AS ord"]),
     "layer_entries": ("lineitem", ["l_linenumber - 1 AS layer", "l_orderkey * 10 + l_linenumber AS seq", "concat('opt/app', l_partkey % 20, '/f', l_partkey) AS path", "CASE WHEN l_returnflag = 'R' THEN 'wh' ELSE 'add' END AS op"]),

@@ -25,9 +25,10 @@ def sniffed(text: Column) -> Column:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row a document: sbom_id (its path), format, text."""
+    """One row a document: sbom_id (its path), format, text. A larger one than MAX_BYTES raises an error when it is read."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("sbom_id"), F.col("value").alias("text"))
-    return files.filter(F.octet_length("text") <= MAX_BYTES).withColumn("format", sniffed(F.col("text")))
+    whole = F.when(F.octet_length("text") <= MAX_BYTES, F.col("text")).otherwise(F.raise_error(F.concat(F.lit("too large: "), "sbom_id")))
+    return files.withColumn("text", whole).withColumn("format", sniffed(F.col("text")))
 
 
 COMPONENT = "struct<`bom-ref`:string,type:string,group:string,name:string,version:string,purl:string,cpe:string,supplier:struct<name:string>,components:string>"

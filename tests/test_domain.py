@@ -8,7 +8,7 @@ import __spark_entry__
 from bomlake import queries
 from bomlake.functions import identifiers as I
 from bomlake.functions import paths as P
-from bomlake.operators import images, inventory
+from bomlake.operators import images, inventory, sarif
 from bomlake.plans.pipeline import Operator, chosen, ordered, run
 from bomlake.sources import documents
 from pyspark.sql import functions as F
@@ -85,6 +85,45 @@ def test_levels_reject_a_cycle(spark):
     assert {r.name: r.level for r in inventory.levels(dag).collect()} == {"a": 0, "b": 1, "c": 2}
 
 
+def test_levels_of_a_long_chain_and_a_cycle(spark):
+    chain = spark.createDataFrame([(f"n{i + 1}", f"n{i}") for i in range(70)], "name string, dep string")
+    assert inventory.levels(chain).agg({"level": "max"}).first()[0] == 70
+    with pytest.raises(ValueError, match="cycle"):
+        inventory.levels(spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a")], "name string, dep string"))
+
+
+def test_identity_and_primary(spark):
+    """The most precise identity wins; no name or no version is no identity; places break ties before order."""
+    schema = "ord long, ctype string, name string, version string, purl string, supplier string, cpe string, sha256 string, n_locations int"
+    data = [
+        (0, "library", "a", "1", "pkg:npm/A@1?x=y", "", "", "", 0), (1, "library", "b", "", "pkg:npm/a@1", "s", "", "", 2), (2, "library", "a", "1", "pkg:npm/a@1#sub", "", "", "", 0),
+        (3, "library", "x", "1", "", "", " CPE:2.3:a:V:P:1", "aa", 0), (4, "file", "y", "2", "", "", "cpe:2.3:a:v:p:1", "", 0), (5, "file", "z", "", "", "", "", "AA", 0), (6, "library", "q", "3", "", "", "", "aa", 0),
+        (7, "library", "Name", "1.0", "", "", "", "", 0), (8, "Library", "name", "1.0", "", "", None, None, None), (9, "library", "name", "", "", "", "", "", 0), (10, "library", "name", "", "", "", "", "", 0), (11, "library", None, None, None, None, "", "", 0),
+    ]
+    got = {r.place: (r.ord, r.members, r.key) for r in inventory.deduplicated(spark.createDataFrame(data, schema)).collect()}
+    assert got == {
+        0: (1, 2, "purl:pkg:npm/a@1"), 2: (2, 1, "purl:pkg:npm/a@1#sub"), 3: (3, 2, "cpe:cpe:2.3:a:v:p:1"), 5: (5, 2, "sha256:aa"),
+        7: (7, 2, "nvt:library:name:1.0"), 9: (9, 1, "row:9"), 10: (10, 1, "row:10"), 11: (11, 1, "row:11"),
+    }
+
+
+def test_density(spark):
+    files = [(f"opt/tool-1.2.3/{x}", 1) for x in ("Makefile", "configure", "src/a.c", "include/a.h", "README", "COPYING")] + [(f"opt/plain/{i}", 1) for i in range(1001)] + [("opt/x/src/a", 1), ("root", 1), (None, 1)]
+    got = {r.dir: (r.score, r.name, r.version) for r in images.density(images.directories(spark.createDataFrame(files, "path string, size int"))).collect()}
+    assert got["opt/tool-1.2.3"] == (15, "tool", "1.2.3") and got["opt/plain"] == (3, "", "") and got["opt/x"] == (0, "", "") and "" not in got
+
+
+def test_static_analysis_results(spark):
+    schema = "bom_ref string, name string, version string, purl string, cpe string, origin string, method string, category string, confidence string, places array<string>"
+    data = [("r1", "n", "1", "pkg:x/n@1", "", "unknown", "untracked-scan", "", "0.5", ["/a/b", "c"]), ("r2", "", "", "", "c", "app", "", "binary", "0.70", []), ("r3", None, None, "pkg:x/y", None, None, None, None, "odd", None), ("r4", "k", "", "", "", "app", "", "", "low", None)]
+    got = {(r.bom_ref, r.rule): (r.level, r.message, r.locations) for r in sarif.results(spark.createDataFrame(data, schema)).collect()}
+    assert got == {
+        ("r1", "001"): ("warning", 'Untracked component "n@1" found at /a/b.', "a/b,c"), ("r1", "002"): ("note", 'Component "n@1" has Origin=unknown.', "a/b,c"),
+        ("r1", "003"): ("note", 'Component "n@1" (PURL "pkg:x/n@1") has no CPE.', "a/b,c"), ("r1", "004"): ("note", 'Component "n@1" has a low-confidence CPE (heuristic).', "a/b,c"),
+        ("r2", "001"): ("warning", 'Untracked binary "r2".', "r2"), ("r3", "003"): ("note", 'Component "pkg:x/y" (PURL "pkg:x/y") has no CPE.', "r3"), ("r4", "004"): ("note", 'Component "k" has a low-confidence CPE (heuristic).', "r4"),
+    }
+
+
 def test_pipeline_order():
     op = lambda n, *after: Operator(n, lambda t: {"log": t["log"] + [n]}, after)
     ops = [op("c", "b", "missing"), op("a"), op("b", "a"), op("d")]

@@ -36,7 +36,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pii.found(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = lambda k: F.size(F.filter("pii.base", lambda c: c["kind"] == pii.KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return docs.select("doc_id", *map(n, pii.KINDS), F.sha2(F.encode(pii.listed(F.col("pii.base")), "UTF-8"), 256).alias("base_sha256"), pii.listed(F.col("pii.all")).alias("spans"))
+    return docs.select("doc_id", *map(n, pii.KINDS), F.sha2(F.encode(pii.listed(F.col("pii.base")), "UTF-8"), 256).alias("base_sha256"), pii.listed(F.col("pii.all")).alias("spans"), F.size(F.filter("pii.all", lambda c: c["kind"] == pii.ALL_KINDS.index("secret"))).cast("long").alias("n_secret"), F.size("pii.all").cast("long").alias("n_spans"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

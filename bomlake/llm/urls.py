@@ -1,10 +1,12 @@
 """URL filtering by association rules, on DataFrame functions and Spark's FP-growth.
 
 Stated rules (host and path prefix) decide the URLs they fit; the longest wins. All others are judged by
-association rules: FP-growth mines token combinations that go with blocked URLs among labelled ones, rules
-are pruned by support, confidence, lift and by more general rules that are as sure, and match through an
-inverted index from each rule's rarest token. Rules are mined from at most `sample` URLs, those with the
-least hash; every URL is judged.
+association rules. Labels are the stated rules' verdicts and, as weak labels, `block` for hosts with one of the
+`seeds` among their words (a parameter: words that hosts of unwanted sites go by). FP-growth mines token combinations
+that go with a label, URLs without one counting as neither; rules are pruned by support, by a lower bound of
+their confidence (so that few URLs in accord by chance make no rule), lift and by more general rules that are as sure,
+and match through an inverted index from each rule's rarest token. Rules are mined from a sample of at most `sample`
+URLs, labelled or not, those with the least hash; every URL is judged.
 
 Defined results: a null URL, or one without '://', has an empty host and path, no rule and the method's
 verdict on no tokens, allow; rows that repeat are judged one by one; an empty table gives no rows.
@@ -18,11 +20,15 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import once
+from .common import materialise, once
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: URLs that rules are mined from, at most; least support, confidence and lift of a rule; most tokens of one.
-SAMPLE, SUPPORT, CONFIDENCE, LIFT, TOKENS = 50_000, 0.01, 0.8, 1.2, 3
+SAMPLE, SUPPORT, CONFIDENCE, LIFT, TOKENS = 50_000, 0.002, 0.8, 1.2, 3
+#: Standard deviations that the lower bound of a confidence lies below it.
+SURE = 1.64
+#: Words of hosts that are blocked as weak labels.
+SEEDS = ("spam", "casino", "pills", "porn", "viagra", "betting")
 #: A token that so large a share of the URLs has tells nothing.
 COMMON = 0.9
 
@@ -86,6 +92,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=4).fit(baskets)
     found = model.associationRules.filter((F.size("antecedent") <= TOKENS) & (F.col("lift") >= lift) & F.col("consequent")[0].startswith("=") & ~F.exists("antecedent", lambda a: a.startswith("=")))
     rules = [{"items": sorted(r.antecedent, key=lambda t: (frequent[t], t)), "verdict": r.consequent[0][1:], "confidence": r.confidence, "support": r.support} for r in found.collect()]  # bounded by the least support
+    rules = [r for r in rules if lower_bound(r["confidence"], r["support"] * n / r["confidence"]) >= confidence]
     rules.sort(key=lambda r: (len(r["items"]), -r["confidence"], r["items"]))
     kept: list[dict] = []
     for r in rules:
@@ -94,6 +101,16 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     return kept
 
 
+def lower_bound(confidence: float, n: float, z: float = SURE) -> float:
+    """Of a share found among n, by Wilson's interval."""
+    middle, spread = confidence + z * z / (2 * n), z * (confidence * (1 - confidence) / n + z * z / (4 * n * n)) ** 0.5
+    return (middle - spread) / (1 + z * z / n)
+
+
+def seeded(host: Column, seeds: tuple[str, ...]) -> Column:
+    return F.arrays_overlap(F.split(host, r"[.\-]"), F.array(*map(F.lit, seeds))) if seeds else F.lit(False)
+
+
 def judged(own: Column, rules: list[dict]) -> Column:
     """The verdict of the surest matching rule, block where two are as sure; allow without one."""
     if not rules:
@@ -109,13 +126,14 @@ def judged(own: Column, rules: list[dict]) -> Column:
     return F.coalesce(best["v"], F.lit("allow"))
 
 
-def verdicts(pages: DataFrame, rules: list[Rule], sample: int = SAMPLE, url: str = "url", key: str = "page_id") -> DataFrame:
+def verdicts(pages: DataFrame, rules: list[Rule], sample: int = SAMPLE, url: str = "url", key: str = "page_id", seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """key, host, path, rule, verdict for every row."""
     base = pages.select(pages[key].alias("key"), pages[url].cast("string").alias("u"))
     host, path = parts(F.col("u"))
     base = base.withColumns({"host": host, "path": path})
     base = base.withColumns({"fit": stated(F.col("host"), F.col("path"), rules), "tokens": tokens(F.col("u"), F.col("host"), F.col("path"))})
-    drawn = base.orderBy(F.xxhash64("key", "u"), "key", "u").limit(sample).select("tokens", F.col("fit.verdict").alias("verdict"))
-    found = mine(drawn)
+    label = F.coalesce(F.col("fit.verdict"), F.when(seeded(F.col("host"), seeds), "block"))
+    drawn = base.orderBy(F.xxhash64("key", "u"), "key", "u").limit(sample).select("tokens", label.alias("verdict"))
+    found = mine(materialise(drawn, pages.sparkSession))  # several passes
     own = once(F.col("tokens"), lambda t: judged(t, found))
     return base.select(F.col("key").alias(key), "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), own).alias("verdict"))

@@ -423,6 +423,28 @@ def test_pii_adds_and_redacts(spark):
     assert clean[4] == "mail [email] and [phone]" and clean[3] == texts[3]
 
 
+def test_pii_of_planted_forms(spark, sf):
+    """Precision and recall of added spans on sentences other than the templates; secrets of the driver's documents."""
+    r = random.Random(13)
+    of = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    digits, hexa, lower = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
+    good = [lambda: f"please call us at ({of(digits, 3)}) {of(digits, 3)}-{of(digits, 4)} soon", lambda: f"you may contact {of(lower, 6)} [at] {of(lower, 7)}.com about it", lambda: f'export token = "{of(hexa, 40)}" here', lambda: f"set api_key: {of(hexa, 32)} there"]
+    bad = [lambda: f"the order {of(digits, 3)}-{of(digits, 3)}-{of(digits, 4)} has left", lambda: f"see commit {of(hexa, 40)} for more", lambda: f"its checksum: {of(hexa, 32)} is right", lambda: f"a word {of(lower, 30)} and {of(lower, 12)}-{of(lower, 12)}", lambda: f"invoice {of(digits, 4)}.{of(digits, 4)}.{of(digits, 4)}.{of(digits, 4)} paid"]
+    data = [(k, r.choice(good)() if k % 2 else r.choice(bad)()) for k in range(400)]
+    got = {x.doc_id: x.n for x in pii.found(spark.createDataFrame(data, "doc_id long, text string")).select("doc_id", (queries.F.size("pii.all") - queries.F.size("pii.base")).alias("n")).collect()}
+    hits, wrong = sum(got[k] > 0 for k in got if k % 2), sum(got[k] > 0 for k in got if not k % 2)
+    assert hits >= 0.9 * 200 and hits >= 0.95 * (hits + wrong), (hits, wrong)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    found = {x.doc_id: x for x in queries.op5_pii(spark, sf).collect()}
+    held = {x.doc_id for x in docs.filter("text rlike '(?i)token = .[0-9a-f]{40}'").collect()}
+    assert len(held) > 5 and all(found[i].n_secret > 0 for i in held)
+    assert sum(found[i].n_spans > 0 for i in found if not found[i].base_sha256 or i not in held) <= 0.2 * len(found)
+    overlapping = spark.createDataFrame([(1, "call 555-123-4567 555-123-4567 or card 4111.1111.1111.1111.1111")], "doc_id long, text string")
+    for x in pii.found(overlapping).collect():
+        ends = sorted((c.start, c.end) for c in x.pii["all"])
+        assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
 # 6
 
 
@@ -470,6 +492,7 @@ def test_urls(spark, sf, empty):
 
 def test_url_rules_are_mined(spark):
     data = [(["host:spam", "path:win", f"host:h{i}"], "block") for i in range(30)] + [(["path:win", f"host:g{i}"], None) for i in range(30)] + [(["path:news"], None)] * 60
+    data += [(["path:few", f"host:f{i}"], "block") for i in range(4)]  # too few to be sure
     rules = urls.mine(spark.createDataFrame(data, "tokens array<string>, verdict string"), support=0.02)
     assert [(r["items"], r["verdict"]) for r in rules] == [(["host:spam"], "block")]
     df = spark.createDataFrame([(["host:spam", "x"],), (["path:win"],), ([],)], "tokens array<string>")
@@ -477,6 +500,15 @@ def test_url_rules_are_mined(spark):
     assert urls.mine(spark.createDataFrame([], "tokens array<string>, verdict string")) == []
 
 
+def test_planted_hosts_are_blocked(spark):
+    """Hosts with a seed word, and with words that go along with one; others stay."""
+    data = [(i, f"https://{h}{i % 7}.example.com/fr/{i}") for i, h in enumerate(["m.casino-win.a", "www.cheap-pills.b", "casino-win.c"] * 30)]
+    data += [(1000 + i, f"https://www.host{i % 40}.example.com/fr/{i}") for i in range(900)] + [(5000, "http://cheap-deals.example.com/fr/9"), (5001, "http://win.example.org/x"), (5002, "http://news.example.org/es/1")]
+    got = {r.page_id: r.verdict for r in urls.verdicts(spark.createDataFrame(data, "page_id long, url string"), queries.RULES).collect()}
+    assert all(got[i] == "block" for i in range(90)) and got[5000] == got[5001] == "block"
+    assert all(got[1000 + i] == "allow" for i in range(900)) and got[5002] == "block"  # by a stated rule
+
+
 # 8
 
 

@@ -616,3 +616,27 @@ def test_decontamination(spark, odd, empty, odd_rows):
     left = decontaminate.clean(odd, bench)
     assert left.columns == odd.columns
     assert decontaminate.matches(empty, bench).count() == 0 and decontaminate.matches(odd, bench.limit(0)).count() == 0
+
+
+def test_similarity_is_decided_as_by_edit_distance():
+    draw = random.Random(11)
+    for _ in range(1500):
+        a = " ".join("".join(draw.choices("abc", k=draw.randint(1, 6))) for _ in range(draw.randint(1, 9)))
+        b = list(a)
+        for _ in range(draw.randint(0, max(1, len(a) // 4))):
+            k = draw.randrange(len(b) + 1)
+            b[k : k + draw.randint(0, 1)] = draw.choice(["", "a", "b", " "])
+        b = " ".join("".join(b).split())
+        assert lines.similar(a, b, 85) == (brute.levenshtein(a, b) <= 15 * max(len(a), len(b)) // 100)
+
+
+def test_forest_ties_what_its_edges_tie():
+    draw = random.Random(12)
+    for _ in range(200):
+        pairs = [(draw.randrange(40) - 20, draw.randrange(40) - 20) for _ in range(draw.randint(1, 60))]
+        root = {x: x for p in pairs for x in p}
+        for _ in pairs:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        tied = dict(zip(*(x.tolist() for x in lines.forest(*(np.array(x) for x in zip(*pairs))))))
+        assert tied == {x: r for x, r in root.items() if x != r}

@@ -24,3 +24,39 @@ def filled(components: DataFrame, metadata: DataFrame) -> DataFrame:
     joined = keyed.join(m, "purl_key", "left")
     supplier = F.when(F.col("supplier") != "", F.col("supplier")).otherwise(F.coalesce("m.supplier", F.lit("")))
     return joined.select("bom_ref", supplier.alias("supplier"), F.coalesce("m.licence", F.lit("")).alias("licence"), ((F.col("supplier") == "") & (supplier != "")).alias("filled"))
+
+
+def outcomes(attempts: DataFrame) -> DataFrame:
+    """(request, ord, status) -> request, outcome, endpoint: of the endpoints asked in order, the first that answers counts.
+
+    Without an answer the outcome is the gravest: an error (other statuses, and null where none came), a passing
+    failure (429, 500 and above), not found (404). `endpoint` is the ord of the answer, null without one.
+    """
+    status = F.col("status")
+    rank = F.when(status == 200, 4).when(status == 404, 1).when((status == 429) | (status >= 500), 2).otherwise(3)
+    ranked = attempts.groupBy("request").agg(F.max(rank).alias("rank"), F.min(F.when(status == 200, F.col("ord"))).alias("endpoint"))
+    return ranked.select("request", F.element_at(F.array(*map(F.lit, ["not-found", "transient", "error", "found"])), F.col("rank")).alias("outcome"), "endpoint")
+
+
+def with_licences(own: Column, more: Column) -> Column:
+    """Arrays of struct(id, name, url, expression): `own`, and those of `more` that it lacks by id, expression or name.
+
+    Licences without id and name go; one that a former one of `more` equals goes, too. Null arrays count as empty.
+    """
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    same = lambda a, b: ((blank(b["id"]) != "") & ((blank(a["id"]) == b["id"]) | (blank(a["expression"]) == b["id"]))) | ((blank(b["name"]) != "") & (blank(a["name"]) == b["name"]))
+    known = lambda kept, b: (F.concat(blank(b["id"]), blank(b["name"])) == "") | F.exists(kept, lambda a: same(a, b))
+    return folded(own, more, "array<struct<id:string,name:string,url:string,expression:string>>", known, lambda b: b)
+
+
+def with_hashes(own: Column, more: Column) -> Column:
+    """Arrays of struct(algorithm, value): `own`, and those of `more` whose algorithm it lacks, by normal names."""
+    named = lambda b: F.struct(I.hash_algorithm(b["algorithm"]).alias("algorithm"), b["value"].alias("value"))
+    known = lambda kept, b: (F.coalesce(b["algorithm"], F.lit("")) == "") | (F.coalesce(b["value"], F.lit("")) == "") | F.exists(kept, lambda a: a["algorithm"] == I.hash_algorithm(b["algorithm"]))
+    return folded(own, more, "array<struct<algorithm:string,value:string>>", known, named)
+
+
+def folded(own: Column, more: Column, kind: str, known, made) -> Column:
+    """`own` and, one after another, made(x) of each x of `more` for which known(what there is, x) doesn't hold."""
+    own, more = (F.coalesce(c, F.array()).cast(kind) for c in (own, more))
+    return F.aggregate(more, own, lambda kept, x: F.when(known(kept, x), kept).otherwise(F.concat(kept, F.array(made(x))).cast(kind)))

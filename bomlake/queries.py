@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bomlake.functions import identifiers as I
 from bomlake.functions import paths as P
-from bomlake.operators import builds, enrichment, exposition, images, inventory, merging, sarif, search, validators
+from bomlake.operators import builds, enrichment, exposition, images, inventory, lifecycles, merging, sarif, search, untracked, validators
 from bomlake.sources import adapters, documents
 
 QUERIES: dict = {}
@@ -455,3 +455,38 @@ def cpe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = c.filter("ns <> '' and ns not like '%/%'")
     names = some.select(I.build_cpe(F.lit("a"), F.when(F.col("ord") % 2 == 0, F.col("ns")).otherwise(F.col("name")), F.col("name"), F.col("version")).alias("cpe"))
     return search.searched(c, names)
+
+
+CONTENTS = adapters.sql("contents")
+KINDS = rf"CASE WHEN regexp_matches(path, '^/?(usr/share/(man|doc|info|locale|i18n|zoneinfo|help)|usr/lib/locale|var/(cache|log|lib/dpkg/info|lib/apt)|tmp|run|dev|proc|sys|etc/ssl/certs|etc/ca-certificates)/') OR regexp_matches(path, '(^|/)(__pycache__|\.cache|\.npm|\.yarn)/') OR parse_filename(path) IN ('__pycache__', '.DS_Store', 'Thumbs.db', '.gitkeep', '.gitignore', '__init__.pyc') OR regexp_matches(path, '\.(py[cod]|dwarf|debug|la|g?mo|cache)$') THEN 'noise' WHEN suffix(path, '.a') THEN 'static-archive' WHEN regexp_matches(path, '\.(so|dylib|dll)$', 'i') THEN 'library' WHEN regexp_matches(path, '\.[jwe]ar$', 'i') THEN 'archive' WHEN regexp_matches(path, '\.(ya?ml|json|toml|ini|conf|cfg|pem|crt|cer|key|md|txt|rst|html?)$', 'i') THEN 'config' WHEN regexp_matches(head, '^(7F454C46|4D5A|FEEDFAC[EF]|C[EF]FAEDFE)') THEN 'executable' WHEN starts_with(head, '504B0304') THEN 'archive' WHEN starts_with(head, '2321') THEN 'script' ELSE 'unknown' END"
+
+
+def contents(spark, sf_dir):
+    return view(spark, sf_dir, "contents").withColumn("head", F.unhex("head"))
+
+
+@query(f"SELECT ord, path, {KINDS} AS category FROM {CONTENTS}")
+def content_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contents(spark, sf_dir).select("ord", "path", untracked.category(F.col("path"), F.col("head")).alias("category"))
+
+
+@query(f"SELECT ord, path, size, category, size >= 4096 AND category IN ('executable', 'library') AS lookup FROM (SELECT *, {KINDS} AS category FROM {CONTENTS}) WHERE category NOT IN ('noise', 'static-archive', 'config', 'redundant')")
+def untracked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return untracked.scanned(contents(spark, sf_dir))
+
+
+NAMED = "CASE ord % 7 WHEN 0 THEN 'Node' WHEN 1 THEN 'python3' WHEN 2 THEN 'PostgreSQL' WHEN 3 THEN 'httpd' WHEN 4 THEN 'ubuntu' ELSE name END"
+
+
+@query(f"SELECT bom_ref, coalesce(p.product, n.product) AS product, CASE coalesce(p.form, n.form) WHEN 1 THEN split_part(version, '.', 1) ELSE regexp_extract(version, '^[^.]*(\\.[^.]*)?') END AS cycle FROM (SELECT bom_ref, purl, version, {NAMED} AS name FROM {C}) c LEFT JOIN (VALUES ('pkg:apk/alpine', 'alpine', 2), ('pkg:deb/debian', 'debian', 1)) p(start, product, form) ON starts_with(purl, start) LEFT JOIN (VALUES ('node', 'nodejs', 1), ('python3', 'python', 2), ('postgresql', 'postgresql', 1), ('httpd', 'apache', 2), ('ubuntu', 'ubuntu', 2)) n(own, product, form) ON lower(name) = own WHERE coalesce(p.product, n.product) IS NOT NULL")
+def lifecycle_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycles.products(view(spark, sf_dir, "components").withColumn("name", F.expr(NAMED)))
+
+
+ATTEMPTS = "(SELECT o_custkey AS request, o_orderkey AS ord, CASE o_orderkey % 37 % 8 WHEN 0 THEN 404 WHEN 1 THEN 429 WHEN 2 THEN 503 WHEN 3 THEN 403 WHEN 4 THEN CASE WHEN o_custkey % 3 = 0 THEN 200 ELSE 404 END WHEN 5 THEN CASE WHEN o_custkey % 5 > 0 THEN 404 END ELSE 404 END AS status FROM orders)"
+
+
+@query(f"SELECT request, CASE WHEN bool_or(status = 200) THEN 'found' WHEN bool_or(status IS NULL OR status NOT IN (200, 404, 429) AND status < 500) THEN 'error' WHEN bool_or(status = 429 OR status >= 500) THEN 'transient' ELSE 'not-found' END AS outcome, min(ord) FILTER (WHERE status = 200) AS endpoint FROM {ATTEMPTS} GROUP BY 1")
+def fetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attempts = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_custkey AS request", "o_orderkey AS ord", ATTEMPTS[ATTEMPTS.index("CASE o_orderkey") : ATTEMPTS.index(" FROM orders")])
+    return enrichment.outcomes(attempts)

@@ -26,6 +26,15 @@ VIEWS = {
     "layer_entries": ("lineitem", ["l_linenumber - 1 AS layer", "l_orderkey * 10 + l_linenumber AS seq", "concat('opt/app', l_partkey % 20, '/f', l_partkey) AS path", "CASE WHEN l_returnflag = 'R' THEN 'wh' ELSE 'add' END AS op"]),
     "files": ("documents", ["doc_id AS ord", "CASE WHEN doc_id % 2 = 0 THEN 'base' ELSE 'target' END AS img", "concat('usr/share/', lang, '/', doc_id % 301, '.txt') AS path", "{sha}(text{bits}) AS h", "n_chars AS size"]),
     "paths": ("pages", ["page_id AS ord", r"regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS path"]),
+    "contents": (
+        "part",
+        [
+            "p_partkey AS ord",
+            "concat(CASE p_partkey % 9 WHEN 0 THEN '/usr/share/doc/' WHEN 1 THEN '/opt/__pycache__/' WHEN 2 THEN 'opt/tmp/' WHEN 3 THEN 'tmp/' WHEN 4 THEN '/home/.npm/' ELSE '/opt/app/' END, CASE WHEN p_partkey % 31 = 0 THEN 'Thumbs.db' ELSE concat(replace(p_name, ' ', '-'), CASE p_partkey % 14 WHEN 0 THEN '.so' WHEN 1 THEN '.JAR' WHEN 2 THEN '.zip' WHEN 3 THEN '.yaml' WHEN 4 THEN '.a' WHEN 5 THEN '.A' WHEN 6 THEN '.debug' WHEN 7 THEN '.so.1' WHEN 8 THEN '.d/run' WHEN 9 THEN '.HTM' ELSE '' END) END) AS path",
+            "CASE p_partkey % 11 WHEN 0 THEN '7F454C4602' WHEN 1 THEN '4D5A90' WHEN 2 THEN 'FEEDFACF07' WHEN 3 THEN 'CAFEBABE' WHEN 4 THEN '504B0304' WHEN 5 THEN '2321' WHEN 6 THEN '' WHEN 7 THEN '504B' ELSE '48690A' END AS head",
+            "p_partkey * 41 % 9001 AS size",
+        ],
+    ),
     "metrics": ("events", ["event_id AS ord", "event_type AS label", "value", "ts"]),
 }
 

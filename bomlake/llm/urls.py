@@ -5,8 +5,8 @@ association rules. Labels are the stated rules' verdicts and, as weak labels, `b
 `seeds` among their words (a parameter: words that hosts of unwanted sites go by). FP-growth mines token combinations
 that go with a label, URLs without one counting as neither; rules are pruned by support, by a lower bound of
 their confidence (so that few URLs in accord by chance make no rule), lift and by more general rules that are as sure,
-and match through an inverted index from each rule's rarest token. Rules are mined from a sample of at most `sample`
-URLs, labelled or not, those with the least hash; every URL is judged.
+and match through an inverted index from each rule's rarest token. Rules are mined from all URLs. Of tokens that the
+same rows have, one stands for all, so that a URL with many copies doesn't multiply the combinations.
 
 Defined results: a null URL, or one without '://', has an empty host and path, no rule and the method's
 verdict on no tokens, allow; rows that repeat are judged one by one; an empty table gives no rows.
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import materialise, once
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: URLs that rules are mined from, at most; least support, confidence and lift of a rule; most tokens of one.
-SAMPLE, SUPPORT, CONFIDENCE, LIFT, TOKENS = 50_000, 0.002, 0.8, 1.2, 3
+#: Least support, confidence and lift of a rule; most tokens of one.
+SUPPORT, CONFIDENCE, LIFT, TOKENS = 0.002, 0.8, 1.2, 3
 #: Standard deviations that the lower bound of a confidence lies below it.
 SURE = 1.64
 #: Words of hosts that are blocked as weak labels.
@@ -82,14 +82,21 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     n = labelled.count()
     if not n:
         return []
-    counts = labelled.select(F.explode("tokens").alias("t")).groupBy("t").count().filter(F.col("count") >= support * n)
-    frequent = {r["t"]: r["count"] for r in counts.collect()}  # at most tokens a row / support
-    useful = [t for t, c in frequent.items() if c < COMMON * n]
+    of_row = F.xxhash64("tokens")
+    halves = [F.sum(h).alias(name) for name, h in (("low", of_row.bitwiseAND(0x7FFFFFFF)), ("high", F.shiftrightunsigned(of_row, 33)))]
+    counts = labelled.select(F.explode("tokens").alias("t"), "tokens").groupBy("t").agg(F.count("*").alias("n"), *halves).filter(F.col("n") >= support * n)
+    rows = counts.collect()  # at most tokens a row / support
+    frequent, together = {r.t: r.n for r in rows}, {}
+    for r in sorted(rows, key=lambda r: r.t):
+        if r.n < COMMON * n:
+            together.setdefault((r.n, r.low, r.high), r.t)
+    useful = list(together.values())
     if not useful:
         return []
     keep = F.array_intersect("tokens", F.array(*map(F.lit, useful)))
     baskets = labelled.select(F.when(F.col("verdict").isNull(), keep).otherwise(F.array_append(keep, F.concat(F.lit("="), "verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=4).fit(baskets)
+    wide = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=wide).fit(baskets)
     found = model.associationRules.filter((F.size("antecedent") <= TOKENS) & (F.col("lift") >= lift) & F.col("consequent")[0].startswith("=") & ~F.exists("antecedent", lambda a: a.startswith("=")))
     rules = [{"items": sorted(r.antecedent, key=lambda t: (frequent[t], t)), "verdict": r.consequent[0][1:], "confidence": r.confidence, "support": r.support} for r in found.collect()]  # bounded by the least support
     rules = [r for r in rules if lower_bound(r["confidence"], r["support"] * n / r["confidence"]) >= confidence]
@@ -126,14 +133,13 @@ def judged(own: Column, rules: list[dict]) -> Column:
     return F.coalesce(best["v"], F.lit("allow"))
 
 
-def verdicts(pages: DataFrame, rules: list[Rule], sample: int = SAMPLE, url: str = "url", key: str = "page_id", seeds: tuple[str, ...] = SEEDS) -> DataFrame:
+def verdicts(pages: DataFrame, rules: list[Rule], url: str = "url", key: str = "page_id", seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """key, host, path, rule, verdict for every row."""
     base = pages.select(pages[key].alias("key"), pages[url].cast("string").alias("u"))
     host, path = parts(F.col("u"))
     base = base.withColumns({"host": host, "path": path})
     base = base.withColumns({"fit": stated(F.col("host"), F.col("path"), rules), "tokens": tokens(F.col("u"), F.col("host"), F.col("path"))})
     label = F.coalesce(F.col("fit.verdict"), F.when(seeded(F.col("host"), seeds), "block"))
-    drawn = base.orderBy(F.xxhash64("key", "u"), "key", "u").limit(sample).select("tokens", label.alias("verdict"))
-    found = mine(materialise(drawn, pages.sparkSession))  # several passes
+    found = mine(materialise(base.select("tokens", label.alias("verdict")), pages.sparkSession))  # several passes
     own = once(F.col("tokens"), lambda t: judged(t, found))
     return base.select(F.col("key").alias(key), "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), own).alias("verdict"))

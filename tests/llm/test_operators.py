@@ -498,6 +498,9 @@ def test_url_rules_are_mined(spark):
     df = spark.createDataFrame([(["host:spam", "x"],), (["path:win"],), ([],)], "tokens array<string>")
     assert [r[0] for r in df.select(urls.judged(df["tokens"], rules)).collect()] == ["block", "allow", "allow"]
     assert urls.mine(spark.createDataFrame([], "tokens array<string>, verdict string")) == []
+    many = [[f"path:{i:02}" for i in range(40)]] * 300  # 2**40 combinations, were it not for one that stands for all
+    hot = [(t, "block") for t in many] + [([f"path:x{i}"], None) for i in range(600)]
+    assert [r["items"] for r in urls.mine(spark.createDataFrame(hot, "tokens array<string>, verdict string"))] == [["path:00"]]
 
 
 def test_planted_hosts_are_blocked(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bomlake.functions import identifiers as I
 from bomlake.functions import paths as P
-from bomlake.operators import builds, enrichment, exposition, images, inventory, lifecycles, merging, sarif, search, untracked, validators
+from bomlake.operators import builds, enrichment, exposition, images, inventory, lifecycles, merging, properties, resolving, sarif, search, untracked, validators
 from bomlake.sources import adapters, documents
 
 QUERIES: dict = {}
@@ -490,3 +490,60 @@ ATTEMPTS = "(SELECT o_custkey AS request, o_orderkey AS ord, CASE o_orderkey % 3
 def fetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     attempts = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_custkey AS request", "o_orderkey AS ord", ATTEMPTS[ATTEMPTS.index("CASE o_orderkey") : ATTEMPTS.index(" FROM orders")])
     return enrichment.outcomes(attempts)
+
+
+NOTED = "CASE ord % 4 WHEN 0 THEN concat('a=', name) WHEN 1 THEN concat(' a = ', version, '=x') WHEN 2 THEN '=none' ELSE 'nothing' END"
+
+
+@query(f"SELECT bom_ref, 'by' AS name, 'scan' AS value FROM {C} UNION ALL SELECT bom_ref, 'version', '2' FROM {C} UNION ALL SELECT bom_ref, 'a', CASE ord % 4 WHEN 0 THEN name WHEN 1 THEN concat(' ', version, '=x') ELSE 'first' END FROM {C} UNION ALL SELECT bom_ref, 'supplier', supplier FROM {C}")
+def property_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations as properties, cleared by prefix, filled and stamped."""
+    c = view(spark, sf_dir, "components")
+    props = properties.from_annotations(F.array(F.lit("a=first"), F.lit("cpe:x=1"), F.lit("version=1"), F.expr(NOTED)))
+    props = properties.filled(properties.cleared(props, "cpe:"), F.create_map(F.lit("a"), F.lit("later"), F.lit("supplier"), "supplier"))
+    return properties.entries(c, "bom_ref", properties.stamped(props, "by", "scan", "version", "2"))
+
+
+@query(f"SELECT bom_ref, concat_ws('|', CASE WHEN ord % 3 = 0 THEN concat('/e/', name) END, CASE WHEN ord % 2 = 0 THEN concat('/p0/', name) END, concat('/p1/', name)) AS paths FROM {C}")
+def component_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = view(spark, sf_dir, "components")
+    evidence = F.expr("array(CASE WHEN ord % 3 = 0 THEN concat('/e/', name) ELSE '' END)")
+    props = F.expr("map('syft:location:1:path', concat('/p1/', name), 'syft:location:0:path', CASE WHEN ord % 2 = 0 THEN concat('/p0/', name) ELSE '' END, 'syft:location:0:layer', 'no path', 'other:path', 'no location')")
+    return c.select("bom_ref", F.array_join(properties.locations(evidence, props), "|").alias("paths"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 4 = 0 THEN '' WHEN s_suppkey % 5 = 0 THEN concat(CASE WHEN s_suppkey % 3 = 0 THEN 'old' ELSE 'new' END, s_nationkey, '@sha256:00') ELSE concat(CASE WHEN s_suppkey % 3 = 0 THEN 'old' ELSE 'new' END, s_nationkey, CASE WHEN s_suppkey % 2 = 0 THEN '@sha256:ff' ELSE '' END) END AS base FROM supplier")
+def base_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base image that labels name."""
+    pinned = "CASE WHEN s_suppkey % 5 = 0 THEN '@sha256:00' ELSE '' END"
+    new, old = f"CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE concat('new', s_nationkey, {pinned}) END", f"CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE concat('old', s_nationkey, {pinned}) END"
+    labels = F.expr(f"map('{properties.BASE_NAMES[0]}', {new}, '{properties.BASE_NAMES[1]}', {old}, '{properties.BASE_DIGEST}', CASE WHEN s_suppkey % 2 = 0 THEN 'sha256:ff' ELSE '' END)")
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", properties.base_reference(labels).alias("base"))
+
+
+ANSWERS = "SELECT bom_ref AS key, s.source, s.priority, s.registered, s.network, CASE WHEN s.registered = 1 THEN (ord % 10) / 10.0 ELSE 0.6 + (ord % 2) / 5.0 END AS confidence"
+SOURCES = [("pattern", 50, 0, False), ("local", 90, 1, False), ("api", 80, 2, True), ("dictionary", 100, 3, True), ("notices", 70, 4, True)]
+
+
+@query("WITH a AS (" + ANSWERS + f" FROM {C} JOIN (VALUES " + ", ".join(f"('{n}', {p}, {r}, {str(w).lower()})" for n, p, r, w in SOURCES) + ") s(source, priority, registered, network) ON (ord + s.registered) % 3 > 0) SELECT key, source, confidence FROM a WHERE NOT network OR NOT EXISTS (SELECT 1 FROM a b WHERE b.key = a.key AND NOT b.network AND b.confidence >= 0.7 AND b.priority > a.priority)")
+def candidate_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of the sources that a hybrid resolver asks."""
+    stated = ", ".join(f"named_struct('source', '{n}', 'priority', {p}, 'registered', {r}, 'network', {str(w).lower()})" for n, p, r, w in SOURCES)
+    c = view(spark, sf_dir, "components").select("ord", "bom_ref", F.explode(F.expr(f"array({stated})")).alias("s")).filter("(ord + s.registered) % 3 > 0")
+    answers = c.selectExpr(*[x.strip() for x in re.split(r",(?![^(]*\))", ANSWERS.removeprefix("SELECT "))])
+    return resolving.resolve(answers).select("key", "source", F.col("confidence").cast("double").alias("confidence"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'registry' WHEN 1 THEN 'archive' WHEN 2 THEN 'layout' WHEN 3 THEN 'docker' WHEN 4 THEN 'unsupported' WHEN 5 THEN CASE WHEN o_custkey % 2 = 0 THEN 'archive' ELSE 'detect' END WHEN 6 THEN 'detect' ELSE 'empty' END AS source, CASE o_orderkey % 8 WHEN 0 THEN concat('r/', o_custkey) WHEN 1 THEN '/a.tar' WHEN 2 THEN '/dir://x' WHEN 3 THEN 'a:1' WHEN 4 THEN 'x' WHEN 5 THEN '/a.tar' WHEN 6 THEN 'HTTPS://h/x' ELSE '' END AS body FROM orders")
+def image_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reference = F.expr("CASE o_orderkey % 8 WHEN 0 THEN concat('registry://r/', o_custkey) WHEN 1 THEN 'archive:///a.tar' WHEN 2 THEN 'oci:///dir://x' WHEN 3 THEN 'docker-daemon://a:1' WHEN 4 THEN 'ftp://x' WHEN 5 THEN '/a.tar' WHEN 6 THEN 'HTTPS://h/x' ELSE '' END")
+    kind = F.expr("CASE WHEN o_orderkey % 8 = 5 AND o_custkey % 2 = 0 THEN 'file' END")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", resolving.image_source(reference, kind).alias("s")).select("o_orderkey", "s.source", "s.body")
+
+
+STAMP = "concat(CAST(o_orderdate AS DATE), CASE o_orderkey % 5 WHEN 0 THEN 'T10:20:30Z' WHEN 1 THEN 'T10:20:30.250+02:00' WHEN 2 THEN 'T10:20:30' WHEN 3 THEN ' 10:20:30' ELSE 'T23:59:59-05:30' END)"
+
+
+@query("SELECT o_orderkey, epoch_us(CAST(o_orderdate AS DATE)::TIMESTAMP) + CASE o_orderkey % 5 WHEN 0 THEN 37230000000 WHEN 1 THEN 30030250000 WHEN 2 THEN 37230000000 WHEN 4 THEN 106199000000 END AS micros FROM orders")
+def document_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.unix_micros(properties.moment(F.expr(STAMP))).alias("micros"))

@@ -12,6 +12,7 @@ from bomlake.functions import identifiers as I
 from bomlake.functions import paths as P
 from bomlake.operators import builds, enrichment, exposition, images, inventory, lifecycles, merging, properties, resolving, sarif, search, untracked, validators
 from bomlake.sources import adapters, documents
+from bomlake.streaming import metrics as streams
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -547,3 +548,10 @@ STAMP = "concat(CAST(o_orderdate AS DATE), CASE o_orderkey % 5 WHEN 0 THEN 'T10:
 @query("SELECT o_orderkey, epoch_us(CAST(o_orderdate AS DATE)::TIMESTAMP) + CASE o_orderkey % 5 WHEN 0 THEN 37230000000 WHEN 1 THEN 30030250000 WHEN 2 THEN 37230000000 WHEN 4 THEN 106199000000 END AS micros FROM orders")
 def document_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.unix_micros(properties.moment(F.expr(STAMP))).alias("micros"))
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts::TIMESTAMP)) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def metric_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stream of metrics gives in the end, over all events at once."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return streams.windowed(events.withColumn("ts", F.col("ts").cast("timestamp"))).select(F.unix_micros("start").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))

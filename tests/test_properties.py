@@ -1,4 +1,5 @@
 from bomlake.operators import properties, resolving
+from bomlake.streaming import metrics
 from pyspark.sql import functions as F
 
 
@@ -32,3 +33,24 @@ def test_image_references(spark):
     df = spark.createDataFrame(data, "r string, k string")
     got = [tuple(r.s) for r in df.select(resolving.image_source(F.col("r"), F.col("k")).alias("s")).collect()]
     assert got == [("empty", ""), ("empty", ""), ("layout", "x"), ("layout", "OCI://x"), ("detect", "https2://x"), ("detect", "://x"), ("invalid", "dir"), ("detect", "img:1")]
+
+
+def test_windows_of_a_stream(spark, tmp_path):
+    """A late event is left out, one within the limit counts; files that arrive are handled once."""
+    source, at = str(tmp_path / "in"), lambda t: f"2024-01-01 {t}:00"
+    schema = "ts timestamp, event_type string, value double"
+    arrive = lambda rows: spark.createDataFrame(rows, "ts string, event_type string, value double").selectExpr("CAST(ts AS timestamp) AS ts", "event_type", "value").coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = metrics.windowed(spark.readStream.schema(schema).parquet(source))
+        write = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        write.awaitTermination()
+
+    for rows in ([(at("00:10"), "a", 1.0), (at("01:05"), "a", 2.0)], [(at("00:58"), "a", 4.0), (at("05:00"), "a", 8.0)], [(at("00:20"), "a", 16.0), (at("09:00"), "b", 0.0)]):
+        arrive(rows)
+        run()
+    got = spark.read.parquet(str(tmp_path / "out")).selectExpr("hour(start) AS h", "event_type", "n", "total").collect()
+    assert sorted(tuple(r) for r in got) == [(0, "a", 2, 5.0), (1, "a", 1, 2.0), (5, "a", 1, 8.0)]
+    for _ in range(2):
+        metrics.on_arrival(spark.readStream.schema(schema).parquet(source), lambda b: b.filter("event_type = 'a'"), str(tmp_path / "kept"), str(tmp_path / "state2")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "kept")).count() == 5

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, decontaminate, lines, near, pii, quality, sharding, urls, wordpieces
+from . import bpe, classifier, decontaminate, lines, mixing, near, pii, quality, sharding, urls, wordpieces
 
 #: Stated URL rules of the query, and the number of shards.
 RULES = [urls.Rule("com", "/en/", "block"), urls.Rule("example.com", "/en/7", "allow"), urls.Rule("net", "/de/", "block"), urls.Rule("example.net", "/de/8", "block"), urls.Rule("org", "/es/", "block")]
@@ -62,7 +62,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_near_dedup, op4_token_counts, op5_pii, op6_quality_classifier, op7_url_filter, op8_quality_rules, op9_sharding, op10_decontamination)}
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    judged, mix = mixing.drawn(docs, mixing.rates(docs, (3, 1, 2), share=1.5, most=2.0))
+    return judged.select("doc_id", f"{mix}.size", f"{mix}.source_size", f"{mix}.target", (F.col(f"{mix}.size") * F.col(f"{mix}.copies")).alias("taken"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_near_dedup, op4_token_counts, op5_pii, op6_quality_classifier, op7_url_filter, op8_quality_rules, op9_sharding, op10_decontamination, op12_mixing)}
 
 WHITE = r"[^\x20\x09-\x0D]+"
 ORACLES = {
@@ -83,4 +89,12 @@ ORACLES = {
         n AS (SELECT item_id, count(*) AS n FROM i GROUP BY 1),
         c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM i JOIN g USING (k, s) GROUP BY 1, 2)
         SELECT doc_id, item_id, n AS n_item, n_shared FROM c JOIN n USING (item_id) WHERE 5 * n_shared >= 4 * n""",
+    "op12_mixing": rf"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WHITE}')) AS size, concat('mix:', coalesce(CAST(doc_id AS VARCHAR), ''), ':', coalesce(text, '')) AS toss FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS words, 2.0::DOUBLE * sum(size) AS most FROM d GROUP BY 1),
+        w AS (SELECT *, [3.0, 1.0, 2.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1]::DOUBLE AS weight FROM s),
+        l AS (SELECT most / weight AS r, (1.5::DOUBLE * (SELECT sum(words) FROM w) - coalesce((SELECT sum(most) FROM w y WHERE y.most / y.weight < x.most / x.weight), 0)) / (SELECT sum(weight) FROM w y WHERE y.most / y.weight >= x.most / x.weight) AS level FROM w x),
+        t AS (SELECT source, words, CASE WHEN words = 0 THEN 0 ELSE least(most, (SELECT arg_min(level, r) FROM l WHERE level <= r) * weight) END AS target FROM w),
+        c AS (SELECT doc_id, size, words, target, CASE WHEN words > 0 THEN target / words ELSE 0 END AS rate, CAST(concat('0x', left(md5(toss), 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, words AS source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM c""",
 }

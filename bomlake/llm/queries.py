@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, decontaminate, lines, mixing, near, pii, quality, sharding, urls, wordpieces
+from . import alignment, bpe, classifier, decontaminate, lines, mixing, near, pii, quality, sharding, urls, wordpieces
 
 #: Stated URL rules of the query, and the number of shards.
 RULES = [urls.Rule("com", "/en/", "block"), urls.Rule("example.com", "/en/7", "allow"), urls.Rule("net", "/de/", "block"), urls.Rule("example.net", "/de/8", "block"), urls.Rule("org", "/es/", "block")]
@@ -68,7 +68,11 @@ def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", f"{mix}.size", f"{mix}.source_size", f"{mix}.target", (F.col(f"{mix}.size") * F.col(f"{mix}.copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_near_dedup, op4_token_counts, op5_pii, op6_quality_classifier, op7_url_filter, op8_quality_rules, op9_sharding, op10_decontamination, op12_mixing)}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_near_dedup, op4_token_counts, op5_pii, op6_quality_classifier, op7_url_filter, op8_quality_rules, op9_sharding, op10_decontamination, op12_mixing, op13_alignment)}
 
 WHITE = r"[^\x20\x09-\x0D]+"
 ORACLES = {

@@ -1,8 +1,10 @@
 """Plain versions of the operators, for tests only."""
 
 import hashlib
+import itertools
 import re
 import zlib
+from collections import Counter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -123,3 +125,41 @@ def crc(text):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def alignment(rows, a_path, b_path):
+    """(id, text) rows -> op 13's rows, each text encoded whole, groups and links spelled out."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a, b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
+    a.encode_special_tokens = True
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(c): c for c in plain} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in plain)}
+    docs = []
+    for i, text in rows:
+        groups = []
+        if text:
+            ia, ib = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)
+            ba = [bytes(letters[c] for c in a.id_to_token(x)) for x in ia]
+            bb = [bytes([int(b.id_to_piece(x)[3:5], 16)]) if b.is_byte(x) else b.id_to_piece(x).replace("▁", " ").encode() for x in ib]
+            if b"".join(ba) == b"".join(bb) == (" " + text).encode():
+                ends = [set(itertools.accumulate(map(len, x))) for x in (ba, bb)]
+                at = {e: n for n, e in enumerate(sorted(ends[0] & ends[1]))}
+                groups = [([], []) for _ in at]
+                for side, ids, spelt in ((0, ia, ba), (1, ib, bb)):
+                    n = 0
+                    for x, e in zip(ids, itertools.accumulate(map(len, spelt))):
+                        groups[n][side].append(x)
+                        n += e in at
+        docs.append((i, groups))
+    counts = Counter(p for _, groups in docs for p in {p for x, y in groups for p in itertools.product(x, y)})
+    most = {}
+    for (x, _), n in counts.items():
+        most[x] = max(most.get(x, 0), n)
+    out = []
+    for i, groups in docs:
+        links = [p for x, y in groups for p in itertools.product(x, y)]
+        said = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
+        out.append((i, sum(len(x) for x, _ in groups), sum(len(y) for _, y in groups), len(groups), len(links), sum(counts[p] == most[p[0]] for p in links), sum(counts[p] for p in links), hashlib.sha256(said.encode()).hexdigest() if groups else ""))
+    return out

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, classifier, decontaminate, lines, mixing, near, pii, quality, sharding, urls, wordpieces
+from . import alignment, bpe, classifier, decontaminate, firstseen, lines, mixing, near, pii, quality, sharding, urls, wordpieces
 
 #: Stated URL rules of the query, and the number of shards.
 RULES = [urls.Rule("com", "/en/", "block"), urls.Rule("example.com", "/en/7", "allow"), urls.Rule("net", "/de/", "block"), urls.Rule("example.net", "/de/8", "block"), urls.Rule("org", "/es/", "block")]
@@ -62,6 +62,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    batch = F.floor(10 * (F.crc32(docs["doc_id"].cast("string")) % 64) / 64)
+    kept, gone = firstseen.stripped(docs, batch, 10)
+    kept = kept.select(F.lit("doc").alias("row_kind"), F.col("own.doc_id").cast("string").alias("row_id"), F.col("number").alias("batch"), "n_all", "n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+    return kept.unionByName(gone.select(F.lit("line").alias("row_kind"), F.lower(F.hex("key")).alias("row_id"), F.col("first").alias("batch"), F.col("docs").alias("n_all"), F.col("lines").alias("n_removed"), F.lit(None).cast("string").alias("kept_sha256")))
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     judged, mix = mixing.drawn(docs, mixing.rates(docs, (3, 1, 2), share=1.5, most=2.0))
@@ -72,7 +80,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_near_dedup, op4_token_counts, op5_pii, op6_quality_classifier, op7_url_filter, op8_quality_rules, op9_sharding, op10_decontamination, op12_mixing, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_near_dedup, op4_token_counts, op5_pii, op6_quality_classifier, op7_url_filter, op8_quality_rules, op9_sharding, op10_decontamination, op11_first_seen, op12_mixing, op13_alignment)}
 
 WHITE = r"[^\x20\x09-\x0D]+"
 ORACLES = {

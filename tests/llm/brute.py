@@ -163,3 +163,23 @@ def alignment(rows, a_path, b_path):
         said = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
         out.append((i, sum(len(x) for x, _ in groups), sum(len(y) for _, y in groups), len(groups), len(links), sum(counts[p] == most[p[0]] for p in links), sum(counts[p] for p in links), hashlib.sha256(said.encode()).hexdigest() if groups else ""))
     return out
+
+
+def first_seen(batches, least=20, seen=2):
+    """[[(id, text)]] -> op 11's rows."""
+    held, first, lost, out = Counter(), {}, Counter(), []
+    key = lambda line: re.sub("[A-Z]+", lambda m: m.group().lower(), line.strip(" \t\n\x0b\x0c\r"))
+    for n, rows in enumerate(batches):
+        before = Counter(held)
+        for i, text in rows:
+            lines = (text or "").split("\n")
+            keys = [key(x) for x in lines]
+            gone = [len(k) >= least and before[k] >= seen for k in keys]
+            held.update(set(keys))
+            for k, g in zip(keys, gone):
+                if g:
+                    first.setdefault(k, n)
+                    lost[k] += 1
+            kept = "\n".join(x for x, g in zip(lines, gone) if not g)
+            out.append(("doc", None if i is None else str(i), n, len(lines), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out + [("line", hashlib.sha256(k.encode()).hexdigest(), first[k], held[k], n, None) for k, n in lost.items()]

@@ -15,26 +15,47 @@ def label(name: Column, version: Column, purl: Column, bom_ref: Column) -> Colum
     return F.when((name != "") & (version != ""), F.concat_ws("@", name, version)).when(name != "", name).when(purl != "", purl).otherwise(bom_ref)
 
 
-def results(components: DataFrame) -> DataFrame:
-    """bom_ref, rule, level, message, locations: a row for each rule that fits a component.
+#: Rules: number, name, what it says, and what finds it.
+RULES = (
+    (UNTRACKED, "UntrackedComponent", "A component that a scan found and the document did not list.", "untracked-scan"),
+    (UNKNOWN_ORIGIN, "OriginUnknown", "A component that belongs to neither the base image nor the application for sure.", "basediff"),
+    (NO_CPE, "MissingCPE", "A component with a package URL and no CPE name, which scanners are likely to miss.", "cpe"),
+    (LOW_CONFIDENCE, "LowConfidenceCPE", "A CPE name that was guessed and should be looked at.", "cpe"),
+)
+
+
+def quoted(value: Column) -> Column:
+    """In double quotes, with quotes, backslashes and common control characters escaped."""
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+        value = F.replace(value, F.lit(plain), F.lit(escaped))
+    return F.concat(F.lit('"'), value, F.lit('"'))
+
+
+def found(components: DataFrame, *keys: str) -> DataFrame:
+    """keys, bom_ref, rule, level, message, paths: a row for each rule that fits a component.
 
     Takes origin, method, category, confidence (texts), cpe and places (paths) beside a component's own columns.
-    Nulls count as empty; a component without places is located by its reference, at none without one.
+    Nulls count as empty. The texts of messages are fixed values.
     """
     texts = {x: F.coalesce(components[x], F.lit("")) for x in ("bom_ref", "name", "version", "purl", "cpe", "origin", "method", "category", "confidence")}
-    quoted = F.concat(F.lit('"'), label(texts["name"], texts["version"], texts["purl"], texts["bom_ref"]), F.lit('"'))
+    own = quoted(label(texts["name"], texts["version"], texts["purl"], texts["bom_ref"]))
     places = F.coalesce(components["places"], F.array().cast("array<string>"))
     what = F.when(texts["category"] != "", texts["category"]).otherwise("component")
     at = F.when(F.coalesce(F.get(places, F.lit(0)), F.lit("")) != "", F.concat(F.lit(" found at "), F.get(places, F.lit(0)))).otherwise("")
-    number = F.expr("try_cast(confidence AS double)") if "confidence" in components.columns else F.lit(None)
+    number = components["confidence"].try_cast("double")
     rules = [
-        (UNTRACKED, "warning", (texts["method"] == "untracked-scan") | (texts["category"] != ""), F.concat(F.lit("Untracked "), what, F.lit(" "), quoted, at, F.lit("."))),
-        (UNKNOWN_ORIGIN, "note", texts["origin"] == "unknown", F.concat(F.lit("Component "), quoted, F.lit(" has Origin=unknown."))),
-        (NO_CPE, "note", (texts["purl"] != "") & (texts["cpe"] == ""), F.concat(F.lit("Component "), quoted, F.lit(' (PURL "'), texts["purl"], F.lit('") has no CPE.'))),
-        (LOW_CONFIDENCE, "note", (texts["confidence"] == "low") | F.coalesce(number < LEAST_CONFIDENCE, F.lit(False)), F.concat(F.lit("Component "), quoted, F.lit(" has a low-confidence CPE (heuristic)."))),
+        (UNTRACKED, "warning", (texts["method"] == "untracked-scan") | (texts["category"] != ""), F.concat(F.lit("Untracked "), what, F.lit(" "), own, at, F.lit("."))),
+        (UNKNOWN_ORIGIN, "note", texts["origin"] == "unknown", F.concat(F.lit("Component "), own, F.lit(" has Origin=unknown."))),
+        (NO_CPE, "note", (texts["purl"] != "") & (texts["cpe"] == ""), F.concat(F.lit("Component "), own, F.lit(" (PURL "), quoted(texts["purl"]), F.lit(") has no CPE."))),
+        (LOW_CONFIDENCE, "note", (texts["confidence"] == "low") | F.coalesce(number < LEAST_CONFIDENCE, F.lit(False)), F.concat(F.lit("Component "), own, F.lit(" has a low-confidence CPE (heuristic)."))),
     ]
     row = lambda rule, level, fits, text: F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(level).alias("level"), text.alias("message")))
-    found = F.filter(F.array(*[row(*r) for r in rules]), lambda r: r.isNotNull())
+    hits = F.filter(F.array(*[row(*r) for r in rules]), lambda r: r.isNotNull())
     paths = F.transform(places, lambda p: F.regexp_replace(p, "^/", ""))
-    located = F.when(F.size(places) > 0, F.array_join(paths, ",")).otherwise(texts["bom_ref"])
-    return components.select("bom_ref", located.alias("locations"), F.explode(found).alias("r")).select("bom_ref", "r.*", "locations")
+    return components.select(*[components[k] for k in keys], texts["bom_ref"].alias("bom_ref"), paths.alias("paths"), F.explode(hits).alias("r")).select(*keys, "bom_ref", "r.*", "paths")
+
+
+def results(components: DataFrame) -> DataFrame:
+    """bom_ref, rule, level, message, locations (joined by commas): a component without places is located by its reference, at none without one."""
+    located = F.when(F.size("paths") > 0, F.array_join("paths", ",")).otherwise(F.col("bom_ref"))
+    return found(components).select("bom_ref", "rule", "level", "message", located.alias("locations"))

@@ -3,13 +3,13 @@
 A text is cut at spaces between two characters that aren't white space. Neither tokenizer joins anything
 across such a space: the byte-level one's pattern starts a new match there, and no piece of the other's has a
 word mark after another character (checked when the model is read). So a chunk, a space and what follows,
-has the same tokens wherever it stands, and each kind of chunk is encoded and aligned once a block.
+has the same tokens wherever it stands, and chunks that a worker remembers aren't encoded again.
 
-A block is a run of documents of bounded bytes in one Arrow partition. DuckDB holds its tables: token
-intervals of each kind of chunk, the last end of B at or before each end of A (ASOF join), groups as running
-sums of shared ends, tokens of B put into groups by their start (ASOF join), links as products of counts within a group.
-Blocks emit documents as codes of chunks, chunks as id pairs, and partial pair counts. Spark sums the pair
-counts, finds each A id's highest, and hands every block the counts of its own pairs; documents are then summed
+DuckDB aligns the new chunks of an Arrow batch: token intervals as tables, the last end of B at or before each end of A (ASOF
+join), groups as running sums of shared ends, tokens of B put into groups by their start (ASOF join). Of the kinds of groups, which are few, a worker
+keeps the id pairs. A block is a run of documents of bounded bytes in one Arrow partition. It emits its documents as counts of kinds of groups, the
+kinds with their id pairs, and the number of its documents that hold each pair, by another join in DuckDB. Spark sums these
+partial counts, finds each A id's highest, and hands every block the counts of its own pairs; documents are summed
 within their block. Neither links nor pairs of a document are ever shuffled one by one.
 
 Null and empty texts, and texts whose joined token bytes differ from the text, have zeros and ''. A null or
@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +30,15 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, materialise, worker_state
 
-#: Bytes of text after which a block ends, and Arrow rows at a time.
+#: Characters of text after which a block ends, and Arrow rows at a time.
 BLOCK_TEXT, ROWS = 16 << 20, 200
-#: Kinds of chunks that a worker remembers between blocks, and the longest of them.
-REMEMBERED, LONGEST = 400_000, 48
+#: Chunks and kinds of groups that a worker remembers between blocks; of more chunks the short ones stay.
+REMEMBERED, KINDS, OFTEN = 300_000, 400_000, 8
+#: Tokens of one side up to which groups are compared as rows of numbers.
+FEW = 4
+MIX = np.random.Generator(np.random.PCG64(13)).integers(1, (1 << 64) - 1, 2 * FEW, np.uint64) | np.uint64(1)
 #: Where neither tokenizer joins; white space is what any Unicode version counts as such.
-CUT = re.compile(r"(?<=\S) (?=\S)")
+CUT, ODD = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s|^\s|\s\Z")
 MARK = "▁"
 
 
@@ -44,6 +49,23 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+def chunks_of(text: str | None) -> list[str]:
+    if not text:
+        return []
+    return CUT.split(text) if ODD.search(text) else text.split(" ")
+
+
+class Tokens:
+    """Token ids of chunks, one after the other: chunk number, id, start and end in the chunk's bytes."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, chunk_ends: np.ndarray):
+        ends = np.cumsum(sizes[ids])
+        self.c = np.searchsorted(chunk_ends, ends).astype(np.int32)
+        begin = np.concatenate(([0], chunk_ends))[self.c]
+        self.ids = ids
+        self.table = pa.table({"c": self.c, "k": np.arange(len(ids)), "s": ends - sizes[ids] - begin, "e": ends - begin})
+
+
 class Pair:
     """Both tokenizers, and the bytes of their ids."""
 
@@ -58,175 +80,205 @@ class Pair:
         self.a.encode_special_tokens = True
         self.a.no_truncation(), self.a.no_padding()
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_file)
-        letters = byte_alphabet()
-        self.a_bytes = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        letters, vocabulary = byte_alphabet(), self.a.get_vocab()
+        a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for t, i in vocabulary.items():
+            a_bytes[i] = bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces):
             raise ValueError("a piece of the second tokenizer goes on over a space")
-        self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.bytes = a_bytes, b_bytes
+        self.sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in self.bytes]
+
+    def encoded(self, text: str) -> list[list[int]]:
+        """Ids of A for a space and the text, and of B for the text, to which it adds the space itself."""
+        return [self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)]
 
-    def encoded(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A for a space and the chunk, and of B for the chunk, to which it adds the space itself."""
-        return [e.ids for e in self.a.encode_batch([" " + c for c in chunks], add_special_tokens=False)], self.b.encode(chunks, num_threads=1)
+    def tokens(self, chunks: list[str]) -> list[Tokens] | None:
+        """Tokens of both for chunks that start and end without white space, encoded as one text; None if the bytes differ."""
+        whole = " " + " ".join(chunks)
+        both = self.encoded(whole[1:])
+        if any(b"".join(map(spelt.__getitem__, ids)) != whole.encode() for ids, spelt in zip(both, self.bytes)):
+            return None
+        ends = np.cumsum(np.fromiter((len(c.encode()) + 1 for c in chunks), np.int64, len(chunks)))
+        return [Tokens(np.array(ids, np.int32), size, ends) for ids, size in zip(both, self.sizes)]
 
 
-#: Groups of chunks from token intervals: g_of numbers the groups of a chunk from 0 by the shared ends before.
+#: Groups of chunks from token intervals: g numbers the groups of a chunk by the shared ends before; the rows of a group's tokens follow each other.
 GROUPS = """
-    CREATE OR REPLACE TEMP TABLE ga AS
-    SELECT c, pos, id, s, e, coalesce(sum(CAST(shared AS INT)) OVER (PARTITION BY c ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS g
-    FROM (SELECT a.c, a.pos, a.id, a.s, a.e, b.e IS NOT DISTINCT FROM a.e AS shared FROM a ASOF LEFT JOIN b ON a.c = b.c AND a.e >= b.e);
-    CREATE OR REPLACE TEMP TABLE spans AS SELECT c, g, min(s) AS s FROM ga GROUP BY ALL;
-    CREATE OR REPLACE TEMP TABLE gb AS SELECT b.c, b.pos, b.id, spans.g FROM b ASOF JOIN spans ON b.c = spans.c AND b.s >= spans.s;
-    CREATE OR REPLACE TEMP TABLE links AS
-    SELECT c, a, b, sum(x.n * y.n)::BIGINT AS n
-    FROM (SELECT c, g, id AS a, count(*) AS n FROM ga GROUP BY ALL) x JOIN (SELECT c, g, id AS b, count(*) AS n FROM gb GROUP BY ALL) y USING (c, g) GROUP BY ALL;
-"""
-#: A chunk a row, in order: sizes and the text of its groups.
-KINDS = """
-    SELECT c, na, nb, ng, said, n FROM (
-        SELECT c, sum(na)::BIGINT AS na, sum(nb)::BIGINT AS nb, count(*) AS ng, string_agg(ia || '|' || ib, ';' ORDER BY g) AS said
-        FROM (SELECT c, g, count(*) AS na, string_agg(id, ',' ORDER BY pos) AS ia FROM ga GROUP BY ALL)
-        JOIN (SELECT c, g, count(*) AS nb, string_agg(id, ',' ORDER BY pos) AS ib FROM gb GROUP BY ALL) USING (c, g) GROUP BY c)
-    JOIN (SELECT c, sum(n)::BIGINT AS n FROM links GROUP BY c) USING (c) ORDER BY c
+    WITH ga AS (
+        SELECT c, k, s, coalesce(sum(CAST(shared AS INT)) OVER (PARTITION BY c ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g
+        FROM (SELECT a.c, a.k, a.s, b.e IS NOT DISTINCT FROM a.e AS shared FROM a ASOF LEFT JOIN b ON a.c = b.c AND a.e >= b.e)),
+    spans AS (SELECT c, g, min(s) AS s, min(k) AS a, count(*) AS na FROM ga GROUP BY ALL),
+    gb AS (SELECT b.k, spans.c, spans.g, spans.a, spans.na FROM b ASOF JOIN spans ON b.c = spans.c AND b.s >= spans.s)
+    SELECT c, a, na, min(k) AS b, count(*) AS nb FROM gb GROUP BY c, g, a, na ORDER BY a
 """
 
 
 def database():
     import duckdb
 
-    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
-    con.execute("SET preserve_insertion_order = false")
-    return con
-
-
-def intervals(ids: list[list[int]], lengths) -> pa.Table:
-    """(c, pos, id, s, e) of the tokens of every chunk."""
-    n = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((i for x in ids for i in x), np.int32, int(n.sum()))
-    size = lengths[flat]
-    end = np.cumsum(size)
-    first = np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n).astype(np.int64)
-    start = end - size
-    return pa.table({"c": np.repeat(np.arange(len(ids), dtype=np.int32), n), "pos": np.arange(len(flat)) - first, "id": flat, "s": start - start[first], "e": end - start[first]})
+    return duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
 
 
 class Kinds(dict):
-    """Chunk -> (na, nb, groups, links, said, a ids, b ids, times), or None where bytes differ; bounded."""
+    """Chunk -> codes of its groups as bytes, or None where the bytes differ; and what is known of the kinds of groups."""
 
     def __init__(self, pair: Pair):
         self.pair, self.con = pair, database()
-        self.sizes = np.zeros(max(pair.a_bytes) + 1, np.int64), np.array([len(x) for x in pair.b_bytes], np.int64)
-        for i, x in pair.a_bytes.items():
-            self.sizes[0][i] = len(x)
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.codes, self.said, self.shape, self.pairs = {}, [], [], []
 
-    def learn(self, chunks: list[str]) -> dict:
-        """What is known of these chunks; new ones are aligned together."""
+    def bounded(self) -> None:
+        """At the start of a block, when no codes are in use. Short chunks come again more often."""
+        if len(self.said) > KINDS:
+            self.forget()
         if len(self) > REMEMBERED:
+            short = {c: x for c, x in self.items() if len(c) <= OFTEN}
             self.clear()
-        known = {c: self[c] for c in chunks if c in self}
-        new = [c for c in chunks if c not in known]
-        if new:
-            a, b = self.pair.encoded(new)
-            whole = [(" " + c).encode() for c in new]
-            right = [b"".join(map(self.pair.a_bytes.__getitem__, x)) == w == b"".join(map(self.pair.b_bytes.__getitem__, y)) for x, y, w in zip(a, b, whole)]
-            known.update((c, None) for c, r in zip(new, right) if not r)
-            new, a, b = ([x for x, r in zip(xs, right) if r] for xs in (new, a, b))
-        if new:
-            for name, ids, size in (("a", a, self.sizes[0]), ("b", b, self.sizes[1])):
-                self.con.register("arrow_table", intervals(ids, size))
-                self.con.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM arrow_table")
-                self.con.unregister("arrow_table")
-            self.con.execute(GROUPS)
-            kinds = self.con.execute(KINDS).fetchnumpy()
-            pairs = self.con.execute("SELECT c, a, b, n FROM links ORDER BY c").fetchnumpy()
-            edges = np.searchsorted(pairs["c"], np.arange(len(new) + 1))
-            for i, c in enumerate(new):
-                lo, hi = edges[i], edges[i + 1]
-                known[c] = (int(kinds["na"][i]), int(kinds["nb"][i]), int(kinds["ng"][i]), int(kinds["n"][i]), kinds["said"][i], pairs["a"][lo:hi], pairs["b"][lo:hi], pairs["n"][lo:hi])
-        self.update((c, known[c]) for c in chunks if len(c) <= LONGEST)
-        return known
-
-
-#: What a block emits: documents, kinds of chunks with their id pairs, and the number of documents of each id pair.
-SCHEMA = "kind int, block long, id {id}, row long, a int, b int, n_a long, n_b long, n_groups long, n_links long, sha string, codes binary, times binary, n long, pairs_a binary, pairs_b binary, pairs_n binary"
-DOC, CHUNK, COUNT = 0, 1, 2
-
-
-def packed(x, kind) -> bytes:
-    return np.ascontiguousarray(x, kind).tobytes()
+            self.update(short if len(short) <= REMEMBERED else {})
+
+    def kind(self, a: tuple[int, ...], b: tuple[int, ...]) -> int:
+        """The code of a group by its ids."""
+        code = self.codes.get((a, b))
+        if code is None:
+            code = self.codes[a, b] = len(self.said)
+            self.said.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
+            self.shape.append((len(a), len(b), 1, len(a) * len(b)))
+            self.pairs.append(np.array([(x, y, n * m) for x, n in Counter(a).items() for y, m in Counter(b).items()], np.int32))
+        return code
+
+    def grouped(self, n: int, tokens: list[Tokens]) -> list[bytes]:
+        """Codes of the groups of n chunks."""
+        for name, t in zip("ab", tokens):
+            self.con.register(name, t.table)
+        g = {k: v for k, v in self.con.execute(GROUPS).fetchnumpy().items()}
+        for name in "ab":
+            self.con.unregister(name)
+        (ia, ib), codes = (t.ids for t in tokens), np.zeros(len(g["c"]), np.int32)
+        # groups of up to so many tokens, nearly all, are told apart as rows of numbers, longer ones by themselves
+        small = (g["na"] <= FEW) & (g["nb"] <= FEW)
+        rows = np.full((int(small.sum()), 2 * FEW), -1, np.int32)
+        for side, ids, lo, size in ((0, ia, g["a"][small], g["na"][small]), (FEW, ib, g["b"][small], g["nb"][small])):
+            for k in range(FEW):
+                there = size > k
+                rows[there, side + k] = ids[lo[there] + k]
+        mixed = (rows.astype(np.uint64) * MIX).sum(1, dtype=np.uint64)
+        first, which = np.unique(mixed, return_index=True, return_inverse=True)[1:]
+        if not np.array_equal(rows[first][which], rows):  # rows of one hash that differ
+            first, which = np.unique(rows, axis=0, return_index=True, return_inverse=True)[1:]
+        kinds = [self.kind(*(tuple(x for x in half if x >= 0) for half in (row[:FEW], row[FEW:]))) for row in rows[first].tolist()]
+        codes[small] = np.array(kinds, np.int32)[which] if kinds else 0
+        for i in np.flatnonzero(~small).tolist():
+            a, b = int(g["a"][i]), int(g["b"][i])
+            codes[i] = self.kind(tuple(ia[a : a + int(g["na"][i])].tolist()), tuple(ib[b : b + int(g["nb"][i])].tolist()))
+        edges = np.searchsorted(g["c"], np.arange(n + 1)).tolist()
+        whole = codes.tobytes()
+        return [whole[4 * lo : 4 * hi] for lo, hi in zip(edges[:-1], edges[1:])]
+
+    def learn(self, new: list[str]) -> None:
+        """Aligns chunks that aren't known yet, together."""
+        plain = [c for c in new if c and not (c[0].isspace() or c[-1].isspace())]
+        tokens = self.pair.tokens(plain) if plain else None
+        if tokens:
+            self.update(zip(plain, self.grouped(len(plain), tokens)))
+        for c in new:
+            if c not in self:  # alone: with white space at its ends, or in a batch that holds a chunk whose bytes differ
+                one = self.alone(c)
+                self[c] = one and self.grouped(1, one)[0]
+
+    def alone(self, chunk: str) -> list[Tokens] | None:
+        whole, both = (" " + chunk).encode(), self.pair.encoded(chunk)
+        if any(b"".join(map(spelt.__getitem__, ids)) != whole for ids, spelt in zip(both, self.pair.bytes)):
+            return None
+        return [Tokens(np.array(ids, np.int32), size, np.array([len(whole)])) for ids, size in zip(both, self.pair.sizes)]
+
+
+#: What a block emits: documents, kinds of groups with their id pairs, and the number of documents of each id pair.
+COLUMNS = {"row": pa.int64(), "a": pa.int32(), "b": pa.int32(), "n": pa.int64(), **dict.fromkeys(("n_a", "n_b", "n_groups", "n_links"), pa.int64()), "sha": pa.string(), "held": pa.binary(), "width": pa.int32(), "pairs": pa.binary()}
+SCHEMA = "kind int, block long, id {id}, row long, a int, b int, n long, n_a long, n_b long, n_groups long, n_links long, sha string, held binary, width int, pairs binary"
+DOC, GROUP, COUNT = 0, 1, 2
+CODEC = "zstd"
+
+
+def squeezed(codes: np.ndarray, times: np.ndarray) -> bytes:
+    """Ascending codes and how often each comes."""
+    return pa.compress(np.concatenate((np.diff(codes, prepend=0), times)).astype(np.int32).tobytes(), codec=CODEC, asbytes=True)
+
+
+def unsqueezed(held: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(pa.decompress(held, 8 * width, codec=CODEC), np.int32)
+    return np.cumsum(both[:width]), both[width:]
 
 
 class Block:
     def __init__(self, kinds: Kinds):
-        self.kinds, self.docs, self.codes, self.known, self.bytes = kinds, [], {}, [], 0
+        kinds.bounded()
+        self.kinds, self.docs, self.chars = kinds, [], 0
 
     def add(self, rows: list[tuple]) -> None:
         """(id, text) rows."""
-        split = [CUT.split(t) if t else [] for _, t in rows]
-        codes, known = self.codes, self.known
-        new = list(dict.fromkeys(c for chunks in split for c in chunks if c not in codes))
-        learnt = self.kinds.learn(new)
-        for c in new:
-            codes[c] = len(known)
-            known.append(learnt[c])
+        kinds = self.kinds
+        split = [chunks_of(t) for _, t in rows]
+        kinds.learn(list(set(chain.from_iterable(split)).difference(kinds)))
+        shape, said = np.array(kinds.shape, np.int64).reshape(-1, 4), kinds.said
         for (i, text), chunks in zip(rows, split):
-            at = list(map(codes.__getitem__, chunks))
-            own = [known[k] for k in at]
-            self.bytes += 32 + 4 * len(text or "")
+            own = list(map(kinds.__getitem__, chunks))
+            self.chars += 16 + len(text or "")
             if not own or None in own:
-                self.docs.append((i, 0, 0, 0, 0, "", b"", b""))
+                self.docs.append((i, 0, 0, 0, 0, "", None, None))
                 continue
-            at, times = np.unique(np.array(at, np.int32), return_counts=True)
-            said = hashlib.sha256(";".join([x[4] for x in own]).encode()).hexdigest()
-            self.docs.append((i, *(sum([x[k] for x in own]) for k in range(4)), said, packed(at, np.int32), packed(times, np.int32)))
-
-    def emitted(self, block: int, id_type: pa.DataType, names: list[str]):
-        """Record batches of the block's rows."""
-        n = len(self.docs)
-
-        def batch(kind: int, rows: int, **columns):
-            return pa.RecordBatch.from_arrays([pa.array([kind] * rows, pa.int32()), pa.array([block] * rows, pa.int64()), *[columns.get(c, pa.nulls(rows, TYPES.get(c, id_type))) for c in names[2:]]], names=names)
+            codes = np.frombuffer(b"".join(own), np.int32)
+            digest = hashlib.sha256(";".join(map(said.__getitem__, codes.tolist())).encode()).hexdigest()
+            self.docs.append((i, *shape[codes].sum(0).tolist(), digest, *np.unique(codes, return_counts=True)))
 
+    def emitted(self, block: int, id_type: pa.DataType):
+        """Record batches of the block's rows. Codes are those of the block, from 0."""
         docs = list(zip(*self.docs))
-        for lo in range(0, n, 2000):
-            cut = [x[lo : lo + 2000] for x in docs]
-            yield batch(DOC, len(cut[0]), id=pa.array(cut[0], id_type), row=pa.array(range(lo, lo + len(cut[0])), pa.int64()), **{c: pa.array(v, TYPES[c]) for c, v in zip(("n_a", "n_b", "n_groups", "n_links", "sha", "codes", "times"), cut[1:])})
-        used = [k for k, x in enumerate(self.known) if x is not None]
-        if not used:
+        used = np.unique(np.concatenate([np.zeros(0, np.int64), *[x for x in docs[6] if x is not None]]))
+
+        def batch(kind: int, size: int, **columns):
+            types = {"id": id_type, **COLUMNS}
+            return pa.RecordBatch.from_arrays([pa.array([kind] * size, pa.int32()), pa.array([block] * size, pa.int64()), *[pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in types.items()]], names=["kind", "block", *types])
+
+        local = [None if x is None else np.searchsorted(used, x) for x in docs[6]]
+        for lo in range(0, len(local), 2000):
+            hi = min(lo + 2000, len(local))
+            held = [None if x is None else squeezed(x, t) for x, t in zip(local[lo:hi], docs[7][lo:hi])]
+            yield batch(DOC, hi - lo, id=docs[0][lo:hi], row=range(lo, hi), held=held, width=[None if x is None else len(x) for x in local[lo:hi]], **dict(zip(("n_a", "n_b", "n_groups", "n_links", "sha"), (x[lo:hi] for x in docs[1:6]))))
+        if not len(used):
             return
-        for lo in range(0, len(used), 20_000):
-            part = used[lo : lo + 20_000]
-            own = [self.known[k] for k in part]
-            n_pairs = np.array([len(x[5]) for x in own])
-            each = np.repeat(np.array(part, np.int32), n_pairs)
-            yield batch(CHUNK, 1, codes=pa.array([packed(each, np.int32)], pa.binary()), **{c: pa.array([packed(np.concatenate([x[k] for x in own]), t)], pa.binary()) for c, k, t in (("pairs_a", 5, np.int32), ("pairs_b", 6, np.int32), ("pairs_n", 7, np.int64))})
-        # documents of each pair: a pair counts once for a document, whichever of its chunks hold it
+        each = [self.kinds.pairs[k] for k in used.tolist()]
+        flat = np.concatenate(each)
+        owner = np.repeat(np.arange(len(each), dtype=np.int32), [len(x) for x in each])
+        for lo in range(0, len(flat), 500_000):
+            rows = np.column_stack((owner[lo : lo + 500_000], flat[lo : lo + 500_000]))
+            yield batch(GROUP, 1, pairs=[rows.astype(np.int32).tobytes()])
+        # a pair counts once for a document, whichever of its groups hold it
         con = self.kinds.con
-        own = [self.known[k] for k in used]
-        table = pa.table({"c": np.repeat(np.array(used, np.int32), [len(x[5]) for x in own]), "a": np.concatenate([x[5] for x in own]), "b": np.concatenate([x[6] for x in own])})
-        con.register("arrow_table", table)
-        con.execute("CREATE OR REPLACE TEMP TABLE pairs AS SELECT * FROM arrow_table")
-        con.execute("CREATE OR REPLACE TEMP TABLE partial (a INT, b INT, n BIGINT)")
-        for lo in range(0, n, 256):
-            at = [np.frombuffer(x, np.int32) for x in docs[6][lo : lo + 256]]
-            con.register("arrow_table", pa.table({"d": np.repeat(np.arange(len(at), dtype=np.int32), [len(x) for x in at]), "c": np.concatenate(at)}))
-            con.execute("INSERT INTO partial SELECT a, b, count(*) FROM (SELECT DISTINCT d, a, b FROM arrow_table JOIN pairs USING (c)) GROUP BY ALL")
-        con.unregister("arrow_table")
+        con.register("arrow_pairs", pa.table({"c": owner, "a": flat[:, 0], "b": flat[:, 1]}))
+        con.execute("CREATE OR REPLACE TEMP TABLE pairs AS SELECT * FROM arrow_pairs; CREATE OR REPLACE TEMP TABLE partial (a INT, b INT, n BIGINT)")
+        some = [x for x in local if x is not None]
+        for lo in range(0, len(some), 256):
+            part = some[lo : lo + 256]
+            con.register("arrow_docs", pa.table({"d": np.repeat(np.arange(len(part), dtype=np.int32), [len(x) for x in part]), "c": np.concatenate(part).astype(np.int32)}))
+            con.execute("INSERT INTO partial SELECT a, b, count(*) FROM (SELECT DISTINCT d, a, b FROM arrow_docs JOIN pairs USING (c)) GROUP BY ALL")
+        con.unregister("arrow_docs"), con.unregister("arrow_pairs")
         counts = con.execute("SELECT a, b, sum(n)::BIGINT AS n FROM partial GROUP BY ALL").fetchnumpy()
         con.execute("DROP TABLE partial; DROP TABLE pairs")
         for lo in range(0, len(counts["a"]), 50_000):
-            cut = {c: pa.array(v[lo : lo + 50_000], TYPES[c]) for c, v in counts.items()}
+            cut = {c: v[lo : lo + 50_000] for c, v in counts.items()}
             yield batch(COUNT, len(cut["a"]), **cut)
 
 
-TYPES = {"row": pa.int64(), "a": pa.int32(), "b": pa.int32(), "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(), "sha": pa.string(), "codes": pa.binary(), "times": pa.binary(), "n": pa.int64(), "pairs_a": pa.binary(), "pairs_b": pa.binary(), "pairs_n": pa.binary()}
-
-
 def blocks(docs: DataFrame, a_path: str, b_path: str, key: str, text: str) -> DataFrame:
     """SCHEMA rows of all blocks."""
     spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
-    schema = SCHEMA.format(id=kind)
+    schema = SCHEMA.format(id=docs.schema[key].dataType.simpleString())
     # both files are of a fixed size, whatever the corpus, and workers need not have them
     files = spark.sparkContext.broadcast(tuple(open(p, "rb").read() for p in (a_path, b_path)))
 
@@ -234,16 +286,15 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, key: str, text: str) -> Da
         from pyspark import TaskContext
 
         kinds = worker_state("alignment", f"{a_path}:{b_path}", lambda: Kinds(Pair(*files.value)))
-        first, n, block, names, id_type = TaskContext.get().partitionId() << 32, 0, Block(kinds), None, None
+        block, n, id_type = Block(kinds), TaskContext.get().partitionId() << 32, None
         for batch in batches:
             id_type = batch.schema.field(0).type
-            names = names or [x.split()[0] for x in SCHEMA.split(", ")]
             block.add(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())))
-            if block.bytes >= 4 * BLOCK_TEXT:
-                yield from block.emitted(first + n, id_type, names)
-                n, block = n + 1, Block(kinds)
+            if block.chars >= BLOCK_TEXT:
+                yield from block.emitted(n, id_type)
+                block, n = Block(kinds), n + 1
         if block.docs:
-            yield from block.emitted(first + n, id_type, names)
+            yield from block.emitted(n, id_type)
 
     with batches_of(spark, ROWS):
         return materialise(docs.select(docs[key].alias("id"), docs[text].cast("string").alias("text")).mapInArrow(work, schema), spark)
@@ -257,35 +308,32 @@ def pair_counts(rows: DataFrame) -> DataFrame:
 
 
 def summed(key: tuple, docs: pa.Table, known: pa.Table) -> pa.Table:
-    """Documents of a block with n_best and count_sum, from the block's chunks and the counts of its pairs."""
+    """Documents of a block with n_best and count_sum, from the block's groups and the counts of its pairs."""
     import pyarrow.compute as pc
 
     con = worker_state("alignment sums", "database", database)
-    chunks = known.filter(pc.equal(known.column("kind"), CHUNK))
-    counts = known.filter(pc.equal(known.column("kind"), COUNT)).select(["a", "b", "n", "best"])
-    flat = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in chunks.column(c).to_pylist()] or [np.zeros(0, t)])
-    pairs = pa.table({"c": flat("codes", np.int32), "a": flat("pairs_a", np.int32), "b": flat("pairs_b", np.int32), "times": flat("pairs_n", np.int64)})
-    con.register("counts", counts), con.register("pairs", pairs)
-    sums = con.execute("SELECT c, sum(times * n)::BIGINT AS total, coalesce(sum(times) FILTER (WHERE best), 0)::BIGINT AS best FROM pairs JOIN counts USING (a, b) GROUP BY c ORDER BY c").fetchnumpy()
+    groups = known.filter(pc.equal(known.column("kind"), GROUP)).column("pairs").to_pylist()
+    flat = np.frombuffer(b"".join(groups), np.int32).reshape(-1, 4)
+    con.register("counts", known.filter(pc.equal(known.column("kind"), COUNT)).select(["a", "b", "n", "best"]))
+    con.register("pairs", pa.table({"c": flat[:, 0], "a": flat[:, 1], "b": flat[:, 2], "times": flat[:, 3]}))
+    sums = con.execute("SELECT c, sum(times * n)::BIGINT AS total, coalesce(sum(times) FILTER (WHERE best), 0)::BIGINT AS best FROM pairs JOIN counts USING (a, b) GROUP BY c").fetchnumpy()
     con.unregister("counts"), con.unregister("pairs")
-    totals, bests = (np.zeros((int(sums["c"][-1]) if len(sums["c"]) else 0) + 1, np.int64) for _ in range(2))
+    totals, bests = np.zeros((2, int(flat[:, 0].max(initial=-1)) + 1), np.int64)
     totals[sums["c"]], bests[sums["c"]] = sums["total"], sums["best"]
     n_best, count_sum = [], []
-    for codes, times in zip(docs.column("codes").to_pylist(), docs.column("times").to_pylist()):
-        at, t = np.frombuffer(codes, np.int32), np.frombuffer(times, np.int32).astype(np.int64)
-        n_best.append(int((bests[at] * t).sum())), count_sum.append(int((totals[at] * t).sum()))
+    for held, width in zip(docs.column("held").to_pylist(), docs.column("width").to_pylist()):
+        codes, times = unsqueezed(held, width) if held else (np.zeros(0, np.int32),) * 2
+        n_best.append(int((bests[codes] * times).sum())), count_sum.append(int((totals[codes] * times).sum()))
     return docs.select(["id", "n_a", "n_b", "n_groups", "n_links", "sha"]).append_column("n_best", pa.array(n_best, pa.int64())).append_column("count_sum", pa.array(count_sum, pa.int64()))
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 for every row."""
-    spark = docs.sparkSession
     rows = blocks(docs, a_path, b_path, key, text)
-    counts = pair_counts(rows)
-    own = rows.filter(f"kind = {COUNT}").select("block", "a", "b").join(counts, ["a", "b"])
-    chunk = rows.filter(f"kind = {CHUNK}").select("block", "codes", "pairs_a", "pairs_b", "pairs_n")
-    known = own.withColumn("kind", F.lit(COUNT)).unionByName(chunk.withColumn("kind", F.lit(CHUNK)), allowMissingColumns=True)
-    texts = rows.filter(f"kind = {DOC}").select(F.col("block").alias("at"), "id", "n_a", "n_b", "n_groups", "n_links", "sha", "codes", "times")
+    own = rows.filter(f"kind = {COUNT}").select("block", "a", "b").join(pair_counts(rows), ["a", "b"])
+    groups = rows.filter(f"kind = {GROUP}").select("kind", "block", "pairs")
+    known = own.withColumn("kind", F.lit(COUNT)).unionByName(groups, allowMissingColumns=True)
+    texts = rows.filter(f"kind = {DOC}").select(F.col("block").alias("at"), "id", "n_a", "n_b", "n_groups", "n_links", "sha", "held", "width")
     kind = docs.schema[key].dataType.simpleString()
     out = texts.groupBy("at").cogroup(known.groupBy("block")).applyInArrow(summed, f"id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, sha string, n_best bigint, count_sum bigint")
     return out.select(F.col("id").alias(key), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("sha").alias("groups_sha256"))

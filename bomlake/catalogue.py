@@ -1,6 +1,6 @@
 """All queries of the domain operators, and their SQL."""
 
-from bomlake import document_queries  # noqa: F401  registers its queries
+from bomlake import document_queries, scan_queries  # noqa: F401  register their queries
 from bomlake.queries import ORACLES, QUERIES, dedup_by_ecosystem
 
 __all__ = ["ORACLES", "QUERIES", "dedup_by_ecosystem"]

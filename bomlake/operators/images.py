@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -47,11 +48,57 @@ def layer_prefix(target: DataFrame, base: DataFrame) -> DataFrame:
     return joined.agg(F.coalesce(F.bool_and(F.col("digest").eqNullSafe(F.col("own"))), F.lit(False)).alias("is_prefix"), F.count("*").alias("base_layers"))
 
 
-#: Rules: name, action, kind, value. Exact names come first, then the longest prefix, the longest suffix, then patterns in order.
+def glob_pattern(glob: str) -> str:
+    """A glob as a regular expression of the whole path: `*` and `?` stop at a slash, `[a-c]` and `[^a-c]` take one character, a backslash escapes.
+
+    A broken one raises ValueError.
+    """
+    out, i = "", 0
+
+    def one() -> str:
+        nonlocal i
+        if i < len(glob) and glob[i] == "\\":
+            i += 1
+        if i >= len(glob):
+            raise ValueError(f"broken glob: {glob!r}")
+        i += 1
+        return re.escape(glob[i - 1])
+
+    while i < len(glob):
+        c = glob[i]
+        if c in "*?":
+            out, i = out + ("[^/]*" if c == "*" else "[^/]"), i + 1
+        elif c == "[":
+            i += 1
+            negated = glob[i : i + 1] == "^"
+            i += negated
+            ranges = []
+            while not (ranges and glob[i : i + 1] == "]"):
+                if glob[i : i + 1] in ("]", "-", ""):
+                    raise ValueError(f"broken glob: {glob!r}")
+                low = high = one()
+                if glob[i : i + 1] == "-":
+                    i += 1
+                    if glob[i : i + 1] in ("]", "-", ""):
+                        raise ValueError(f"broken glob: {glob!r}")
+                    high = one()
+                if low[-1] <= high[-1]:  # a range that ends before it begins holds nothing
+                    ranges.append(f"{low}-{high}")
+                else:
+                    ranges.append("")
+            i += 1
+            body = "".join(ranges)
+            out += f"[{'^' * negated}{body}]" if body else ("(?s:.)" if negated else r"[^\s\S]")
+        else:
+            out += one()
+    return rf"\A{out}\z"
+
+
+#: Rules: name, action, kind, value. Exact names come first, then the longest prefix, the longest suffix, globs in order, then patterns in order.
 RULES = [
     ("man-pages", "skip", "prefix", "/usr/share/man/"), ("doc-dirs", "skip", "prefix", "/usr/share/doc/"), ("zoneinfo", "skip", "prefix", "/usr/share/zoneinfo/"), ("locale-data", "skip", "prefix", "/usr/share/locale/"), ("pam-config", "skip", "prefix", "/etc/pam.d/"),
     ("readme", "skip", "exact", "README"), ("licence", "skip", "exact", "LICENSE"),
-    ("english", "mark_noise", "prefix", "/en/"), ("english-ones", "skip", "prefix", "/en/1"), ("french", "mark_metadata", "prefix", "/fr/"), ("html", "redundant_under_archive", "suffix", ".html"), ("seven", "skip", "suffix", "7.html"), ("numbers", "mark_number", "regex", "^/[a-z]+/[0-9]{1,2}$"), ("spanish", "mark_noise", "regex", "^/es/"),
+    ("english", "mark_noise", "prefix", "/en/"), ("english-ones", "skip", "prefix", "/en/1"), ("french", "mark_metadata", "prefix", "/fr/"), ("html", "redundant_under_archive", "suffix", ".html"), ("seven", "skip", "suffix", "7.html"), ("german-ones", "mark_noise", "glob", "/?e/[1-3]*"), ("numbers", "mark_number", "regex", "^/[a-z]+/[0-9]{1,2}$"), ("spanish", "mark_noise", "regex", "^/es/"),
 ]
 
 
@@ -73,17 +120,22 @@ def classified(paths: DataFrame, rules: list[tuple] = RULES, path: str = "path")
     longest = lambda kind: max((len(v) for _, _, k, v in rules if k == kind), default=0)
     lengths = lambda kind: F.sequence(F.least(F.length(p), F.lit(longest(kind))), F.lit(0), F.lit(-1))
     found = [lookup("exact", F.array(P.basename(p))), lookup("prefix", F.transform(lengths("prefix"), lambda n: F.left(p, n))), lookup("suffix", F.transform(lengths("suffix"), lambda n: F.right(p, n)))]
-    found += [F.when(p.rlike(v), F.struct(F.lit(n).alias("n"), F.lit(a).alias("a"))) for n, a, k, v in rules if k == "regex"]
+    patterns = [(n, a, glob_pattern(v)) for n, a, k, v in rules if k == "glob"] + [(n, a, v) for n, a, k, v in rules if k == "regex"]
+    found += [F.when(p.rlike(v), F.struct(F.lit(n).alias("n"), F.lit(a).alias("a"))) for n, a, v in patterns]
     return paths.withColumn("hit", F.coalesce(*found)).withColumns({"rule": F.coalesce("hit.n", F.lit("")), "action": F.coalesce("hit.a", F.lit("keep"))}).drop("hit")
 
 
-#: Names and suffixes of documents and metadata (fixed values).
-DOC_NAMES = ("readme", "license", "copying", "notice", "authors", "changelog")
-DOC_SUFFIXES = (".md", ".txt", ".rst", ".html", ".css", ".map", ".ts")
+#: Names and suffixes of documents, sources and metadata (fixed values).
+DOC_NAMES = (
+    "AUTHORS", "CHANGELOG", "CHANGELOG.md", "CHANGES", "CHANGES.md", "CHANGES.txt", "CODEOWNERS", "CONTRIBUTING", "CONTRIBUTORS", "COPYING", "COPYING.LIB", "COPYRIGHT", "INSTALL", "INSTALL.md",
+    "LICENCE", "LICENCE.md", "LICENCE.txt", "LICENSE", "LICENSE.md", "LICENSE.txt", "MAINTAINERS", "NEWS", "NEWS.md", "NOTICE", "NOTICE.md", "NOTICE.txt", "PATENTS", "README", "README.md", "README.rst", "README.txt", "SECURITY", "SECURITY.md", "THANKS", "TODO", "TODO.md", "VERSION",
+)
+DOC_SUFFIXES = (".asc", ".c", ".cc", ".cpp", ".cxx", ".dwo", ".dwp", ".gpg", ".h", ".hpp", ".hxx", ".map", ".o", ".obj", ".pyi", ".sig", ".sym", ".symtab", ".ts", ".tsx")
 
 
 def documentation(path: Column) -> Column:
-    return F.lower(P.basename(path)).isin(*DOC_NAMES) | P.extension(path).isin(*DOC_SUFFIXES)
+    """By the whole name, as it is written, or by what follows the last dot."""
+    return P.basename(path).isin(*DOC_NAMES) | P.extension(path).isin(*DOC_SUFFIXES)
 
 
 #: What a directory's direct children tell of a source tree (fixed values): names in lower case but for build files.
@@ -93,35 +145,51 @@ CHILDREN = {
 }
 #: Scores (fixed values): signals that must all be there, and points.
 DENSITY = [(("makefile", "configure"), 5), (("cmake",), 4), (("versioned",), 5), (("src", "include"), 3), (("tests",), 2), (("license", "readme"), 2), (("over_100",), 1), (("over_1000",), 2)]
-#: A directory's own name that ends in a version.
-VERSIONED = r"^(.+)[-_]v?([0-9]+(?:\.[0-9A-Za-z]+)+)$"
+#: Forms of a directory's own name that state a version, in the order in which they are tried (fixed values).
+NAME_FORMS = (
+    r"^([A-Za-z][A-Za-z0-9_+.-]*?)-version-(\d[A-Za-z0-9._+-]*)$",
+    r"^([A-Za-z][A-Za-z0-9_+.-]*?)-v(\d[A-Za-z0-9._+-]*)$",
+    r"^([A-Za-z][A-Za-z0-9+.-]*?)_(\d[A-Za-z0-9._+-]*)$",
+    r"^([A-Za-z][A-Za-z0-9_+.-]*?)-(\d[A-Za-z0-9._+-]*)$",
+)
+#: Direct children and points from which a directory is a source tree.
+LEAST_CHILDREN, LEAST_SCORE = 3, 7
+
+
+def named_version(own: Column) -> tuple[Column, Column]:
+    """Name and version that a directory's name states by the first form that fits, '' without."""
+    part = lambda group: F.coalesce(*[F.when(own.rlike(f), F.regexp_extract(own, f, group)) for f in NAME_FORMS], F.lit(""))
+    return part(1), part(2)
 
 
 def directories(files: DataFrame) -> DataFrame:
     """(path, size) -> for every directory: files and bytes below it, distinct direct children, and what these tell.
 
-    Null paths and files at the root have no directory; an empty table gives no rows.
+    With a column `claimed`, `any_claimed` tells whether a file below is. Null paths and files at the root have no
+    directory; an empty table gives no rows.
     """
+    more = ["claimed"] if "claimed" in files.columns else []
     parts = F.split("path", "/")
-    below = files.select("path", "size", F.explode(F.sequence(F.lit(1), F.size(parts) - 1)).alias("n"), parts.alias("parts")).filter("n > 0").select("path", "size", F.array_join(F.slice("parts", 1, F.col("n")), "/").alias("dir"), F.get("parts", F.col("n")).alias("child"))
+    below = files.select("path", "size", *more, F.explode(F.sequence(F.lit(1), F.size(parts) - 1)).alias("n"), parts.alias("parts")).filter("n > 0").select("path", "size", *more, F.array_join(F.slice("parts", 1, F.col("n")), "/").alias("dir"), F.get("parts", F.col("n")).alias("child"))
     told = [F.bool_or(F.col("child").rlike(pattern)).alias(name) for name, pattern in CHILDREN.items()]
-    return below.groupBy("dir").agg(F.count("*").alias("n_files"), F.sum("size").alias("bytes"), F.count_distinct("child").alias("children"), *told)
+    return below.groupBy("dir").agg(F.count("*").alias("n_files"), F.sum("size").alias("bytes"), F.count_distinct("child").alias("children"), *told, *[F.bool_or(c).alias("any_claimed") for c in more])
 
 
 def density(dirs: DataFrame) -> DataFrame:
     """Adds the score of each directory, and name and version that its own name states ('' without)."""
     own = P.basename(F.col("dir"))
-    scored = dirs.withColumns({"name": F.regexp_extract(own, VERSIONED, 1), "version": F.regexp_extract(own, VERSIONED, 2)})
+    name, version = named_version(own)
+    scored = dirs.withColumns({"name": name, "version": version})
     signs = {"versioned": F.col("version") != "", "over_100": F.col("n_files") > 100, "over_1000": F.col("n_files") > 1000, **{c: F.col(c) for c in CHILDREN}}
     return scored.withColumn("score", reduce(lambda a, b: a + b, [F.when(reduce(lambda x, y: x & y, [signs[n] for n in names]), points).otherwise(0) for names, points in DENSITY]))
 
 
-def dense(dirs: DataFrame, least: int = 7) -> DataFrame:
+def dense(dirs: DataFrame, least: int = LEAST_SCORE) -> DataFrame:
     """Scores directories and picks the first, in order of names, that qualifies under each top directory.
 
     Taking a directory blocks the rest of its top directory, so one minimum a top directory is the whole rule.
     """
-    scored = density(dirs).filter((F.col("children") >= 3) & (F.col("score") >= least))
+    scored = density(dirs).filter((F.col("children") >= LEAST_CHILDREN) & (F.col("score") >= least))
     return scored.groupBy(F.split_part(F.col("dir"), F.lit("/"), F.lit(1)).alias("top")).agg(F.min(F.struct("dir", "score", "n_files")).alias("m")).select("top", "m.dir", "m.score", "m.n_files")
 
 

@@ -153,7 +153,7 @@ def base_layer_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rules_sql(path: str) -> str:
     exact = [r for r in images.RULES if r[2] == "exact"]
     affix = lambda k: sorted((r for r in images.RULES if r[2] == k), key=lambda r: -len(r[3]))
-    tests = [*[(f"regexp_extract({path}, '([^/]*)$', 1) = '{v}'", n, a) for n, a, _, v in exact], *[(f"starts_with({path}, '{v}')", n, a) for n, a, _, v in affix("prefix")], *[(f"ends_with({path}, '{v}')", n, a) for n, a, _, v in affix("suffix")], *[(f"regexp_matches({path}, '{v}')", n, a) for n, a, k, v in images.RULES if k == "regex"]]
+    tests = [*[(f"regexp_extract({path}, '([^/]*)$', 1) = '{v}'", n, a) for n, a, _, v in exact], *[(f"starts_with({path}, '{v}')", n, a) for n, a, _, v in affix("prefix")], *[(f"ends_with({path}, '{v}')", n, a) for n, a, _, v in affix("suffix")], *[(f"regexp_matches({path}, '{images.glob_pattern(v) if k == 'glob' else v}')", n, a) for kind in ("glob", "regex") for n, a, k, v in images.RULES if k == kind]]
     case = lambda i, other: "CASE " + " ".join(f"WHEN {t[0]} THEN '{t[i]}'" for t in tests) + f" ELSE '{other}' END"
     return f"(SELECT *, {case(1, '')} AS rule, {case(2, 'keep')} AS action FROM {PATHS})"
 
@@ -163,7 +163,7 @@ def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.classified(view(spark, sf_dir, "paths"))
 
 
-DOCS = f"(lower(regexp_extract(path, '([^/]*)$', 1)) IN {images.DOC_NAMES} OR lower(regexp_extract(path, '(\\.[^./]*)$', 1)) IN {images.DOC_SUFFIXES})"
+DOCS = f"(regexp_extract(path, '([^/]*)$', 1) IN {images.DOC_NAMES} OR lower(regexp_extract(path, '(\\.[^./]*)$', 1)) IN {images.DOC_SUFFIXES})"
 
 
 @query(f"SELECT action, {DOCS} AS documentation, count(*) AS n FROM {rules_sql('path')} WHERE action NOT IN ('skip', 'redundant_under_archive') GROUP BY 1, 2")
@@ -183,7 +183,8 @@ def directory_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 TREES = adapters.sql("trees")
 SEEN = f"(SELECT dir, count(*) AS n_files, count(DISTINCT child) AS children, list(DISTINCT child) AS names, list(DISTINCT lower(child)) AS low FROM (SELECT array_to_string(p[1:n], '/') AS dir, p[n + 1] AS child FROM (SELECT p, unnest(range(1, len(p))) AS n FROM (SELECT string_split(path, '/') AS p FROM {TREES}))) GROUP BY 1)"
 POINTS = "CASE WHEN list_has_any(names, ['Makefile', 'makefile', 'GNUmakefile']) AND list_has_any(names, ['configure', 'configure.ac', 'configure.in']) THEN 5 ELSE 0 END + CASE WHEN list_contains(names, 'CMakeLists.txt') THEN 4 ELSE 0 END + CASE WHEN version <> '' THEN 5 ELSE 0 END + CASE WHEN list_contains(low, 'src') AND list_contains(low, 'include') THEN 3 ELSE 0 END + CASE WHEN list_has_any(low, ['test', 'tests', 'spec']) THEN 2 ELSE 0 END + CASE WHEN len(list_filter(low, lambda x: starts_with(x, 'license') OR starts_with(x, 'licence') OR x IN ('copying', 'copying.lib'))) > 0 AND len(list_filter(low, lambda x: starts_with(x, 'readme'))) > 0 THEN 2 ELSE 0 END + CASE WHEN n_files > 1000 THEN 3 WHEN n_files > 100 THEN 1 ELSE 0 END"
-SCORED = f"(SELECT dir, n_files, children, version, {POINTS} AS score FROM (SELECT *, regexp_extract(split_part(dir, '/', -1), '[-_]v?([0-9]+[.][0-9A-Za-z.]+)$', 1) AS version FROM {SEEN}))"
+VERSION = "coalesce(" + ", ".join(f"nullif(regexp_extract(split_part(dir, '/', -1), '{f}', 2), '')" for f in (r"^([A-Za-z][A-Za-z0-9_+.-]*?)-version-(\d[A-Za-z0-9._+-]*)$", r"^([A-Za-z][A-Za-z0-9_+.-]*?)-v(\d[A-Za-z0-9._+-]*)$", r"^([A-Za-z][A-Za-z0-9+.-]*?)_(\d[A-Za-z0-9._+-]*)$", r"^([A-Za-z][A-Za-z0-9_+.-]*?)-(\d[A-Za-z0-9._+-]*)$")) + ", '')"
+SCORED = f"(SELECT dir, n_files, children, version, {POINTS} AS score FROM (SELECT *, {VERSION} AS version FROM {SEEN}))"
 
 
 @query(f"SELECT dir, n_files, children, version, score FROM {SCORED}")

@@ -20,7 +20,7 @@ VIEWS = {
     "trees": (
         "lineitem",
         ["l_orderkey % 60 AS k", "l_partkey AS p", "l_partkey % (2 + l_orderkey % 14) AS kind", "l_quantity AS size"],
-        ["concat('opt', k % 20, '/', CASE WHEN k % 3 = 0 THEN concat('tool', k, CASE WHEN k % 2 = 0 THEN '-1.' ELSE '_v2.' END, k % 7) ELSE concat('app', k) END, '/', CASE kind WHEN 1 THEN 'Makefile' WHEN 2 THEN 'configure.ac' WHEN 3 THEN 'README.md' WHEN 4 THEN concat('Src/f', p % 40, '.c') WHEN 5 THEN concat('include/h', p % 40, '.h') WHEN 6 THEN 'LICENCE' WHEN 7 THEN concat('tests/t', p % 9) WHEN 8 THEN 'CMakeLists.txt' ELSE concat('x', p % (1 + k * 3)) END) AS path", "size"],
+        ["concat('opt', k % 20, '/', CASE WHEN k % 3 = 0 THEN concat('tool', k, CASE k % 5 WHEN 0 THEN '-1.' WHEN 1 THEN '_v2.' WHEN 2 THEN '-version-3.' WHEN 3 THEN '-v4.' ELSE '_5.' END, k % 7) ELSE concat('app', k) END, '/', CASE kind WHEN 1 THEN 'Makefile' WHEN 2 THEN 'configure.ac' WHEN 3 THEN 'README.md' WHEN 4 THEN concat('Src/f', p % 40, '.c') WHEN 5 THEN concat('include/h', p % 40, '.h') WHEN 6 THEN 'LICENCE' WHEN 7 THEN concat('tests/t', p % 9) WHEN 8 THEN 'CMakeLists.txt' ELSE concat('x', p % (1 + k * 3)) END) AS path", "size"],
     ),
     "edges": ("lineitem", ["concat('order-', l_orderkey) AS src", "concat('part-', l_partkey) AS dst", "CASE WHEN l_linenumber % 5 = 0 THEN 'contains' ELSE 'depends-on' END AS rel", "l_orderkey * 10 + l_linenumber AS ord"]),
     "layer_entries": ("lineitem", ["l_linenumber - 1 AS layer", "l_orderkey * 10 + l_linenumber AS seq", "concat('opt/app', l_partkey % 20, '/f', l_partkey) AS path", "CASE WHEN l_returnflag = 'R' THEN 'wh' ELSE 'add' END AS op"]),

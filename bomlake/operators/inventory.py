@@ -91,8 +91,9 @@ POLICY = [
 
 
 def findings(components: DataFrame) -> DataFrame:
-    """A row for each rule that a component other than a file breaks."""
-    broken = {"NTIA-NAME": F.col("name") == "", "NTIA-VERSION": F.col("version") == "", "NTIA-SUPPLIER": F.col("supplier") == "", "NTIA-IDENTIFIER": F.col("purl") == ""}
+    """A row for each rule that a component other than a file breaks; a CPE name identifies it, too, and an author stands for a supplier."""
+    has = lambda c: F.col(c) != "" if c in components.columns else F.lit(False)
+    broken = {"NTIA-NAME": F.col("name") == "", "NTIA-VERSION": F.col("version") == "", "NTIA-SUPPLIER": ~(has("supplier") | has("author")), "NTIA-IDENTIFIER": ~(has("purl") | has("cpe"))}
     rules = F.filter(F.array(*[F.when(broken[r], F.struct(F.lit(r).alias("rule_id"), F.lit(s).alias("raw"))) for r, s in COMPONENT_RULES.items()]), lambda r: r.isNotNull())
     return components.filter("ctype <> 'file'").withColumn("f", F.explode(rules)).select("bom_ref", "ord", "ctype", I.ecosystem(F.col("purl")).alias("eco"), "f.*")
 
@@ -109,10 +110,8 @@ def with_policy(found: DataFrame, extra: list[tuple] = ()) -> DataFrame:
 
 
 def rollup(found: DataFrame) -> DataFrame:
-    """Counts by rule; status from the worst severity."""
-    return found.groupBy("rule_id").agg(
-        F.count("*").alias("n"), F.count_if(F.col("severity") >= 2).alias("actionable"), F.max("severity").alias("worst")
-    ).withColumn("status", F.when(F.col("worst") >= 3, "failed").when(F.col("worst") >= 0, "passed-with-warnings").otherwise("passed"))
+    """Counts by rule; a status is a validator's, see compliance.statuses()."""
+    return found.groupBy("rule_id").agg(F.count("*").alias("n"), F.count_if(F.col("severity") >= 2).alias("actionable"), F.max("severity").alias("worst"))
 
 
 def repeated_refs(refs: DataFrame, key: str = "dst") -> DataFrame:

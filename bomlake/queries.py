@@ -240,7 +240,7 @@ def policy_sql() -> str:
     return "CASE " + " ".join(f"WHEN {t}" for t in tests) + " ELSE raw END"
 
 
-TESTS = {"NTIA-NAME": "name = ''", "NTIA-VERSION": "version = ''", "NTIA-SUPPLIER": "supplier = ''", "NTIA-IDENTIFIER": "purl = ''"}
+TESTS = {"NTIA-NAME": "name = ''", "NTIA-VERSION": "version = ''", "NTIA-SUPPLIER": "supplier = ''", "NTIA-IDENTIFIER": "purl = '' AND cpe = ''"}
 FINDINGS = "(" + " UNION ALL ".join(f"SELECT bom_ref, ctype, lower(regexp_extract(purl, '^pkg:([^/@?#]*)', 1)) AS eco, '{r}' AS rule_id, {s} AS raw FROM {C} WHERE ctype <> 'file' AND {TESTS[r]}" for r, s in inventory.COMPONENT_RULES.items()) + ")"
 JUDGED = f"(SELECT *, {policy_sql()} AS severity FROM {FINDINGS})"
 NAMES = "CASE severity " + " ".join(f"WHEN {r} THEN '{n}'" for n, r in I.SEVERITIES.items()) + " ELSE 'unknown' END"
@@ -255,7 +255,7 @@ def compliance_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(spark, sf_dir).select("bom_ref", "rule_id", I.severity_name(F.col("severity")).alias("severity"))
 
 
-@query(f"SELECT rule_id, count(*) AS n, sum(CASE WHEN severity >= 2 THEN 1 ELSE 0 END) AS actionable, max(severity) AS worst, CASE WHEN max(severity) >= 3 THEN 'failed' WHEN max(severity) >= 0 THEN 'passed-with-warnings' ELSE 'passed' END AS status FROM {JUDGED} GROUP BY 1")
+@query(f"SELECT rule_id, count(*) AS n, sum(CASE WHEN severity >= 2 THEN 1 ELSE 0 END) AS actionable, max(severity) AS worst FROM {JUDGED} GROUP BY 1")
 def compliance_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.rollup(judged(spark, sf_dir))
 

@@ -142,12 +142,12 @@ def spdx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told(placed.withColumn("place", F.concat_ws("|", "up", "bom_ref"))).select("sbom_id", F.col("place").alias("way"), "name", "version", "supplier", "purl", "cpes", "hashes", F.regexp_extract("licences", r"^\|\|(.*)\|$", 1).alias("licence"), "origin", "layer")
 
 
-@query(f"SELECT sbom_id, 2024 AS year, 'an author' AS author, 'maker|scanner|1.0' AS tool, 'k=v' AS props, n AS edges, hubs FROM (SELECT sbom_id, count(*) FILTER (WHERE rel IN ('depends-on', 'provides')) AS n, count(DISTINCT src) FILTER (WHERE src LIKE 'hub%') AS hubs FROM {EDGED} GROUP BY 1)")
+@query(f"SELECT sbom_id, 2024 AS year, 'an author' AS author, 'maker|scanner|1.0' AS tool, 'k=v' AS props, n AS edges, given, hubs FROM (SELECT sbom_id, count(*) FILTER (WHERE rel IN ('depends-on', 'provides')) AS n, count(*) FILTER (WHERE rel = 'provides') AS given, count(DISTINCT src) FILTER (WHERE src LIKE 'hub%') AS hubs FROM {EDGED} GROUP BY 1)")
 def document_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata and relations that the documents state."""
     texts = writers.assembled(writers.cyclonedx(*bill(spark, sf_dir))).withColumn("format", F.lit("cyclonedx-json"))
     meta = records.cyclonedx_metadata(texts).select("sbom_id", F.year("created").alias("year"), F.array_join("authors", ";").alias("author"), F.array_join(F.transform("tools", lambda t: F.concat_ws("|", t["vendor"], t["name"], t["version"])), ";").alias("tool"), F.array_join(F.transform(F.map_entries("props"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("props"))
-    edges = records.cyclonedx_relations(texts).groupBy("sbom_id").agg(F.count("*").alias("edges"), F.count_distinct(F.when(F.col("src").startswith("hub"), F.col("src"))).alias("hubs"))
+    edges = records.cyclonedx_relations(texts).groupBy("sbom_id").agg(F.count("*").alias("edges"), F.count_if(F.col("rel") == "provides").alias("given"), F.count_distinct(F.when(F.col("src").startswith("hub"), F.col("src"))).alias("hubs"))
     return meta.join(edges, "sbom_id")
 
 

@@ -96,7 +96,8 @@ def cyclonedx_relations(documents: DataFrame) -> DataFrame:
     """sbom_id, ord, src, dst, rel: what an entry depends on, then what it provides, in the document's order."""
     kind = "array<struct<ref:string,dependsOn:array<string>,provides:array<string>>>"
     deps = documents.filter("format = 'cyclonedx-json'").select("sbom_id", F.posexplode(F.from_json(F.get_json_object("text", "$.dependencies"), kind)).alias("i", "d"))
-    both = F.concat(*[F.transform(listed(F.col(f"d.{f}"), "array<string>"), lambda x, r=rel: F.struct(x.alias("dst"), F.lit(r).alias("rel"))) for f, rel in (("dependsOn", "depends-on"), ("provides", "provides"))])
+    targets = lambda field, rel: F.transform(listed(F.col(f"d.{field}"), "array<string>"), lambda x: F.struct(x.alias("dst"), F.lit(rel).alias("rel")))
+    both = F.concat(targets("dependsOn", "depends-on"), targets("provides", "provides"))
     rows = deps.select("sbom_id", "i", text(F.col("d.ref")).alias("src"), F.posexplode(both).alias("j", "e"))
     return rows.select("sbom_id", (F.col("i") * F.lit(1 << 32) + F.col("j")).alias("ord"), "src", text(F.col("e.dst")).alias("dst"), "e.rel")
 

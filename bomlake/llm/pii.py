@@ -205,8 +205,8 @@ def overlaps(c: Column, d: Column) -> Column:
     return (c["start"] < d["end"]) & (d["start"] < c["end"])
 
 
-def found(docs: DataFrame, text: str = "text", name: str = "pii") -> DataFrame:
-    """Adds a struct: base and all, arrays of spans by start and kind."""
+def found(docs: DataFrame, text: str = "text", name: str | None = None) -> DataFrame:
+    """Adds a struct: base and all, arrays of spans by start and kind; as `pii`, with underscores after it if there is such a column."""
     judge = Judge(docs.sparkSession)
 
     def judged(t):
@@ -217,7 +217,7 @@ def found(docs: DataFrame, text: str = "text", name: str = "pii") -> DataFrame:
 
         return once(base(t), with_base)
 
-    return docs.withColumn(name, once(F.coalesce(docs[text].cast("string"), F.lit("")), judged))
+    return docs.withColumn(name or unused(docs, "pii"), once(F.coalesce(docs[text].cast("string"), F.lit("")), judged))
 
 
 def listed(found: Column) -> Column:

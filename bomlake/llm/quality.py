@@ -134,9 +134,9 @@ def judged(text: Column, max_lost: int, boilerplate: str = BOILERPLATE) -> Colum
     return once(F.coalesce(text.cast("string"), F.lit("")), measured)
 
 
-def verdicts(docs: DataFrame, text: str = "text", max_lost: int = MAX_LOST, boilerplate: str = BOILERPLATE, name: str = "quality") -> DataFrame:
-    """Adds a struct, see judged(). A generator makes it, so filters and fields above don't compute it again."""
-    return docs.select("*", F.explode_outer(F.array(judged(docs[text], max_lost, boilerplate))).alias(name))
+def verdicts(docs: DataFrame, text: str = "text", max_lost: int = MAX_LOST, boilerplate: str = BOILERPLATE, name: str | None = None) -> DataFrame:
+    """Adds a struct, see judged(), as `quality`, with underscores after it if there is such a column. A generator makes it, so filters and fields above don't compute it again."""
+    return docs.select("*", F.explode_outer(F.array(judged(docs[text], max_lost, boilerplate))).alias(name or unused(docs, "quality")))
 
 
 def clean(docs: DataFrame, text: str = "text", max_lost: int = MAX_LOST, boilerplate: str = BOILERPLATE) -> DataFrame:

@@ -161,3 +161,14 @@ def test_alignment_of_documents(spark, documents):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     assert Counter(map(tuple, alignment.aligned(documents, A, B).collect())) == Counter(brute.alignment(rows, A, B))
     assert alignment.aligned(documents.limit(0), A, B).count() == 0
+
+
+def test_columns_of_the_same_names_stay(spark):
+    """A table that has columns named as the results has them still, and the results beside them."""
+    from bomlake.llm import pii, quality
+
+    docs = spark.createDataFrame([("write to a.b@c.org now", 1, 2)], "text string, quality int, pii int")
+    row = quality.verdicts(docs).first()
+    assert (row.quality, row.pii) == (1, 2) and row.quality_.n_words == 4
+    row = pii.found(docs).first()
+    assert (row.quality, row.pii) == (1, 2) and len(row.pii_.base) == 1

@@ -78,12 +78,6 @@ def hash_algorithm(name: Column) -> Column:
     return F.when(plain.rlike("^(sha3|blake2b)-?[0-9]+$"), F.regexp_replace(plain, "^(sha3|blake2b)-?", "$1-")).otherwise(F.replace(plain, F.lit("-"), F.lit("")))
 
 
-def truncated_version(version: Column, form: Column) -> Column:
-    v = F.regexp_replace(version, "^v", "")
-    major, minor = F.split_part(v, F.lit("."), F.lit(1)), F.split_part(v, F.lit("."), F.lit(2))
-    return F.when(form == "major", major).when((form == "major.minor") & (minor != ""), F.concat_ws(".", major, minor)).otherwise(v)
-
-
 def lifecycle_status(eol: Column, eol_bool: Column, support: Column, support_bool: Column, release: Column, now: Column) -> Column:
     """The first that holds: end of life, maintenance, active, unknown."""
     return F.when((eol <= now) | (eol_bool == "true"), "eol").when((support <= now) | (support_bool == "false"), "maintenance").when(release.isNotNull(), "active").otherwise("unknown")

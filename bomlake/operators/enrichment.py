@@ -9,10 +9,15 @@ from bomlake.functions import identifiers as I
 
 
 def matched_cycles(components: DataFrame, cycles: DataFrame, now: Column) -> DataFrame:
-    """(bom_ref, product, version, form), (product, cyc, pos, rel, support, eol) -> the first cycle that fits, with status."""
-    wanted = components.withColumn("cyc", I.truncated_version(F.col("version"), F.col("form")))
-    first = cycles.groupBy("product", "cyc").agg(F.min_by(F.struct("rel", "support", "eol"), "pos").alias("c"))
-    hit = wanted.join(first, ["product", "cyc"])
+    """(bom_ref, product, version, form), (product, cyc, pos, rel, support, eol) -> the first cycle that fits, with status.
+
+    A cycle fits if it is the version in the product's form, with or without a leading v.
+    """
+    form = F.col("form")
+    version = F.when(form == "major", F.substring_index("version", ".", 1)).when(form == "major.minor", F.substring_index("version", ".", 2)).otherwise(F.col("version"))
+    wanted = components.withColumn("cyc", F.explode(F.array_distinct(F.array(version, F.regexp_replace(version, "^v", "")))))
+    first = cycles.groupBy("product", "cyc").agg(F.min(F.struct("pos", "rel", "support", "eol")).alias("c"))
+    hit = wanted.join(first, ["product", "cyc"]).groupBy("bom_ref", "product").agg(F.min_by(F.struct("cyc", "c"), "c.pos").alias("m")).select("bom_ref", "product", "m.cyc", "m.c")
     no = F.lit("")
     return hit.select("bom_ref", "product", "cyc", I.lifecycle_status(F.col("c.eol"), no, F.col("c.support"), no, F.col("c.rel"), now).alias("status"), I.days_until(F.col("c.eol"), now).alias("days_until_eol"))
 

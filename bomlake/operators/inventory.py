@@ -122,15 +122,18 @@ def repeated_refs(refs: DataFrame, key: str = "dst") -> DataFrame:
 def levels(edges: DataFrame) -> DataFrame:
     """(name, dep) of a DAG -> (name, level): 0 without dependencies, else one more than the highest dependency.
 
-    A round a level, however many there are; a cycle raises an error, an empty table has no rows.
+    A round a level, however many there are. Each takes the edges to the last level's names away and looks only at what is left, so an edge is
+    carried until its dependency is known and never joined to names of earlier levels. A cycle raises an error, an empty table has no rows.
     """
-    known = cut(edges.select(F.col("dep").alias("name")).distinct().join(edges.select("name").distinct(), "name", "left_anti").withColumn("level", F.lit(0)))
-    while True:
-        ready = edges.join(known.withColumnRenamed("name", "dep"), "dep", "left").groupBy("name").agg(F.count_if(F.col("level").isNull()).alias("open"), (F.max("level") + 1).alias("level")).filter("open = 0").select("name", "level")
-        ready = cut(ready.join(known, "name", "left_anti"))
-        if ready.isEmpty():
-            break
-        known = cut(known.unionByName(ready))
-    if not edges.join(known, "name", "left_anti").isEmpty():
+    left = cut(edges.select("name", "dep").distinct())
+    frontier = cut(left.select(F.col("dep").alias("name")).distinct().join(left.select("name").distinct(), "name", "left_anti"))
+    found, level = frontier.withColumn("level", F.lit(0)), 0
+    while not frontier.isEmpty():
+        rest = cut(left.join(frontier.select(F.col("name").alias("dep")), "dep", "left_anti"))
+        # names that lost their last edge
+        frontier = cut(left.select("name").distinct().join(rest.select("name").distinct(), "name", "left_anti"))
+        left, level = rest, level + 1
+        found = found.unionByName(frontier.withColumn("level", F.lit(level)))
+    if not left.isEmpty():
         raise ValueError("the dependencies have a cycle")
-    return known
+    return found

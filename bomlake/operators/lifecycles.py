@@ -77,9 +77,3 @@ def long_term(raw: Column) -> Column:
     """Whether a cycle has long-term support: true, or any text, such as the date from which it has."""
     raw = F.trim(raw)
     return F.coalesce((raw == "true") | (json_text(raw) != ""), F.lit(False))
-
-
-def timestamp(text: Column) -> Column:
-    """A document's time, in UTC where it names no zone; null for anything else."""
-    zoned = F.when(text.rlike(r"(Z|[+-][0-9]{2}:[0-9]{2})$"), text).otherwise(F.concat(text, F.lit("Z")))
-    return F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})?$"), zoned.try_cast("timestamp"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bomlake.functions import identifiers as I
 from bomlake.functions import paths as P
-from bomlake.operators import builds, enrichment, exposition, images, inventory, lifecycles, merging, properties, resolving, sarif, search, untracked, validators
+from bomlake.operators import builds, dedup, enrichment, exposition, images, inventory, lifecycles, merging, properties, resolving, sarif, search, untracked, validators
 from bomlake.sources import adapters, documents
 from bomlake.streaming import metrics as streams
 
@@ -413,15 +413,15 @@ def validation_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validators.ntia_documents(counted).unionByName(validators.eu_cra(counted, held)).unionByName(validators.cyclonedx(counted, held)).unionByName(validators.spdx(counted, held))
 
 
-MEMBERS = f"(SELECT {KEY} AS key, row_number() OVER (PARTITION BY {KEY} ORDER BY {STRENGTH} DESC, ord) AS rank, ord % 5 AS layer, supplier, ctype FROM {C})"
+#: The primary first, then the others in their order.
+MEMBERS = f"(SELECT *, row_number() OVER (PARTITION BY key ORDER BY nth > 1, ord) AS rank FROM (SELECT *, ord % 5 AS layer, row_number() OVER (PARTITION BY key ORDER BY {STRENGTH} DESC, ord) AS nth FROM (SELECT *, {KEY} AS key FROM {C})))"
 VALUES = f"(SELECT key, rank, 'supplier' AS name, supplier AS value FROM {MEMBERS} UNION ALL SELECT key, rank, 'type', ctype FROM {MEMBERS})"
 KEPT = f"(SELECT key, name, arg_min(value, rank) AS kept FROM {VALUES} GROUP BY 1, 2)"
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = view(spark, sf_dir, "components")
-    rank = F.struct((-inventory.strength(c)).alias("score"), "ord")
-    return c.select(inventory.identity(c).alias("key"), rank.alias("rank"), (F.col("ord") % 5).alias("layer"), F.create_map(F.lit("supplier"), "supplier", F.lit("type"), "ctype").alias("props"), F.split("name", "-").alias("words"))
+    return dedup.ranked(c).select("key", "rank", (F.col("ord") % 5).alias("layer"), F.create_map(F.lit("supplier"), "supplier", F.lit("type"), "ctype").alias("props"), F.split("name", "-").alias("words"))
 
 
 @query(f"SELECT key, name, kept AS value FROM {KEPT} UNION ALL SELECT key, concat('conflict:', name), arg_max(value, rank) FROM {VALUES} JOIN {KEPT} USING (key, name) WHERE value <> kept GROUP BY key, name")
@@ -434,7 +434,7 @@ def merged_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.other_layer(members(spark, sf_dir))
 
 
-@query(f"SELECT key, item, rank.ord AS ord, pos FROM (SELECT *, row_number() OVER (PARTITION BY key, lower(item) ORDER BY rank, pos) AS nth FROM (SELECT key, rank, unnest(words) AS item, unnest(range(len(words))) AS pos FROM (SELECT {KEY} AS key, {{'score': -{STRENGTH}, 'ord': ord}} AS rank, string_split(name, '-') AS words FROM {C})) WHERE item <> '') WHERE nth = 1")
+@query(f"SELECT key, item, ord, pos FROM (SELECT *, row_number() OVER (PARTITION BY key, lower(item) ORDER BY rank, pos) AS first FROM (SELECT key, rank, ord, unnest(words) AS item, unnest(range(len(words))) AS pos FROM (SELECT key, rank, ord, string_split(name, '-') AS words FROM {MEMBERS})) WHERE item <> '') WHERE first = 1")
 def merged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.union(members(spark, sf_dir), "words", F.lower("item")).select("key", "item", "rank.ord", "pos")
 

@@ -12,6 +12,6 @@ def windowed(events: DataFrame, late: str = "10 minutes", width: str = "1 hour")
 
 
 def on_arrival(stream: DataFrame, apply, target: str, checkpoint: str):
-    """Applies a batch operator to each set of files that arrives and appends the result."""
-    write = lambda batch, _: apply(batch).write.mode("append").parquet(target)
+    """Applies a batch operator to each set of files that arrives; results are folders batch=n of `target`, and a batch that runs again replaces its own."""
+    write = lambda batch, n: apply(batch).write.mode("overwrite").parquet(f"{target}/batch={n}")
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -124,3 +124,89 @@ def test_images_of_every_kind_in_one_plan(spark):
     assert got["paths"] == {c: blank("base" if c in ("hit", "changed") else "app", "path-fallback") for c in paths}
     for kind in ("small", "none", "off", "failed"):
         assert got[kind] == {c: blank("app" if c == "own" else "unknown", "unavailable") for c in paths}
+
+
+def test_records_merge_as_one_after_the_other(spark):
+    """Against a version that folds the members of a group pairwise, in order."""
+    import random
+
+    from bomlake.operators import dedup
+    from bomlake.sources import records
+
+    r = random.Random(9)
+    rows = []
+    for i in range(250):
+        purl = r.choice(["", "pkg:a/x@1", "pkg:A/X@1?q", "pkg:b/y", "pkg:c/z"])
+        hashes = [(r.choice(["sha256", "md5", "MD5"]), r.choice(["", "aa", "AA", "b"])) for _ in range(r.randrange(3))]
+        licences = [(r.choice(["", "MIT"]), r.choice(["", " mit", "Own"]), r.choice(["", "A OR B", "a or b "]), "u") for _ in range(r.randrange(3))]
+        evidence = r.choice([None, ("", 0.0, []), ("m", 0.0, ["/a"]), ("n", 0.5, [r.choice(["/a", "/b", "/c"]) for _ in range(3)])])
+        layer = r.choice([None, None, ("d", r.randrange(3), "", "")])
+        props = r.choice([None, {}, {"k": r.choice("xyz")}, {"k": "x", "o": str(i % 3)}])
+        rows.append({"ord": i, "bom_ref": f"r{i}", "ctype": "library", "name": r.choice(["", "n"]), "version": r.choice(["", "1"]), "purl": purl, "supplier": "", "cpes": [r.choice(["", " ", "cpe:A", "cpe:a ", "cpe:b"]) for _ in range(r.randrange(3))], "hashes": hashes, "licences": licences, "evidence": evidence, "props": props, "layer": layer})
+
+    def key(c):
+        cpe = next((x for x in c["cpes"] if x.strip()), "")
+        sha = next((v for a, v in c["hashes"] if a == "sha256"), "")
+        if c["purl"]:
+            return c["purl"].split("?")[0].lower()
+        return ("cpe", cpe.strip().lower()) if cpe else ("sha", sha.lower()) if sha else ("nv", c["name"]) if c["name"] and c["version"] else c["ord"]
+
+    def strength(c):
+        return 100 * bool(c["purl"]) + 10 * any(x.strip() for x in c["cpes"]) + (len(c["evidence"][2]) if c["evidence"] else 0)
+
+    def unique(items, same):
+        seen = {}
+        for x in items:
+            if same(x) not in ("", "|"):
+                seen.setdefault(same(x), x)
+        return list(seen.values())
+
+    groups = {}
+    for c in rows:
+        groups.setdefault(key(c), []).append(c)
+    want = {}
+    for members in groups.values():
+        primary = max(members, key=lambda c: (strength(c), -c["ord"]))
+        out = dict(primary, props=dict(primary["props"] or {}))
+        order = [primary, *[c for c in members if c is not primary]]
+        if len(members) > 1:
+            out["cpes"] = unique([x for c in order for x in c["cpes"]], lambda x: x.strip().lower())
+            out["hashes"] = unique([x for c in order for x in c["hashes"]], lambda h: h[1] and f"{h[0]}:{h[1]}".lower())
+            out["licences"] = unique([x for c in order for x in c["licences"]], lambda x: x[2].strip().lower() or f"{x[0].strip()}|{x[1].strip()}".lower())
+            for c in order[1:]:
+                for k, v in (c["props"] or {}).items():
+                    if out["props"].setdefault(k, v) != v:
+                        out["props"][f"bom:dedup:conflict:{k}"] = v
+                if c["layer"] and out["layer"] and c["layer"][1] != out["layer"][1]:
+                    out["props"]["bom:dedup:also-in-layer"] = str(c["layer"][1])
+                out["layer"] = out["layer"] or c["layer"]
+                if c["evidence"]:
+                    e = out["evidence"] or ("", 0.0, [])
+                    out["evidence"] = (e[0] or c["evidence"][0], e[1] or c["evidence"][1], e[2] + [p for i, p in enumerate(c["evidence"][2]) if p not in e[2] and p not in c["evidence"][2][:i]])
+            out["props"]["bom:dedup:merged-count"] = str(len(members) - 1)
+        want[out["bom_ref"]] = (len(members), members[0]["ord"], out["cpes"], out["hashes"], out["licences"], out["evidence"], out["props"], out["layer"])
+    schema = "ord int, " + ", ".join(f"{c} {records.RECORD[c]}" for c in rows[0] if c != "ord")
+    df = spark.createDataFrame([tuple(c.values()) for c in rows], schema)
+    plain = lambda x: None if x is None else tuple(x)
+    for g in dedup.merged(df).collect():
+        got = (g.members, g["first"], g.cpes, [tuple(h) for h in g.hashes], [tuple(x) for x in g.licences], plain(g.evidence), g.props or {}, plain(g.layer))
+        assert got == want.pop(g.bom_ref)
+    assert not want
+    assert dedup.merged(df.limit(0)).count() == 0
+
+
+def test_levels_of_a_dag_and_a_cycle(spark):
+    import random
+
+    from bomlake.operators import inventory
+
+    r = random.Random(2)
+    edges = [(f"n{i}", f"n{r.randrange(i)}") for i in range(1, 60) for _ in range(r.randrange(1, 4))] + [("n5", "n4")] * 3
+    level = {"n0": 0}
+    for i in range(1, 60):
+        level[f"n{i}"] = 1 + max(level[d] for n, d in edges if n == f"n{i}")
+    table = lambda rows: spark.createDataFrame(rows, "name string, dep string")
+    assert {x.name: x.level for x in inventory.levels(table(edges)).collect()} == level
+    with pytest.raises(ValueError):
+        inventory.levels(table([*edges, ("n3", "n50"), ("a", "a")]))
+    assert inventory.levels(table(edges).limit(0)).count() == 0

@@ -2,7 +2,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from bomlake.operators import enrichment, lifecycles, untracked
+from bomlake.operators import enrichment, lifecycles, properties, untracked
 
 
 def test_categories_of_odd_files(spark):
@@ -23,7 +23,7 @@ def test_lifecycle_values(spark):
     assert [tuple(x.d) for x in df.select(lifecycles.date_or_flag(F.col("r")).alias("d")).collect()] == [(day, ""), (None, "true"), (None, "false"), *[(None, "")] * 6, (day, "")]
     assert [x.d for x in df.select(lifecycles.long_term(F.col("r")).alias("d")).collect()] == [True, True, False, False, False, False, True, True, False, True]
     times = ["2024-01-02T03:04:05Z", "2024-01-02T03:04:05.5+02:00", "2024-01-02T03:04:05", "2024-01-02 03:04:05", "2024-13-02T03:04:05Z", "", None]
-    got = spark.createDataFrame([(t,) for t in times], "t string").select(F.date_format(lifecycles.timestamp(F.col("t")), "yyyy-MM-dd HH:mm:ss.S").alias("t")).collect()
+    got = spark.createDataFrame([(t,) for t in times], "t string").select(F.date_format(properties.moment(F.col("t")), "yyyy-MM-dd HH:mm:ss.S").alias("t")).collect()
     assert [r.t for r in got] == ["2024-01-02 03:04:05.0", "2024-01-02 01:04:05.5", "2024-01-02 03:04:05.0", None, None, None, None]
 
 

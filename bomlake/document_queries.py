@@ -171,7 +171,7 @@ SHOWN = f"(SELECT *, concat(chr(34), replace(replace(CASE WHEN version <> '' THE
 RESULTS = f"(SELECT sbom_id, ord, '001' AS rule, 'warning' AS level, concat('Untracked ', CASE WHEN category <> '' THEN category ELSE 'component' END, ' ', own, CASE WHEN ord % 4 > 0 THEN concat(' found at /opt/', name) ELSE '' END, '.') AS message, places FROM {SHOWN} WHERE method = 'untracked-scan' OR category <> '' UNION ALL SELECT sbom_id, ord, '002', 'note', concat('Component ', own, ' has Origin=unknown.'), places FROM {SHOWN} WHERE origin = 'unknown' UNION ALL SELECT sbom_id, ord, '003', 'note', concat('Component ', own, ' (PURL ', chr(34), purl, chr(34), ') has no CPE.'), places FROM {SHOWN} WHERE purl <> '' AND cpe = '' UNION ALL SELECT sbom_id, ord, '004', 'note', concat('Component ', own, ' has a low-confidence CPE (heuristic).'), places FROM {SHOWN} WHERE confidence IN ('low', '0.65'))"
 
 
-@query(f"SELECT sbom_id, count(*) AS results, sha256(string_agg(concat('{{\"ruleId\":\"', rule, '\",\"level\":\"', level, '\",\"message\":{{\"text\":', to_json(message), '}},\"locations\":', places, '}}'), ',' ORDER BY rule, message, ord)) AS sha256 FROM {RESULTS} GROUP BY 1 UNION ALL SELECT 'bom-none', 0, sha256('null')")
+@query(f"SELECT d.sbom_id, count(rule) AS results, sha256(coalesce(string_agg(concat('{{\"ruleId\":\"', rule, '\",\"level\":\"', level, '\",\"message\":{{\"text\":', to_json(message), '}},\"locations\":', places, '}}'), ',' ORDER BY rule, message, ord) FILTER (WHERE rule IS NOT NULL), 'null')) AS sha256 FROM (SELECT DISTINCT sbom_id FROM {SHOWN} UNION ALL SELECT 'bom-none') d LEFT JOIN {RESULTS} r ON r.sbom_id = d.sbom_id GROUP BY 1")
 def sarif_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SARIF documents: the number of their results, and the digest of their list; one has none."""
     stamps = [x.strip() for x in re.findall(r"CASE .*? END AS \w+", STAMPS)]

@@ -211,3 +211,40 @@ def buckets(metrics: DataFrame, bounds: list[float]) -> DataFrame:
     return metrics.groupBy("label").agg(
         F.count("*").alias("n"), F.sum(F.when(value > 0, value).otherwise(0.0)).alias("counter"), F.max_by("value", F.struct("ts", "ord")).alias("gauge"), *[F.count_if(value <= b).alias(f"le_{i}") for i, b in enumerate(bounds)]
     )
+
+
+#: Bytes from which contents aren't hashed but refused.
+MOST_HASHED = 1 << 30
+
+
+def hashed(contents: DataFrame, *more: str) -> DataFrame:
+    """(path, content) -> path, hashes: SHA-256 first, then of `more` sha1 and sha512; too large a content raises an error."""
+    body = F.when(F.octet_length("content") <= MOST_HASHED, F.col("content")).when(F.col("content").isNotNull(), F.raise_error(F.concat(F.lit("too large to hash: "), "path")))
+    known = {"sha256": F.sha2(body, 256), "sha1": F.sha1(body), "sha512": F.sha2(body, 512)}
+    return contents.select("path", F.array(*[F.struct(F.lit(a).alias("alg"), known[a].alias("value")) for a in dict.fromkeys(("sha256", *more))]).alias("hashes"))
+
+
+def fingerprinted(files: DataFrame, *catalogues: DataFrame) -> DataFrame:
+    """Files (path, alg, digest) with `name` and `catalogue` (its number) of the first catalogue (alg, digest, ord, name) that has the digest of the algorithm, null without.
+
+    Algorithms and digests are compared without case and outer white space; of equal entries of a catalogue the last counts.
+    """
+    keyed = lambda df: df.withColumn("own", F.concat_ws(":", F.lower(F.trim("alg")), F.lower(F.trim("digest"))))
+    hits = None
+    for n, c in enumerate(catalogues):
+        own = keyed(c).groupBy("own").agg(F.max_by("name", "ord").alias("name")).withColumn("catalogue", F.lit(n))
+        hits = own if hits is None else hits.unionByName(own)
+    first = hits.groupBy("own").agg(F.min(F.struct("catalogue", "name")).alias("m")).select("own", "m.name", "m.catalogue")
+    return keyed(files).join(first, "own", "left").drop("own")
+
+
+def live_files(entries: DataFrame, key: str = "path") -> DataFrame:
+    """Entries (layer, seq, path, op) of regular files whose layer owns the path in the end; of one path a layer may have several, and all are given."""
+    owner = effective(entries, key).select(key, "layer")
+    return entries.filter("op = 'add'").join(owner, [key, "layer"], "left_semi")
+
+
+def coverage(components: DataFrame, *keys: str) -> DataFrame:
+    """keys, components, and the shares of them that have a CPE name, a package URL and an origin; 0 without components."""
+    has = lambda c: F.count_if(F.coalesce(F.col(c), F.lit("")) != "") / F.greatest(F.count("*"), F.lit(1))
+    return components.groupBy(*keys).agg(F.count("*").alias("components"), has("cpe").alias("with_cpe"), has("purl").alias("with_purl"), has("origin").alias("with_origin"))

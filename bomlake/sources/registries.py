@@ -106,3 +106,37 @@ def pypi(payloads: DataFrame) -> DataFrame:
         repository_url(F.coalesce(*[F.when(v != "", v) for v in (F.try_element_at(urls, F.lit(x)) for x in SOURCES)], F.lit(""))).alias("repository"), filled(info("bugtrack_url"), labelled(urls, "issues", "bug", "tracker")).alias("bugs"), filled(info("docs_url"), labelled(urls, "docs", "documentation")).alias("docs"),
         F.when(stated != "", some(licence(stated))).otherwise(some(licence(F.coalesce(classified, F.lit(""))))).alias("licences"), digests(t).alias("hashes"),
     )
+
+
+#: Licences of POMs by what their names hold, in order (fixed values); MIT also stands alone.
+POM_LICENCES = (
+    ("apache license, version 2.0", "Apache-2.0"), ("apache 2", "Apache-2.0"), ("apache-2.0", "Apache-2.0"), ("mit license", "MIT"),
+    ("bsd 3-clause", "BSD-3-Clause"), ("bsd-3-clause", "BSD-3-Clause"), ("bsd 2-clause", "BSD-2-Clause"), ("bsd-2-clause", "BSD-2-Clause"),
+    ("eclipse public license 2", "EPL-2.0"), ("eclipse public license 1", "EPL-1.0"), ("gnu lesser general public license, version 2.1", "LGPL-2.1-only"), ("gnu lesser general public license, version 3", "LGPL-3.0-only"), ("isc", "ISC"),
+)
+POM = "artifactId string, version string, description string, url string, licenses struct<license:array<struct<name:string,url:string>>>, organization struct<name:string>, developers struct<developer:array<struct<name:string>>>, scm struct<url:string,connection:string>, issueManagement struct<url:string>"
+
+
+def pom_licence(name: Column) -> Column:
+    lower = F.lower(F.trim(name))
+    out = F.lit("")
+    for held, id_ in reversed(POM_LICENCES):
+        fits = lower.contains(held)
+        out = F.when(fits | (lower == "mit") if held == "mit license" else fits, id_).otherwise(out)
+    return out
+
+
+def maven(payloads: DataFrame) -> DataFrame:
+    """(purl_key, namespace, text) of POMs: the same columns as npm(). The organisation, else the first developer, else the group supplies."""
+    d = payloads.select("purl_key", "namespace", F.from_xml(F.col("text"), POM, {"ignoreNamespace": "true"}).alias("p")).filter("p IS NOT NULL")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    organisation = text("p.organization.name")
+    developer = F.coalesce(F.get("p.developers.developer.name", F.lit(0)), F.lit(""))
+    supplier = F.coalesce(*[F.when(x != "", x) for x in (organisation, developer, text("namespace"))], F.lit(""))
+    listed = F.filter(F.coalesce("p.licenses.license", F.array().cast("array<struct<name:string,url:string>>")), lambda x: F.coalesce(x["name"], F.lit("")) != "")
+    repository = repository_url(text("p.scm.url"))
+    return d.select(
+        "purl_key", F.trim(text("p.description")).alias("description"), F.when(organisation == "", developer).otherwise("").alias("author"), supplier.alias("supplier"), text("p.url").alias("homepage"),
+        F.when(repository != "", repository).otherwise(repository_url(text("p.scm.connection"))).alias("repository"), text("p.issueManagement.url").alias("bugs"), F.lit("").alias("docs"),
+        F.transform(listed, lambda x: F.struct(pom_licence(x["name"]).alias("id"), x["name"].alias("name"))).alias("licences"), F.array().cast("array<struct<alg:string,value:string>>").alias("hashes"),
+    )

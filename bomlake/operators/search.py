@@ -47,26 +47,34 @@ def release_share(found: Column, wanted: Column) -> Column:
     return F.when(wanted == "", share(RELEASE["unpinned"])).when(found == wanted, share(RELEASE["exact"])).when(found.isin("*", "-", ""), share(RELEASE["wildcard"])).otherwise(share(0.0))
 
 
-def longest_word(value: Column) -> Column:
-    """The longest of a name's words, the first in order of names on a tie."""
-    words = F.transform(F.split(F.lower(value), WORD), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))
-    return F.array_min(words)["w"]
+def words_of(value: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(value), WORD), lambda w: w != ""))
+
+
+def rarest_word(wanted: DataFrame, own: DataFrame) -> DataFrame:
+    """name, word: of each name's words the one that the fewest CPE names have, the first in order on a tie; none where a word is in no CPE name."""
+    counts = own.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    each = wanted.select("name").distinct().select("name", F.explode(words_of(F.col("name"))).alias("word")).join(counts, "word", "left")
+    least = each.groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("m"))
+    return least.filter("m.n > 0").select("name", F.col("m.word").alias("word"))
 
 
 def searched(components: DataFrame, names: DataFrame) -> DataFrame:
     """(bom_ref, purl), (cpe) -> bom_ref, cpe, score, rejected ('' or why) of names with all words of the component's name.
 
-    Joined on the name's longest word, the rest is tested on what that finds. Names that pin another version are
-    left out; malformed names and package URLs give nothing.
+    Each different package is searched once, by the word of its name that the fewest CPE names have, so a word that very many
+    have is joined only by names that have no other; the rest is tested on what that finds. Names that pin another version are
+    left out; malformed names, package URLs and names without a word give nothing.
     """
     parts = F.split("cpe", ":")
     own = names.filter(I.cpe_valid(F.col("cpe"))).select("cpe", parts[2].alias("part"), F.lower(parts[3]).alias("vendor"), F.lower(parts[4]).alias("product"), parts[5].alias("release")).distinct()
-    own = own.withColumn("words", F.array_distinct(F.split(F.concat_ws("_", "vendor", "product"), WORD)))
+    own = own.withColumn("words", words_of(F.concat_ws("_", "vendor", "product")))
     wanted = components.filter("purl <> ''").select("bom_ref", F.explode(F.array(I.parse_purl(F.col("purl")))).alias("p")).filter("p is not null")
-    wanted = wanted.select("bom_ref", F.lower("p.namespace").alias("ns"), F.lower("p.name").alias("name"), F.col("p.version").alias("version")).withColumn("word", longest_word(F.col("name")))
-    hits = wanted.join(own.withColumn("word", F.explode("words")), "word").filter(F.size(F.array_except(F.filter(F.split("name", WORD), lambda w: w != ""), F.col("words"))) == 0)
+    wanted = wanted.select("bom_ref", F.lower("p.namespace").alias("ns"), F.lower("p.name").alias("name"), F.col("p.version").alias("version"))
+    once = wanted.select("ns", "name", "version").distinct().join(rarest_word(wanted, own), "name")
+    hits = once.join(own.withColumn("word", F.explode("words")), "word").filter(F.size(F.array_except(words_of(F.col("name")), F.col("words"))) == 0)
     fits = hits.filter("version = '' or release in ('*', '-', '') or release = version")
     total = vendor_share(F.col("vendor"), F.col("ns"), F.col("name")) + product_share(F.col("product"), F.col("ns"), F.col("name")) + release_share(F.col("release"), F.col("version"))
     score = F.when(F.col("part") == "h", share(REJECTED)).otherwise(F.least(total, share(1.0)).cast("decimal(3,2)"))
-    scored = fits.select("bom_ref", "cpe", "part", score.alias("score"))
+    scored = wanted.join(fits.select("ns", "name", "version", "cpe", "part", score.alias("score")), ["ns", "name", "version"])
     return scored.select("bom_ref", "cpe", "score", F.when(F.col("part") == "h", "hardware").when(F.col("score") < LEAST, "weak").otherwise("").alias("rejected"))

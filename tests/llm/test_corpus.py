@@ -172,3 +172,27 @@ def test_columns_of_the_same_names_stay(spark):
     assert (row.quality, row.pii) == (1, 2) and row.quality_.n_words == 4
     row = pii.found(docs).first()
     assert (row.quality, row.pii) == (1, 2) and len(row.pii_.base) == 1
+
+
+def test_shards_against_plain_draws(spark):
+    """Every document's way down the tree, level by level, and the same for the grown tree."""
+    from bomlake.llm import sharding
+    from bomlake.llm.queries import SHARDS
+
+    def shard(key, node):
+        while node.children:
+            draws = [(-math.log((int(hashlib.md5(f"{c.name}:{key}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)) / c.weight, i) for i, c in enumerate(node.children)]
+            node = node.children[min(draws)[1]]
+        return node.shard
+
+    tree = sharding.topology(SHARDS)
+    more = sharding.grown(tree, SHARDS)
+    docs = spark.createDataFrame([(i * 7919, f"text {i}") for i in range(1500)] + [(None, None), (7919, "again")], "doc_id long, text string")
+    rows = sharding.place(docs, tree, more).collect()
+    assert len(rows) == 1502
+    for r in rows:
+        key = "\0null" if r.doc_id is None else str(r.doc_id)
+        assert (r.shard, r.grown_shard) == (shard(key, tree), shard(key, more))
+        assert r.grown_shard in (r.shard, SHARDS)
+    for s in range(SHARDS):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))

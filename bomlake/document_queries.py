@@ -12,14 +12,14 @@ from bomlake.operators import typed
 from bomlake.queries import C, query, view
 from bomlake.sources import records, writers
 
-#: Documents of components: number i of a document is at the top (a twelfth of them), below one, or two levels down.
-BOMS, CREATED = 97, "2024-02-03T04:05:06Z"
-I, T, MID, LEAF = "floor(ord / 97)", "floor(floor(ord / 97) / 12)", "floor(floor(ord / 97) % 12 / 4)", "floor(ord / 97) % 4"
+#: Documents of 48 components each: a twelfth of them are at the top, the others below one, or two levels down.
+CREATED = "2024-02-03T04:05:06Z"
+T, MID, LEAF = "floor(ord % 48 / 12)", "floor(ord % 12 / 4)", "ord % 4"
 PAD = "lpad(CAST(CAST({0} AS BIGINT) AS {{t}}), 8, '0')"
 PLACE = f"concat('/', {PAD.format(T)}, CASE WHEN {MID} > 0 THEN concat('/', {PAD.format(f'{MID} * 10')}) ELSE '' END, CASE WHEN {LEAF} > 0 THEN concat('/', {PAD.format(LEAF)}) ELSE '' END)"
 #: Where a reader finds the same component: siblings are numbered without gaps.
 READ = f"concat('/', {PAD.format(T)}, CASE WHEN {MID} > 0 THEN concat('/', {PAD.format(f'{MID} + 2')}) ELSE '' END, CASE WHEN {LEAF} > 0 THEN concat('/', {PAD.format(f'{LEAF} - 1')}) ELSE '' END)"
-SBOM = "concat('bom-', ord % 97)"
+SBOM = "concat('bom-', CAST(floor(ord / 48) AS BIGINT))"
 FIRST_CPE, MORE_CPE = "cpe", "CASE WHEN cpe <> '' AND ord % 4 = 0 THEN concat('cpe:2.3:a:more:', ord) ELSE '' END"
 LICENCE = "CASE ord % 5 WHEN 0 THEN 'MIT' WHEN 1 THEN 'MIT OR Apache-2.0' WHEN 2 THEN 'Some terms' ELSE '' END"
 METHOD = "CASE WHEN ord % 3 = 0 THEN 'purl' ELSE '' END"

@@ -324,7 +324,10 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 LICENCE_LINE = r"(?i)licen[sc]ed? under the [^\n]*"
 
 
-@query()
+LICENCE_CASES = [("mit", "MIT"), ("apache.*2", "Apache-2.0"), ("lgpl.*3|lesser general public.*3", "LGPL-3.0"), ("agpl|affero", "AGPL-3.0"), ("gpl.*3|general public.*3", "GPL-3.0"), ("gpl.*2|general public.*2", "GPL-2.0"), ("bsd.*3|3-clause", "BSD-3-Clause"), ("bsd.*2|2-clause", "BSD-2-Clause"), ("mozilla.*2|mpl", "MPL-2.0")]
+
+
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(line), '\\b({p})') THEN '{n}'" for p, n in LICENCE_CASES) + f" ELSE line END AS licence FROM (SELECT doc_id, regexp_extract(text, '{LICENCE_LINE}', 0) AS line FROM documents) WHERE line <> ''")
 def licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.regexp_extract("text", LICENCE_LINE, 0).alias("line")).filter("line <> ''")
     return d.select("doc_id", I.licence_name(F.col("line")).alias("licence"))
@@ -342,12 +345,16 @@ def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("ord", "normal", P.parent(F.col("normal")).alias("parent"), P.basename(F.col("normal")).alias("base"), P.extension(F.col("normal")).alias("suffix"))
 
 
-@query()
+def pair(name: str, value: str) -> str:
+    return f"CASE WHEN {value} <> '' THEN concat(',\"{name}\":', to_json({value})) ELSE '' END"
+
+
+@query(f"SELECT ord, concat('{{\"type\":\"', ctype, '\",\"bom-ref\":\"', bom_ref, '\"', {pair('name', 'name')}, {pair('version', 'version')}, {pair('purl', 'purl')}, CASE WHEN supplier <> '' THEN concat(',\"supplier\":{{\"name\":', to_json(supplier), '}}') ELSE '' END, '}}') AS json FROM {C}")
 def cyclonedx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.cyclonedx_lines(view(spark, sf_dir, "components"))
 
 
-@query()
+@query(f"SELECT ord, concat('{{\"SPDXID\":\"SPDXRef-', bom_ref, '\",\"name\":', to_json(name), {pair('versionInfo', 'version')}, ',\"downloadLocation\":\"NOASSERTION\"', CASE WHEN purl <> '' THEN concat(',\"externalRefs\":[{{\"referenceCategory\":\"PACKAGE-MANAGER\",\"referenceType\":\"purl\",\"referenceLocator\":', to_json(purl), '}}]') ELSE '' END, '}}') AS json FROM {C}")
 def spdx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.spdx_lines(view(spark, sf_dir, "components"))
 

@@ -491,6 +491,15 @@ def test_urls(spark, sf, empty):
     assert urls.verdicts(spark.createDataFrame([], "page_id long, url string"), queries.RULES).count() == 0
 
 
+def test_stated_rules_are_those_of_the_contract(spark):
+    """Each rule with its word as the contract lists it, and the verdict on a URL that only it decides."""
+    stated = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    assert [f"{r.verdict} {r.text}" for r in queries.RULES] == stated.split(", ")
+    hits = ["http://a.com/en/1", "http://b.example.com/en/71", "http://casino.net/de/7", "http://example.net/de/81", "http://c.org/es/"]
+    got = urls.verdicts(spark.createDataFrame(list(enumerate(hits)), "page_id long, url string"), queries.RULES).collect()
+    assert [f"{r.verdict} {r.rule}" for r in sorted(got)] == stated.split(", ")
+
+
 def test_url_rules_are_mined(spark):
     data = [(["host:spam", "path:win", f"host:h{i}"], "block") for i in range(30)] + [(["path:win", f"host:g{i}"], None) for i in range(30)] + [(["path:news"], None)] * 60
     data += [(["path:few", f"host:f{i}"], "block") for i in range(4)]  # too few to be sure

@@ -113,21 +113,27 @@ def findings(documents: DataFrame, components: DataFrame, edges: DataFrame) -> D
 def placed(nodes: DataFrame) -> DataFrame:
     """(sbom_id, node, parent or null, ord) -> with `place`, which sorts as a walk down the tree does: parents first, siblings by `ord`.
 
-    Ways up are doubled each round, so a depth of n takes log n joins; a node whose way up has a cycle, or leads to a node that is not there, is left out.
+    Ways up are doubled each round, so a depth of n takes log n joins, and only nodes whose way isn't known yet take part. A round that
+    settles no node leaves only cycles, and what hangs on them; these, and nodes whose way up leads to a node that is not there, are left out.
     """
-    def doubled(rows: DataFrame, *more: str) -> DataFrame:
-        above = rows.select("sbom_id", F.col("node").alias("up"), F.col("up").alias("further"), *[F.col(c).alias(f"above_{c}") for c in more])
-        joined = rows.join(above.withColumn("there", F.lit(True)), ["sbom_id", "up"], "left").filter("up IS NULL OR there")
-        return cut(joined.select("sbom_id", "node", F.col("further").alias("up"), *[F.concat(F.coalesce(f"above_{c}", F.lit("")), c).alias(c) for c in more]))
-
-    # ways without places first: after log n rounds only cycles, and what hangs on them, have one left
-    ways = cut(nodes.select("sbom_id", "node", F.col("parent").alias("up")))
-    for _ in range(max(1, ways.count()).bit_length() + 1):
-        if ways.filter("up IS NOT NULL").isEmpty():
-            break
-        ways = doubled(ways)
-    sound = ways.filter("up IS NULL").select("sbom_id", "node")
-    rows = cut(nodes.join(sound, ["sbom_id", "node"]).select("sbom_id", "node", F.col("parent").alias("up"), F.format_string("/%08d", "ord").alias("place")))
-    while not rows.filter("up IS NOT NULL").isEmpty():
-        rows = doubled(rows, "place")
+    # ways without places first, as those of cycles would grow
+    sound = climbed(nodes.select("sbom_id", "node", F.col("parent").alias("up")).distinct()).select("sbom_id", "node")
+    rows = climbed(nodes.join(sound, ["sbom_id", "node"]).select("sbom_id", "node", F.col("parent").alias("up"), F.format_string("/%08d", "ord").alias("place")), "place")
     return nodes.join(rows.select("sbom_id", "node", "place"), ["sbom_id", "node"])
+
+
+def climbed(rows: DataFrame, *texts: str) -> DataFrame:
+    """(sbom_id, node, up, texts) -> the rows whose way up ends, with up null, and their texts after those of all nodes above."""
+    rows = cut(rows)
+    done, left = rows.filter("up IS NULL"), rows.filter("up IS NOT NULL")
+    n = left.count()
+    for _ in range(n.bit_length() + 1):
+        if not n:
+            break
+        above = done.unionByName(left).select("sbom_id", F.col("node").alias("up"), F.col("up").alias("further"), *[F.col(c).alias(f"above_{c}") for c in texts])
+        met = cut(left.join(above, ["sbom_id", "up"]).select("sbom_id", "node", F.col("further").alias("up"), *[F.concat(f"above_{c}", c).alias(c) for c in texts]))
+        done, left = done.unionByName(met.filter("up IS NULL")), met.filter("up IS NOT NULL")
+        before, n = n, left.count()
+        if n == before:
+            break
+    return done

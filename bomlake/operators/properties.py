@@ -23,13 +23,21 @@ def held(props: Column) -> Column:
     return F.coalesce(props, F.create_map().cast(TEXTS))
 
 
+def once(value: Column, body) -> Column:
+    """body(value) with `value` computed once a row, whatever the number of its uses."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def from_annotations(comments: Column) -> Column:
     """Comments of the form key=value, cut at the first '=', as a map; others are left out."""
-    pairs = F.transform(F.coalesce(comments, F.array().cast("array<string>")), lambda c: F.struct(F.trim(F.regexp_extract(c, r"(?s)^([^=]*)=", 1)).alias("key"), F.regexp_extract(c, r"(?s)^[^=]*=(.*)$", 1).alias("value")))
-    named = F.filter(pairs, lambda p: p["key"] != "")
-    keys = F.transform(named, lambda p: p["key"])
-    last = F.filter(named, lambda p, i: F.array_position(F.slice(keys, i + 2, F.size(keys)), p["key"]) == 0)
-    return F.map_from_entries(last)
+    said = F.filter(F.coalesce(comments, F.array().cast("array<string>")), lambda c: F.contains(c, F.lit("=")))
+    pairs = F.transform(said, lambda c: F.struct(F.trim(F.substring_index(c, "=", 1)).alias("key"), F.substring(c, F.instr(c, "=") + 1, F.length(c)).alias("value")))
+    return once(F.filter(pairs, lambda p: p["key"] != ""), lambda named: F.map_from_entries(last_of(named, "key")))
+
+
+def last_of(pairs: Column, key: str) -> Column:
+    """Of structs with equal keys the last."""
+    return once(F.transform(pairs, lambda p: p[key]), lambda keys: F.filter(pairs, lambda p, i: F.array_position(F.slice(keys, i + 2, F.size(keys)), p[key]) == 0))
 
 
 def to_annotations(props: Column) -> Column:
@@ -44,8 +52,7 @@ def cleared(props: Column, prefix: str) -> Column:
 
 def filled(props: Column, new: Column) -> Column:
     """With those entries of `new` whose key isn't there yet."""
-    known = F.map_keys(held(props))
-    return F.map_concat(held(props), F.map_filter(held(new), lambda k, _: ~F.array_contains(known, k)))
+    return once(held(props), lambda own: once(F.map_keys(own), lambda known: F.map_concat(own, F.map_filter(held(new), lambda k, _: ~F.array_contains(known, k)))))
 
 
 def stamped(props: Column, by: str, by_value: str, version: str, version_value: str) -> Column:

@@ -54,3 +54,10 @@ def test_windows_of_a_stream(spark, tmp_path):
     for _ in range(2):
         metrics.on_arrival(spark.readStream.schema(schema).parquet(source), lambda b: b.filter("event_type = 'a'"), str(tmp_path / "kept"), str(tmp_path / "state2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "kept")).count() == 5
+
+
+def test_maps_are_computed_once(spark):
+    """However long a chain of maps, what it starts from is an expression that stands once."""
+    made = properties.stamped(properties.filled(properties.cleared(properties.from_annotations(F.col("mark")), "x:"), F.create_map(F.lit("a"), F.lit("b"))), "by", "me", "version", "1")
+    plan = spark.createDataFrame([(["a=1"],)], "mark array<string>").select(made.alias("m"))._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
+    assert plan.count("mark#") == 1

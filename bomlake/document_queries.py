@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bomlake import __version__
 from bomlake.operators import typed
+from bomlake.plans.tables import kept
 from bomlake.queries import C, query, view
 from bomlake.sources import records, writers
 
@@ -126,7 +127,7 @@ LAYER_TEXT = f"CASE WHEN {LAYERED} THEN concat(CASE WHEN ord % 4 = 0 THEN 'sha25
 @query(f"SELECT sbom_id, read_at AS place, bom_ref, ctype, ns AS grp, name, version, CASE WHEN ord % 7 = 0 THEN 'what it is' ELSE '' END AS description, purl, CASE WHEN ord % 4 = 0 THEN 'someone' ELSE '' END AS author, supplier, {BOTH_CPES} AS cpes, CASE WHEN sha256 <> '' THEN concat('sha256=', sha256, ';blake3=ff') ELSE '' END AS hashes, CASE ord % 5 WHEN 0 THEN 'MIT|||http://x' WHEN 1 THEN '||MIT OR Apache-2.0|' WHEN 2 THEN '|Some terms||' ELSE '' END AS licences, CASE WHEN n_locations > 0 THEN concat(CASE WHEN ord % 3 = 0 THEN 'purl|0.5|' ELSE '|0.0|' END, '/opt/', name) ELSE '' END AS evidence, concat('a=first;z=', name) AS props, {ORIGIN} AS origin, {LAYER_TEXT} AS layer FROM {PLACED}")
 def cyclonedx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records that are read from the CycloneDX documents written of them."""
-    texts = writers.assembled(writers.cyclonedx(*bill(spark, sf_dir))).withColumn("format", F.lit("cyclonedx-json"))
+    texts = kept(writers.assembled(writers.cyclonedx(*bill(spark, sf_dir)))).withColumn("format", F.lit("cyclonedx-json"))
     return told(records.cyclonedx_records(texts))
 
 
@@ -135,7 +136,7 @@ def spdx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packages read from the SPDX documents, put in their parents by containment."""
     documents, rows, edges = bill(spark, sf_dir)
     # edges that contain would put packages elsewhere: they are no part of the tree
-    texts = writers.assembled(writers.spdx(documents, rows, edges.filter("rel <> 'contains'"), CREATED)).withColumn("format", F.lit("spdx-json"))
+    texts = kept(writers.assembled(writers.spdx(documents, rows, edges.filter("rel <> 'contains'"), CREATED))).withColumn("format", F.lit("spdx-json"))
     placed, _ = records.nested(records.spdx_packages(texts), records.spdx_relations(texts))
     up = placed.select("sbom_id", F.col("place").alias("above"), F.col("bom_ref").alias("up"))
     placed = placed.withColumn("above", F.regexp_extract("place", "^(.*)/", 1)).join(up, ["sbom_id", "above"], "left")
@@ -145,7 +146,7 @@ def spdx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT sbom_id, 2024 AS year, 'an author' AS author, 'maker|scanner|1.0' AS tool, 'k=v' AS props, n AS edges, given, hubs FROM (SELECT sbom_id, count(*) FILTER (WHERE rel IN ('depends-on', 'provides')) AS n, count(*) FILTER (WHERE rel = 'provides') AS given, count(DISTINCT src) FILTER (WHERE src LIKE 'hub%') AS hubs FROM {EDGED} GROUP BY 1)")
 def document_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata and relations that the documents state."""
-    texts = writers.assembled(writers.cyclonedx(*bill(spark, sf_dir))).withColumn("format", F.lit("cyclonedx-json"))
+    texts = kept(writers.assembled(writers.cyclonedx(*bill(spark, sf_dir)))).withColumn("format", F.lit("cyclonedx-json"))
     meta = records.cyclonedx_metadata(texts).select("sbom_id", F.year("created").alias("year"), F.array_join("authors", ";").alias("author"), F.array_join(F.transform("tools", lambda t: F.concat_ws("|", t["vendor"], t["name"], t["version"])), ";").alias("tool"), F.array_join(F.transform(F.map_entries("props"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("props"))
     edges = records.cyclonedx_relations(texts).groupBy("sbom_id").agg(F.count("*").alias("edges"), F.count_if(F.col("rel") == "provides").alias("given"), F.count_distinct(F.when(F.col("src").startswith("hub"), F.col("src"))).alias("hubs"))
     return meta.join(edges, "sbom_id")

@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bomlake.operators.properties import held
+from bomlake.operators.properties import held, once
 
 #: What keys of this library's own properties start with.
 PREFIX = "bom:"
@@ -54,8 +54,7 @@ def dehydrated(props: Column, origin: Column, layer: Column, cpes: Column | None
     if cpes is not None:
         more = F.slice(cpes, 2, F.greatest(F.size(cpes) - 1, F.lit(0)))
         own = F.concat(own, F.coalesce(F.transform(more, lambda c, i: F.struct(F.concat(F.lit(PREFIX + NUMBERED), i + 1).alias("key"), c.alias("value"))), F.array().cast("array<struct<key:string,value:string>>")))
-    typed = F.map_from_entries(own)
-    return F.map_concat(F.map_filter(held(props), lambda k, _: ~F.array_contains(F.map_keys(typed), k)), typed)
+    return once(F.map_from_entries(own), lambda typed: F.map_concat(F.map_filter(held(props), lambda k, _: ~F.array_contains(F.map_keys(typed), k)), typed))
 
 
 def hydrated(props: Column, numbered: bool = True) -> Column:
@@ -64,7 +63,11 @@ def hydrated(props: Column, numbered: bool = True) -> Column:
     An index that is no number counts as 0 and goes, too. With `numbered` all keys of the CPE prefix are CPE names, in order of
     their numbers and then their keys. A layer is there if any of its keys is.
     """
-    own, keys = held(props), [PREFIX + f.key for f in FIELDS]
+    return once(held(props), lambda own: _read(own, numbered))
+
+
+def _read(own: Column, numbered: bool) -> Column:
+    keys = [PREFIX + f.key for f in FIELDS]
     of = lambda f: F.try_element_at(own, F.lit(PREFIX + f.key))
     layer = [f for f in FIELDS if f.path[0] == "layer"]
     read = lambda f: F.coalesce(of(f).try_cast("int"), F.lit(0)) if f.kind == "number" else F.coalesce(of(f), F.lit(""))

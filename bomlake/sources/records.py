@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from bomlake.functions import identifiers as I
 from bomlake.operators import properties, typed
-from bomlake.plans.tables import cut
+from bomlake.plans.tables import cut, kept
 from bomlake.sources.documents import related
 
 #: Component types that are read as such (fixed values); others are unknown.
@@ -42,9 +42,8 @@ def listed(value: Column, kind: str) -> Column:
 def last_of(pairs: Column) -> Column:
     """(name, value) entries as a map; of equal names the last stays."""
     pairs = F.filter(listed(pairs, PROPERTIES), lambda p: p["name"].isNotNull())
-    names = F.transform(pairs, lambda p: p["name"])
-    own = F.filter(pairs, lambda p, i: F.array_position(F.slice(names, i + 2, F.size(names)), p["name"]) == 0)
-    return F.map_from_entries(F.transform(own, lambda p: F.struct(p["name"].alias("key"), text(p["value"]).alias("value"))))
+    entry = lambda p: F.struct(p["name"].alias("key"), text(p["value"]).alias("value"))
+    return properties.once(pairs, lambda named: F.map_from_entries(F.transform(properties.last_of(named, "name"), entry)))
 
 
 def licence(id: Column, name: Column, expression: Column, url: Column) -> Column:
@@ -64,7 +63,7 @@ def of_cyclonedx(c: Column) -> dict[str, Column]:
     first = F.get(c["evidence"]["identity"], F.lit(0))
     places = F.filter(F.transform(listed(c["evidence"]["occurrences"], "array<struct<location:string>>"), lambda o: text(o["location"])), lambda p: p != "")
     method, confidence = text(first["field"]), F.coalesce(first["confidence"], F.lit(0.0).cast("float"))
-    out["evidence"] = F.when((method != "") | (confidence != 0) | (F.size(places) > 0), F.struct(method.alias("method"), confidence.alias("confidence"), places.alias("locations"))).cast(EVIDENCE)
+    out["evidence"] = properties.once(places, lambda p: F.when((method != "") | (confidence != 0) | (F.size(p) > 0), F.struct(method.alias("method"), confidence.alias("confidence"), p.alias("locations")))).cast(EVIDENCE)
     out["h"] = typed.hydrated(last_of(c["properties"]))
     return out
 
@@ -169,6 +168,7 @@ def nested(packages: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFr
     there twice, and one that is contained is not at the top. Of packages with one reference the last is meant. One join a
     level; places of a branch come from ever earlier relations, so a cycle ends (and has no top).
     """
+    packages = kept(packages)  # three uses
     known = packages.groupBy("sbom_id", "bom_ref").agg(F.max("ord").alias("last"))
     inside = relations.filter("rel = 'contains'")
     for end in ("src", "dst"):

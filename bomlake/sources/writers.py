@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from bomlake import __version__
 from bomlake.functions import paths as P
@@ -49,7 +50,7 @@ def named(value: Column, names: dict[str, str], other: Column) -> Column:
 
 def filled(array: Column) -> Column:
     """An array, or null where it has nothing."""
-    return F.when(F.size(array) > 0, array)
+    return properties.once(array, lambda a: F.when(F.size(a) > 0, a))
 
 
 def property_list(props: Column) -> Column:
@@ -160,13 +161,13 @@ def package_json(c: DataFrame, created: str) -> Column:
     sums = F.filter(F.transform(c["hashes"], lambda h: F.struct(named(h["alg"], SPDX_HASHES, F.lit(None)).alias("algorithm"), h["value"].alias("checksumValue"))), lambda h: h["algorithm"].isNotNull())
     ref = lambda category, kind, value: F.struct(F.lit(category).alias("referenceCategory"), F.lit(kind).alias("referenceType"), value.alias("referenceLocator"))
     refs = F.concat(F.filter(F.array(F.when(c["purl"] != "", ref("PACKAGE-MANAGER", "purl", c["purl"]))), lambda r: r.isNotNull()), F.transform(c["cpes"], lambda x: ref("SECURITY", "cpe23Type", x)))
-    return F.to_json(
+    return properties.once(licences, lambda stated: F.to_json(
         F.struct(
             package_id(c).alias("SPDXID"), c["name"].alias("name"), some(c["version"]).alias("versionInfo"), F.when(c["supplier"] != "", F.concat(F.lit("Organization: "), c["supplier"])).alias("supplier"), F.lit("NOASSERTION").alias("downloadLocation"), F.lit(False).alias("filesAnalyzed"),
-            filled(sums).alias("checksums"), some(licences).alias("licenseConcluded"), some(licences).alias("licenseDeclared"), some(c["copyright"]).alias("copyrightText"), some(c["description"]).alias("description"),
+            filled(sums).alias("checksums"), some(stated).alias("licenseConcluded"), some(stated).alias("licenseDeclared"), some(c["copyright"]).alias("copyrightText"), some(c["description"]).alias("description"),
             filled(refs).alias("externalRefs"), notes(typed.dehydrated(c["props"], c["origin"], c["layer"]), created).alias("annotations"),
         )
-    )
+    ))
 
 
 def spdx(documents: DataFrame, records: DataFrame, edges: DataFrame, created: str) -> DataFrame:
@@ -217,7 +218,8 @@ def ordered(fragments: DataFrame) -> DataFrame:
 
 def assembled(fragments: DataFrame, limit: int = MAX_BYTES) -> DataFrame:
     """(sbom_id, text) of documents up to `limit` bytes, the size up to which they are read; a larger one raises an error."""
-    sizes = fragments.groupBy("sbom_id").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    # fragments are made once; the window spills, and its sum is seen before any of a document's rows is collected
+    sized = fragments.withColumn("bytes", F.sum(F.octet_length("text")).over(Window.partitionBy("sbom_id")))
     fits = F.when(F.col("bytes") <= limit, True).otherwise(F.raise_error(F.concat(F.lit("too large for one text: "), "sbom_id")))
-    held = fragments.join(sizes.filter(fits).select("sbom_id"), "sbom_id")
+    held = sized.filter(fits)
     return held.groupBy("sbom_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "key", "text"))), lambda f: f["text"]), "").alias("text"))

@@ -175,3 +175,13 @@ def test_cycles_cost_no_rounds(spark, monkeypatch):
     rows = [("s", i, i, 0) for i in range(10, 200)] + [("s", 10, 10, 0)] * 30 + [("s", 1, None, 1), ("s", 2, 1, 2), ("s", 3, 10, 3)]
     got = compliance.placed(spark.createDataFrame(rows, "sbom_id string, node long, parent long, ord int")).collect()
     assert {(r.node, r.place) for r in got} == {(1, "/00000001"), (2, "/00000001/00000002")}
+
+
+def test_fragments_and_typed_fields_are_made_once(spark):
+    fragments = spark.createDataFrame([("a", 0, "", "x")], "sbom_id string, part int, key string, text string")
+    plan = writers.assembled(fragments)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    for h in (typed.hydrated(F.col("mark")), records.last_of(F.col("pairs"))):
+        df = spark.createDataFrame([({"a": "1"}, [("a", "1")])], f"mark map<string,string>, pairs {records.PROPERTIES}").select(h.alias("h"))
+        plan = df._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
+        assert plan.count("mark#") + plan.count("pairs#") == 1

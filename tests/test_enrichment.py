@@ -210,3 +210,18 @@ def test_levels_of_a_dag_and_a_cycle(spark):
     with pytest.raises(ValueError):
         inventory.levels(table([*edges, ("n3", "n50"), ("a", "a")]))
     assert inventory.levels(table(edges).limit(0)).count() == 0
+
+
+def test_owners_with_equal_places_share_their_dependencies(spark):
+    """Classes give what each owner gives by itself, and have one owner's rows only."""
+    components = spark.createDataFrame([(f"o{i}", i, ["a"] if i % 3 else ["b", "/a"]) for i in range(12)], "bom_ref string, ord int, locations array<string>")
+    deps = "array<struct<name:string,version:string,purl:string>>"
+    identities = spark.createDataFrame([("a", 1, "go", [("x", "1", "p:x"), ("y", "", ""), ("y", "", "")]), ("b", 0, "", [("x", "2", "p:x"), ("z", "1", "p:z")])], f"path string, ord int, source string, deps {deps}")
+    existing = spark.createDataFrame([("o4", "p:x"), ("o7", "")], "owner string, purl string")
+    index = extraction.owners(components)
+    plain = extraction.attached(index, identities, existing).select("owner", "name", "version", "purl", "source")
+    few, had, members = extraction.alike(index, existing)
+    got = extraction.attached(few, identities, had)
+    assert got.select("owner").distinct().count() == 3 and members.count() == 12
+    out = extraction.expanded(got.withColumnRenamed("owner", "class"), members.select("class", "owner")).select(*plain.columns)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, plain.collect()))

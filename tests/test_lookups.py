@@ -52,3 +52,12 @@ def test_live_files_of_a_layer_may_repeat(spark):
     rows = [(0, 0, "a", "add"), (1, 0, "a", "add"), (1, 1, "a", "add"), (1, 2, "b", "add"), (2, 0, "b", "wh"), (2, 1, "c", "add"), (3, 0, "d/e", "add"), (4, 0, "d", "opq")]
     got = images.live_files(spark.createDataFrame(rows, "layer int, seq int, path string, op string"))
     assert sorted((r.path, r.layer, r.seq) for r in got.collect()) == [("a", 1, 0), ("a", 1, 1), ("c", 2, 1)]
+
+
+def test_addresses_are_made_once_for_equal_requests(spark):
+    """The text of an address is made before it meets the requests; a null suffix keeps its row."""
+    requests = spark.createDataFrame([(1, "k", "p"), (2, "k", "p"), (3, "k", None)], "request long, kind string, suffix string")
+    mirrors = spark.createDataFrame([("k", 1, "https://m/", None)], "kind string, ord long, url string, mode string")
+    got = lookups.endpoints(requests, mirrors, mirrors.select("kind", "url").limit(0))
+    assert "regexp_replace" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.request, r.url) for r in got.collect()) == [(1, "https://m/p"), (2, "https://m/p"), (3, None)]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bomlake.functions import identifiers as I
+from bomlake.plans.tables import cut
 
 #: Shares of a match (fixed values): vendor, product, version.
 VENDOR = {"exact": 0.50, "normalised": 0.40, "part": 0.10}
@@ -71,9 +72,15 @@ def searched(components: DataFrame, names: DataFrame) -> DataFrame:
     own = own.withColumn("words", words_of(F.concat_ws("_", "vendor", "product")))
     wanted = components.filter("purl <> ''").select("bom_ref", F.explode(F.array(I.parse_purl(F.col("purl")))).alias("p")).filter("p is not null")
     wanted = wanted.select("bom_ref", F.lower("p.namespace").alias("ns"), F.lower("p.name").alias("name"), F.col("p.version").alias("version"))
-    once = wanted.select("ns", "name", "version").distinct().join(rarest_word(wanted, own), "name")
-    hits = once.join(own.withColumn("word", F.explode("words")), "word").filter(F.size(F.array_except(words_of(F.col("name")), F.col("words"))) == 0)
-    fits = hits.filter("version = '' or release in ('*', '-', '') or release = version")
+    wanted, own = cut(wanted), cut(own)
+    # words are compared once for each different name and list of words; versions are a key, so a package meets those names only that it gets
+    lists = own.select("words").distinct().withColumn("word", F.explode("words"))
+    fitting = rarest_word(wanted, own).join(lists, "word").filter(F.size(F.array_except(words_of(F.col("name")), F.col("words"))) == 0).select("name", "words")
+    found = cut(fitting.join(own, "words").drop("words"))
+    once = wanted.select("ns", "name", "version").distinct()
+    pinned = once.filter("version <> ''").withColumn("release", F.explode(F.array_distinct(F.array(F.col("version"), *map(F.lit, ("*", "-", "")))))).join(found, ["name", "release"])
+    fits = pinned.unionByName(once.filter("version = ''").join(found, "name"))
+    fits = fits.repartition(int(fits.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ns", "name", "version")  # few bytes, much to score
     total = vendor_share(F.col("vendor"), F.col("ns"), F.col("name")) + product_share(F.col("product"), F.col("ns"), F.col("name")) + release_share(F.col("release"), F.col("version"))
     score = F.when(F.col("part") == "h", share(REJECTED)).otherwise(F.least(total, share(1.0)).cast("decimal(3,2)"))
     scored = wanted.join(fits.select("ns", "name", "version", "cpe", "part", score.alias("score")), ["ns", "name", "version"])

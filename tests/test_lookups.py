@@ -2,7 +2,7 @@
 
 import pytest
 from bomlake.functions import identifiers, lookups
-from bomlake.operators import images
+from bomlake.operators import images, search
 from bomlake.sources import registries
 from pyspark.sql import functions as F
 
@@ -61,3 +61,13 @@ def test_addresses_are_made_once_for_equal_requests(spark):
     got = lookups.endpoints(requests, mirrors, mirrors.select("kind", "url").limit(0))
     assert "regexp_replace" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.request, r.url) for r in got.collect()) == [(1, "https://m/p"), (2, "https://m/p"), (3, None)]
+
+
+def test_packages_meet_only_fitting_versions(spark):
+    """Words are compared before packages are joined; a version that is pinned, open or not stated finds its names."""
+    cpe = lambda name, v: f"cpe:2.3:a:acme:{name}:{v}:*:*:*:*:*:*:*"
+    names = spark.createDataFrame([(cpe("red_gear", v),) for v in ("1", "2", "*", "-")] + [(cpe("red", "1"),)], "cpe string")
+    components = spark.createDataFrame([("a", "pkg:npm/red-gear@1"), ("b", "pkg:npm/red-gear"), ("c", "pkg:npm/blue@1")], "bom_ref string, purl string")
+    got = search.searched(components, names)
+    assert "array_except" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.bom_ref, r.cpe.split(":")[5]) for r in got.collect()) == [("a", "*"), ("a", "-"), ("a", "1"), ("b", "*"), ("b", "-"), ("b", "1"), ("b", "2")]

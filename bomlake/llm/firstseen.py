@@ -36,6 +36,8 @@ SHARDS, BUCKETS = 64, 64
 PIECE_ROWS = 4096
 #: Keys of unpacked entries that a shard's task holds before it writes them back.
 HELD_KEYS = 400_000
+#: MB that all open state stores of an executor share for blocks and write buffers.
+STORE_MB = 64
 ROWS = 200
 #: White space at the ends of a line.
 ENDS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -251,8 +253,10 @@ def stripped(docs: DataFrame, number: Column, n: int, text: str = "text", least:
     partitions = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
     store = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     for k in range(n):
-        # a store that stays open keeps 4 MB of disk and its caches on an executor until the next batch's stream has its own
-        with settings(spark, spark__sql__streaming__stateStore__providerClass=store, spark__sql__streaming__stateStore__unloadOnCommit="true", spark__sql__shuffle__partitions=partitions), batches_of(spark, ROWS):
+        # a store that stays open keeps 4 MB of disk and its caches on an executor until the next batch's stream has its own; the block cache
+        # of a store of its own is not freed when the store is closed, so all share one
+        stores = dict(spark__sql__streaming__stateStore__providerClass=store, spark__sql__streaming__stateStore__unloadOnCommit="true", spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true", spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB=STORE_MB)
+        with settings(spark, **stores, spark__sql__shuffle__partitions=partitions), batches_of(spark, ROWS):
             fed(spark, root, k, least, seen, shards, buckets)
     own = spark.read.parquet(f"{root}/feed").schema
     schema = f"text string, own {own['own'].dataType.simpleString()}, n_all long, n_removed long, number int"

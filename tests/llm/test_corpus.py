@@ -78,6 +78,17 @@ def test_a_batch_that_fails_runs_again(spark, lined, monkeypatch, tmp_path):
     assert Counter(map(tuple, got)) == Counter((x[2], x[3], x[4]) for x in brute.first_seen(batches(lined, 5)) if x[0] == "doc")
 
 
+def test_stores_of_first_seen_lines_share_a_bounded_cache(spark, monkeypatch):
+    """The cache of a store of its own outlives the store: ten batches leave one a shard and batch on an executor."""
+    prefix, seen, real = "spark.sql.streaming.stateStore.rocksdb.", [], firstseen.fed
+    monkeypatch.setattr(firstseen, "fed", lambda *a: (seen.append((spark.conf.get(f"{prefix}boundedMemoryUsage", "false"), int(spark.conf.get(f"{prefix}maxMemoryUsageMB", "500")))), real(*a)))
+    rows = spark.createDataFrame([(i, "a line that is long enough to count", i % 3) for i in range(6)], "doc_id long, text string, number int")
+    kept, _ = firstseen.stripped(rows, F.col("number"), 3)
+    assert sum(r.n_removed for r in kept.collect()) == 4
+    assert seen == [("true", firstseen.STORE_MB)] * 3 and firstseen.STORE_MB <= 100
+    assert spark.conf.get(f"{prefix}boundedMemoryUsage", None) is None
+
+
 def test_state_is_kept_by_transform_with_state():
     assert issubclass(firstseen.Counters, StatefulProcessor)
 

@@ -65,12 +65,16 @@ def lifted(nested: DataFrame) -> DataFrame:
 
 def candidates(components: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Dictionary hits (by type, namespace and name) and guesses, the highest confidence kept for each CPE."""
+    # parsing is most of the work and a small file is one task: rows are dealt out first, by what they are grouped by later
+    rows = components.filter("purl <> ''").select("bom_ref", "purl").repartition("bom_ref")
     # a generator parses once; as a plain column each use below would parse again
-    parsed = components.filter("purl <> ''").select("*", F.explode_outer(F.array(I.parse_purl(F.col("purl")))).alias("p")).filter("p is not null")
-    hits = parsed.join(dictionary, (F.lower("p.type") == dictionary["d_type"]) & (F.lower("p.namespace") == dictionary["d_ns"]) & (F.lower("p.name") == dictionary["d_name"])).select("bom_ref", "p", F.col("d_vendor").alias("vendor"), F.col("d_product").alias("product"), F.lit("dictionary").alias("source"), F.lit(0.95).cast("decimal(3,2)").alias("confidence"))
-    guessed = parsed.withColumn("g", I.guess_cpe(F.col("p"))).select("bom_ref", "p", "g.vendor", "g.product", F.lit("heuristic").alias("source"), F.lit(0.70).cast("decimal(3,2)").alias("confidence"))
-    both = hits.unionByName(guessed).withColumn("cpe", I.build_cpe(F.lit("a"), F.col("vendor"), F.col("product"), F.col("p.version")))
-    return both.groupBy("bom_ref", "cpe").agg(F.max("confidence").alias("confidence"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("source"))
+    parsed = rows.select("bom_ref", F.explode_outer(F.array(I.parse_purl(F.col("purl")))).alias("p")).filter("p is not null").withColumn("g", I.guess_cpe(F.col("p")))
+    met = parsed.join(dictionary, (F.lower("p.type") == dictionary["d_type"]) & (F.lower("p.namespace") == dictionary["d_ns"]) & (F.lower("p.name") == dictionary["d_name"]), "left")
+    one = lambda vendor, product, confidence, hit: F.struct(F.col(vendor).alias("vendor"), F.col(product).alias("product"), F.lit(confidence).cast("decimal(3,2)").alias("confidence"), F.lit(hit).alias("hit"))
+    guess = one("g.vendor", "g.product", 0.70, False)
+    both = met.select("bom_ref", "p.version", F.explode(F.when(F.col("d_type").isNotNull(), F.array(one("d_vendor", "d_product", 0.95, True), guess)).otherwise(F.array(guess))).alias("c"))
+    found = both.groupBy("bom_ref", I.build_cpe(F.lit("a"), F.col("c.vendor"), F.col("c.product"), F.col("version")).alias("cpe")).agg(F.max("c.confidence").alias("confidence"), F.bool_or("c.hit").alias("hit"), F.bool_or(~F.col("c.hit")).alias("guess"))
+    return found.select("bom_ref", "cpe", "confidence", F.concat_ws("+", F.when(F.col("hit"), "dictionary"), F.when(F.col("guess"), "heuristic")).alias("source"))
 
 
 def classified(found: DataFrame) -> DataFrame:

@@ -146,3 +146,14 @@ def test_documents(spark, tmp_path):
     assert {(r.bom_ref, r.parent, r.depth, r.purl) for r in documents.cyclonedx_components(docs).collect()} == {("a", None, 0, ""), ("b", "a", 1, "pkg:npm/lib@2")}
     assert [(r.src, r.dst) for r in documents.cyclonedx_edges(docs).collect()] == [("a", "b")]
     assert [(r.name, r.version, r.purl) for r in documents.spdx_components(docs).collect()] == [("x", "3", "pkg:npm/x@3")]
+
+
+def test_cpe_candidates_are_dealt_out_before_they_are_parsed(spark):
+    """A table of one small file is one task; package URLs are parsed once, in as many as there are. Two vendors of a name, none, no package URL."""
+    c = spark.createDataFrame([("a", "pkg:npm/x@1"), ("b", "pkg:npm/y@2"), ("c", ""), ("d", None), ("e", "odd"), ("f", "pkg:npm/x")], "bom_ref string, purl string")
+    d = spark.createDataFrame([("npm", "", "x", "x", "x"), ("npm", "", "x", "other", "x")], "d_type string, d_ns string, d_name string, d_vendor string, d_product string")
+    found = inventory.candidates(c, d)
+    got = {(r.bom_ref, r.cpe.split(":")[3], r.cpe.split(":")[5], str(r.confidence), r.source) for r in found.collect()}
+    assert got == {("a", "x", "1", "0.95", "dictionary+heuristic"), ("a", "other", "1", "0.95", "dictionary"), ("b", "y", "2", "0.70", "heuristic"), ("f", "x", "*", "0.95", "dictionary+heuristic"), ("f", "other", "*", "0.95", "dictionary")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Union" not in plan

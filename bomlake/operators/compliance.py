@@ -34,11 +34,12 @@ def said(value: Column) -> Column:
 
 def ntia(counted: DataFrame, components: DataFrame) -> DataFrame:
     """The minimum elements: of documents, and of components that are neither files nor within one."""
-    c = validators.outside_files(components)
-    rules = [
-        ("NTIA-NAME", 4, said(c["name"]) == ""), ("NTIA-VERSION", 3, said(c["version"]) == ""),
-        ("NTIA-SUPPLIER", 2, (said(c["supplier"]) == "") & (said(c["author"]) == "")), ("NTIA-IDENTIFIER", 2, (said(c["purl"]) == "") & (said(c["cpe"]) == "")),
-    ]
+    absent = lambda c: said(F.col(c)) == ""
+    broken = {"name": absent("name"), "version": absent("version"), "supplier": absent("supplier") & absent("author"), "identifier": absent("purl") & absent("cpe")}
+    # rows that break no rule, and texts that the rules have read, aren't carried through the joins
+    rows = components.select("sbom_id", "place", "bom_ref", *[test.alias(c) for c, test in broken.items()]).filter(" OR ".join(broken))
+    c = validators.outside_files(components, rows)
+    rules = [("NTIA-NAME", 4, F.col("name")), ("NTIA-VERSION", 3, F.col("version")), ("NTIA-SUPPLIER", 2, F.col("supplier")), ("NTIA-IDENTIFIER", 2, F.col("identifier"))]
     return validators.ntia_documents(counted).unionByName(validators.on_components(c, "ntia", rules))
 
 
@@ -102,7 +103,7 @@ def gate(documents: DataFrame, found: DataFrame, floor: str) -> DataFrame:
 def findings(documents: DataFrame, components: DataFrame, edges: DataFrame) -> DataFrame:
     """Findings of all validators, as they emit them. Documents and components have the columns that validators take, too."""
     counted = validators.totals(documents, components, edges)
-    outside = validators.outside_files(components)
+    outside = validators.outside_files(components, components.filter(validators.unlicensed()).select("sbom_id", "place", "bom_ref", "ctype", "purl", "n_licences"))
     parts = [ntia(counted, components), validators.eu_cra(counted, outside), validators.cyclonedx(counted, components), validators.spdx(counted, components)]
     out = parts[0]
     for p in parts[1:]:

@@ -21,12 +21,16 @@ AUTHORITIES = ("nvd-api", "clearly-defined")
 MANY = 10
 
 
-def outside_files(components: DataFrame) -> DataFrame:
-    """Components with `place` (like /0/1) -> those that are neither files nor nested in one."""
+def outside_files(components: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Components with `place` (like /0/1) -> those that are neither files nor nested in one.
+
+    of: rows of the components, with the columns that are asked for; only these are judged and given.
+    """
+    of = components if of is None else of
     files = components.filter("ctype = 'file'").select("sbom_id", F.col("place").alias("up"))
-    up = components.select("sbom_id", "place", F.explode(F.array_append(P.ancestors(F.col("place")), F.col("place"))).alias("up"))
+    up = of.select("sbom_id", "place", F.explode(F.array_append(P.ancestors(F.col("place")), F.col("place"))).alias("up"))
     inside = up.join(files, ["sbom_id", "up"]).select("sbom_id", "place").distinct()
-    return components.join(inside, ["sbom_id", "place"], "left_anti")
+    return of.join(inside, ["sbom_id", "place"], "left_anti")
 
 
 def on_components(components: DataFrame, validator: str, rules: list[tuple[str, int, Column]]) -> DataFrame:
@@ -50,10 +54,14 @@ def ntia_documents(counted: DataFrame) -> DataFrame:
     return on_documents(counted, "ntia", [("NTIA-METADATA-AUTHOR", 3, F.col("author") == ""), ("NTIA-METADATA-TIMESTAMP", 3, F.col("created") == ""), ("NTIA-RELATIONSHIPS", 2, (F.col("n") >= MANY) & (F.col("edges") == 0))])
 
 
+def unlicensed() -> Column:
+    """Frameworks without a licence."""
+    return F.col("ctype").isin(*FRAMEWORK_TYPES) & F.col("purl").rlike(FRAMEWORK_PURLS) & (F.col("n_licences") == 0)
+
+
 def eu_cra(counted: DataFrame, components: DataFrame) -> DataFrame:
     """Components: those outside files."""
-    unlicensed = F.col("ctype").isin(*FRAMEWORK_TYPES) & F.col("purl").rlike(FRAMEWORK_PURLS) & (F.col("n_licences") == 0)
-    return on_documents(counted, "eu-cra", [("EU-CRA-ART13-VULN-HANDLING", 2, F.col("handled") == 0)]).unionByName(on_components(components, "eu-cra", [("EU-CRA-ART13-LICENSE", 1, unlicensed)]))
+    return on_documents(counted, "eu-cra", [("EU-CRA-ART13-VULN-HANDLING", 2, F.col("handled") == 0)]).unionByName(on_components(components, "eu-cra", [("EU-CRA-ART13-LICENSE", 1, unlicensed())]))
 
 
 def cyclonedx(counted: DataFrame, components: DataFrame) -> DataFrame:

@@ -185,3 +185,16 @@ def test_fragments_and_typed_fields_are_made_once(spark):
         df = spark.createDataFrame([({"a": "1"}, [("a", "1")])], f"mark map<string,string>, pairs {records.PROPERTIES}").select(h.alias("h"))
         plan = df._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
         assert plan.count("mark#") + plan.count("pairs#") == 1
+
+
+def test_rules_of_components_carry_only_what_breaks_them(spark, monkeypatch):
+    """The joins that find what is within files get the rows that break a rule, without the texts."""
+    rows = [("s", i, place, f"r{i}", kind, name, "1", "maker", "", purl, "", n) for i, (place, kind, name, purl, n) in enumerate([("/0", "library", "whole", "pkg:npm/whole", 1), ("/1", "library", "", "pkg:npm/x", 1), ("/2", "file", "f", "", 1), ("/2/0", "library", "", "", 0), ("/3", "framework", "y", "pkg:npm/y", 0), ("/2/1", "framework", "z", "pkg:npm/z", 0)])]
+    items = spark.createDataFrame(rows, "sbom_id string, ord int, place string, bom_ref string, ctype string, name string, version string, supplier string, author string, purl string, cpe string, n_licences int").selectExpr("*", "'' AS cpe_source", "'' AS disclosure")
+    boms = spark.createDataFrame([("s", "a", "now")], "sbom_id string, author string, created string")
+    carried, real = [], compliance.validators.outside_files
+    monkeypatch.setattr(compliance.validators, "outside_files", lambda c, of=None: carried.append(of if of is not None else c) or real(c, of))
+    found = compliance.findings(boms, items, boms.select("sbom_id")).collect()
+    assert {(r.rule_id, r.bom_ref) for r in found if r.validator == "ntia" or r.rule_id == "EU-CRA-ART13-LICENSE"} == {("NTIA-NAME", "r1"), ("EU-CRA-ART13-LICENSE", "r4")}
+    assert sorted(sorted(r.bom_ref for r in x.collect()) for x in carried) == [["r1", "r2", "r3"], ["r4", "r5"]]
+    assert not any({"name", "version", "supplier"} <= {c for c, t in x.dtypes if t == "string"} for x in carried)

@@ -37,7 +37,9 @@ PIECE_ROWS = 4096
 #: Keys of unpacked entries that a shard's task holds before it writes them back.
 HELD_KEYS = 400_000
 #: MB that all open state stores of an executor share for blocks and write buffers.
-STORE_MB = 64
+STORE_MB = 16
+#: MB of a store's write buffer. Each state task is served by a thread of its own, and the C library keeps what a thread's buffers took.
+WRITE_MB = 1
 ROWS = 200
 #: White space at the ends of a line.
 ENDS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -255,7 +257,7 @@ def stripped(docs: DataFrame, number: Column, n: int, text: str = "text", least:
     for k in range(n):
         # a store that stays open keeps 4 MB of disk and its caches on an executor until the next batch's stream has its own; the block cache
         # of a store of its own is not freed when the store is closed, so all share one
-        stores = dict(spark__sql__streaming__stateStore__providerClass=store, spark__sql__streaming__stateStore__unloadOnCommit="true", spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true", spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB=STORE_MB)
+        stores = dict(spark__sql__streaming__stateStore__providerClass=store, spark__sql__streaming__stateStore__unloadOnCommit="true", spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true", spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB=STORE_MB, spark__sql__streaming__stateStore__rocksdb__writeBufferSizeMB=WRITE_MB)
         with settings(spark, **stores, spark__sql__shuffle__partitions=partitions), batches_of(spark, ROWS):
             fed(spark, root, k, least, seen, shards, buckets)
     own = spark.read.parquet(f"{root}/feed").schema

@@ -89,6 +89,17 @@ def test_stores_of_first_seen_lines_share_a_bounded_cache(spark, monkeypatch):
     assert spark.conf.get(f"{prefix}boundedMemoryUsage", None) is None
 
 
+def test_stores_of_first_seen_lines_have_small_write_buffers(spark, monkeypatch):
+    """A buffer's memory stays with the thread that served its task, so at 64 MB of buffer each thread keeps what a store wrote."""
+    key, seen, real = "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB", [], firstseen.fed
+    monkeypatch.setattr(firstseen, "fed", lambda *a: (seen.append(int(spark.conf.get(key, "-1"))), real(*a)))
+    lines = [f"line {i} that is long enough to count" for i in range(3000)]
+    rows = spark.createDataFrame([(i, "\n".join(lines), i) for i in range(3)], "doc_id long, text string, number int")
+    kept, gone = firstseen.stripped(rows, F.col("number"), 3, shards=1, buckets=8)
+    assert [r.n_removed for r in kept.orderBy("number").collect()] == [0, 0, 3000] and gone.count() == 3000
+    assert seen == [firstseen.WRITE_MB] * 3 and 1 <= firstseen.WRITE_MB <= 4 and spark.conf.get(key, None) is None
+
+
 def test_state_is_kept_by_transform_with_state():
     assert issubclass(firstseen.Counters, StatefulProcessor)
 

@@ -40,6 +40,8 @@ HELD_KEYS = 400_000
 STORE_MB = 16
 #: MB of a store's write buffer. Each state task is served by a thread of its own, and the C library keeps what a thread's buffers took.
 WRITE_MB = 1
+#: Bytes of the written documents for which the state gets a partition. Each opens a store in each batch, and a closed store leaves memory on its executor.
+STATE_BYTES = 32 << 20
 ROWS = 200
 #: White space at the ends of a line.
 ENDS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -207,6 +209,13 @@ def written(docs: DataFrame, number: Column, n: int, root: str, text: str) -> No
     rows.unionByName(marks, allowMissingColumns=True).write.option("compression", "zstd").option("parquet.block.size", BLOCK_BYTES).partitionBy("number").parquet(f"{root}/cut")
 
 
+def state_partitions(spark: SparkSession, root: str, shards: int) -> int:
+    """Partitions of the state: as the documents that written() left need, not more than there are shards or the session has for a shuffle."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/cut")
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + size // STATE_BYTES)
+
+
 def landed(spark: SparkSession, root: str, number: int) -> str:
     """Moves a batch into the folder that the stream watches, unless it is there."""
     path = spark._jvm.org.apache.hadoop.fs.Path
@@ -252,7 +261,7 @@ def stripped(docs: DataFrame, number: Column, n: int, text: str = "text", least:
     spark = docs.sparkSession
     root = f"{shared_dir(spark)}/bomlake-lines-{uuid.uuid4().hex}"
     written(docs, number, n, root, text)
-    partitions = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    partitions = state_partitions(spark, root, shards)
     store = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     for k in range(n):
         # a store that stays open keeps 4 MB of disk and its caches on an executor until the next batch's stream has its own; the block cache

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import brute
 import public_tokenizers
@@ -100,6 +101,16 @@ def test_stores_of_first_seen_lines_have_small_write_buffers(spark, monkeypatch)
     assert seen == [firstseen.WRITE_MB] * 3 and 1 <= firstseen.WRITE_MB <= 4 and spark.conf.get(key, None) is None
 
 
+def test_stores_of_first_seen_lines_are_as_many_as_the_input_needs(spark, lined, monkeypatch):
+    """A closed store leaves memory on its executor: a small input opens one a batch, whatever the session's partitions."""
+    roots, real = [], firstseen.fed
+    monkeypatch.setattr(firstseen, "fed", lambda *a: (roots.append(a[1]), real(*a)))
+    for size, stores in ((firstseen.STATE_BYTES, {"0"}), (1, set("01234567"))):
+        monkeypatch.setattr(firstseen, "STATE_BYTES", size)
+        assert first_seen(spark, lined, 5, shards=16, buckets=4)[0] == Counter(brute.first_seen(batches(lined, 5)))
+        assert {p.name for p in Path(roots[-1].removeprefix("file:"), "checkpoint/state/0").iterdir() if p.name.isdigit()} == stores
+
+
 def test_state_is_kept_by_transform_with_state():
     assert issubclass(firstseen.Counters, StatefulProcessor)
 

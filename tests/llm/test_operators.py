@@ -653,3 +653,47 @@ def test_forest_ties_what_its_edges_tie():
                 root[a] = root[b] = min(root[a], root[b])
         tied = dict(zip(*(x.tolist() for x in lines.forest(*(np.array(x) for x in zip(*pairs))))))
         assert tied == {x: r for x, r in root.items() if x != r}
+
+
+def test_distances_at_once():
+    """Distances of many pairs at once are those of pairs one by one, as far as the band goes."""
+    r = random.Random(8)
+    for m in (1, 20, 63, 64, 65, 128, 200):
+        a = "".join(r.choice("abcé d") for _ in range(m))
+        texts = [a]
+        for _ in range(12):
+            b = list(a)
+            for _ in range(r.randint(0, m // 5 + 2)):
+                p = r.randrange(len(b) + 1)
+                b[p : p + r.randrange(2)] = r.choice(["", "x", "é", "bc"])
+            texts.append("".join(b) or "z")
+        most = 15 * m // 100 + 2
+        texts = [t for t in texts if abs(len(t) - m) <= most]
+        letter, codes = np.unique(np.array(list("".join(texts))), return_inverse=True)
+        points = np.split(codes, np.cumsum([len(t) for t in texts])[:-1])
+        i, j = (x.ravel() for x in np.indices((len(texts), len(texts))))
+        fit = np.array([abs(len(texts[x]) - len(texts[y])) <= most for x, y in zip(i, j)])
+        i, j = i[fit], j[fit]
+        for x, y, got in zip(i, j, lines.distances(points, len(letter), i, j, most).tolist()):
+            want = brute.levenshtein(texts[x], texts[y])
+            assert got == want if want <= most else got > most
+
+
+def test_family_with_a_passage(monkeypatch):
+    """Lines that have a passage in common and little else: the pairs that are no links aren't compared one by one."""
+    r, called, plain = random.Random(5), [], lines.similar
+    words = ["".join(r.choice("aeiouthnsrdl") for _ in range(r.randint(2, 9))) for _ in range(500)]
+    passage = " ".join(r.choice(words) for _ in range(30))
+    texts = [" ".join([*(r.choice(words) for _ in range(r.randint(4, 7))), passage, *(r.choice(words) for _ in range(r.randint(0, 3)))]) for _ in range(150)]
+    sims = fingerprinted([t.encode() for t in texts])[0]
+    monkeypatch.setattr(lines, "similar", lambda *a: called.append(a) or plain(*a))
+    got = lines.linked(texts, sims, 85)
+    assert len(called) < 10 * len(texts)
+    near = lambda i, j: int(sims[i] ^ sims[j]).bit_count() <= lines.DISTANCE and plain(texts[i], texts[j], 85)
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and near(i, j):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert got.tolist() == label and 10 < len(set(label)) < len(texts)

@@ -1,10 +1,12 @@
 import random
+import time
 from collections import Counter
 
 import brute
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as spark_functions
 from tokenizers import Tokenizer
 
 import bomlake
@@ -697,3 +699,16 @@ def test_family_with_a_passage(monkeypatch):
                 low, high = sorted((label[i], label[j]))
                 label = [low if x == high else x for x in label]
     assert got.tolist() == label and 10 < len(set(label)) < len(texts)
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    """What a step has shuffled goes when its table is written, so disk is that of the largest step and not of all."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    before = files()
+    made = common.materialise(spark.range(100_000).groupBy((spark_functions.col("id") % 1000).alias("k")).count(), spark)
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and made.count() == 1000
+    assert spark.conf.get(common.SWEPT) == "false"

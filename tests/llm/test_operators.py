@@ -712,3 +712,10 @@ def test_steps_leave_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not files() - before and made.count() == 1000
     assert spark.conf.get(common.SWEPT) == "false"
+
+
+def test_lines_in_turns(spark, documents, monkeypatch):
+    """A table over TURN_BYTES is shuffled in turns, with the same lines dropped."""
+    whole = rows(lines.report(documents))
+    monkeypatch.setattr(lines, "TURN_BYTES", 0)
+    assert rows(lines.report(documents)) == whole
